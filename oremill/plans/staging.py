@@ -11,7 +11,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 _local_roots: dict[str, str] = {}
 
@@ -48,6 +49,20 @@ def stage(df: DataFrame, label: str = "state") -> DataFrame:
     return staged
 
 
+def stage_counted(df: DataFrame, label: str = "state") -> tuple[DataFrame, int]:
+    """``stage`` plus the row count, observed while the table is written."""
+    seen = Observation()
+    staged = stage(df.observe(seen, F.count(F.lit(1)).alias("rows")), label)
+    return staged, seen.get["rows"]
+
+
+def stage_observed(df: DataFrame, label: str, **metrics) -> tuple[DataFrame, dict]:
+    """``stage`` plus named aggregates, observed while the table is written."""
+    seen = Observation()
+    staged = stage(df.observe(seen, *[expr.alias(name) for name, expr in metrics.items()]), label)
+    return staged, seen.get
+
+
 def unstage(*tables: DataFrame | None) -> None:
     """Delete staged tables that a loop has superseded."""
     for table in tables:

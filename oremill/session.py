@@ -12,9 +12,20 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Staged states are compact and expand when exploded: let small ones still
+    # use every core.  Neither setting matters once partitions are large.
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
+    "spark.sql.files.openCostInBytes": "65536",
 }
 
 
+def apply_settings(spark: SparkSession) -> SparkSession:
+    """Set the runtime SQL options on an existing session."""
+    for name, value in SETTINGS.items():
+        spark.conf.set(name, value)
+    return spark
+
+
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
     """A single-machine session for tests and benchmarks."""
     builder = (
