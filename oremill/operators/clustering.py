@@ -268,9 +268,17 @@ def bfr(
     def chunk(i: int) -> DataFrame:
         return chunked.where(F.col("chunk") == i).select("id", "features")
 
-    first = stage(kmeans_labels(chunk(0), FIRST_PASS_FACTOR * k, seed, max_iter), "peel")
+    fine = FIRST_PASS_FACTOR * k
+    n_first = chunk(0).count()
+    if n_first < fine:
+        # With more clusters than points every point would look like an outlier.
+        fine = max(1, n_first // 4)
+    first = stage(kmeans_labels(chunk(0), fine, seed, max_iter), "peel")
     body, outliers = split_singletons(first)
-    labelled = stage(kmeans_labels(stage(body.drop("cluster"), "body"), k, seed, max_iter), "discard")
+    body, n_body = stage_counted(body.drop("cluster"), "body")
+    if n_body < k:
+        body, outliers = chunk(0), first.where(F.lit(False))
+    labelled = stage(kmeans_labels(body, k, seed, max_iter), "discard")
     discard = Summaries.collect(cluster_summary(labelled))
     discard_members = [labelled.select("id", "cluster")]
     retained, n_retained = stage_counted(outliers.select("id", "features"), "retained")

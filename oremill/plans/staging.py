@@ -40,7 +40,12 @@ def staging_path(spark: SparkSession, label: str) -> str:
 
 
 def stage(df: DataFrame, label: str = "state") -> DataFrame:
-    """Write ``df`` once and return a DataFrame that reads the written table."""
+    """Write ``df`` once and return a DataFrame that reads the written table.
+
+    A DataFrame that already is such a table is returned as it is.
+    """
+    if hasattr(df, "_oremill_path"):
+        return df
     spark = df.sparkSession
     path = staging_path(spark, label)
     df.write.parquet(path)
