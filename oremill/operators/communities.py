@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from oremill.operators.baskets import SET_CHUNK, basket_sets
 from oremill.plans.staging import stage, stage_observed, unstage
 
-POPULAR = 2_000  # basket count above which an item counts as popular
+POPULAR = 1_000  # basket count above which an item counts as popular
 HUB = 10_000  # neighbours per salt
 
 
@@ -61,9 +61,14 @@ def start_vertices(adjacent: DataFrame) -> DataFrame:
 
 
 def fan_out(state: DataFrame, adjacent: DataFrame, at: str = "id", salts: str = "salts") -> DataFrame:
-    """Join each row of ``state`` at vertex ``at`` with all edges leaving it."""
-    copies = state.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col(salts) - 1))).drop(salts)
-    return copies.join(adjacent.withColumnRenamed("src", at), [at, "salt"]).drop("salt")
+    """Join each row of ``state`` at vertex ``at`` with all edges leaving it.
+
+    Adds ``dst`` and ``dst_salts`` and drops ``salts``.
+    """
+    copies = state.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col(salts) - 1))).alias("s")
+    met = copies.join(adjacent.alias("e"), F.expr(f"s.`{at}` = e.src AND s.salt = e.salt"))
+    kept = [F.col(f"s.{c}") for c in state.columns if c != salts]
+    return met.select(*kept, "e.dst", "e.dst_salts")
 
 
 def cooccurrence_graph(rows: DataFrame, threshold: int, popular: int = POPULAR) -> DataFrame:

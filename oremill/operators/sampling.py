@@ -38,7 +38,7 @@ def reservoir(stream: DataFrame, k: int, seed: int) -> DataFrame:
 
 
 def snapshots(
-    entered: DataFrame, batches: DataFrame, size: int, slots: tuple[int, ...] = SNAPSHOT_SLOTS
+    entered: DataFrame, batches: DataFrame, slots: tuple[int, ...] = SNAPSHOT_SLOTS
 ) -> DataFrame:
     """``(batch, seqnum, <slot>_id…)``: chosen slots of the sample after each batch.
 
@@ -52,7 +52,8 @@ def snapshots(
         .agg(F.array_sort(F.collect_list(F.struct("n", "user"))).alias("history"))
     )
     asked = batches.select("batch", "seqnum", F.explode(F.array(*map(F.lit, slots))).alias("slot"))
-    holder = asked.join(history, "slot").select(
+    # One row per slot, each holding about ln(N) entries: small enough to broadcast at any N.
+    holder = asked.join(F.broadcast(history), "slot").select(
         "batch",
         "seqnum",
         "slot",
@@ -72,7 +73,7 @@ def reservoir_snapshots(
     if max(slots) >= k:
         raise ValueError("slots must be below the sample size")
     batches = stream.groupBy(batch_of(F.col("n"), size).alias("batch")).agg(F.max("n").alias("seqnum"))
-    return snapshots(replacements(stream, k, seed), batches, size, slots)
+    return snapshots(replacements(stream, k, seed), batches, slots)
 
 
 def bootstrap_batches(df: DataFrame, index: str | Column, batch_size: int, n_batches: int, seed: int) -> DataFrame:

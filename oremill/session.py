@@ -35,6 +35,8 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: s
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        # Recording the Python call site of every column costs more than small plans do.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     for name, value in SETTINGS.items():
         builder = builder.config(name, value)

@@ -10,4 +10,7 @@ from oremill.session import local_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    return local_session(cores=8, shuffle_partitions=4, memory="6g")
+    session = local_session(cores=4, shuffle_partitions=2, memory="6g")
+    # Compiling a class per stage takes longer than interpreting these tiny inputs.
+    session.conf.set("spark.sql.codegen.wholeStage", "false")
+    return session
