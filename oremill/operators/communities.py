@@ -22,6 +22,13 @@ def symmetric(edges: DataFrame) -> DataFrame:
     return both.where(F.col("src") != F.col("dst")).distinct()
 
 
+def mirrored(pairs: DataFrame) -> DataFrame:
+    """Both directions of pairs that are already distinct and have ``src < dst``."""
+    return pairs.select("src", "dst").unionByName(
+        pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    )
+
+
 def vertices(edges: DataFrame) -> DataFrame:
     """Vertices with at least one edge (``edges`` in both directions)."""
     return edges.select(F.col("src").alias("id")).distinct()
@@ -90,16 +97,15 @@ def cooccurrence_graph(rows: DataFrame, threshold: int, popular: int = POPULAR)
     rows = stage(rows, "baskets")
     counts = rows.groupBy("item").agg(F.count("*").alias("baskets")).where(F.col("baskets") > 1)
     counts, popularity = stage_observed(counts, "items", popular=F.count_if(F.col("baskets") > popular))
-    ordinary = rows.join(counts.where(F.col("baskets") <= popular), "item").select("key", "item")
-    shared = _pair_counts(ordinary)
     if not popularity["popular"]:
-        return symmetric(shared.where(F.col("shared") >= threshold))
+        return mirrored(_pair_counts(rows).where(F.col("shared") >= threshold))
 
+    ordinary = rows.join(counts.where(F.col("baskets") <= popular), "item").select("key", "item")
+    shared = stage(_pair_counts(ordinary), "shared")
     popular_rows = stage(
         rows.join(counts.where(F.col("baskets") > popular), "item").select("key", "item", "baskets"), "popular"
     )
     sizes = popular_rows.groupBy("key").agg(F.count("*").alias("held"))
-    shared = stage(shared, "shared")
     held_src = sizes.select(F.col("key").alias("src"), F.col("held").alias("src_held"))
     held_dst = sizes.select(F.col("key").alias("dst"), F.col("held").alias("dst_held"))
     undecided = (
@@ -137,7 +143,7 @@ def cooccurrence_graph(rows: DataFrame, threshold: int, popular: int = POPULAR)
         .where(F.col("shared") + F.col("more") >= threshold)
     )
     enough = shared.where(F.col("shared") >= threshold)
-    return symmetric(enough.select("src", "dst").unionByName(confirmed.select("src", "dst")))
+    return mirrored(enough.select("src", "dst").unionByName(confirmed.select("src", "dst")))
 
 
 def _pairs(rows: DataFrame) -> DataFrame:
@@ -163,14 +169,14 @@ def _rarest(rows: DataFrame, threshold: int) -> DataFrame:
     return rows.select("key", "item").join(dropped.select("key", "item"), ["key", "item"], "left_anti")
 
 
-def label_propagation(edges: DataFrame, rounds: int = 5, cut_every: int = 5) -> DataFrame:
+def label_propagation(edges: DataFrame, rounds: int = 5, cut_every: int = 5, hub: int = HUB) -> DataFrame:
     """``(id, label)`` after ``rounds`` synchronous rounds.
 
     Every vertex takes the most frequent label of its neighbours, the smallest
     among equals.  Being synchronous, the two ends of an isolated edge swap
     labels each round.
     """
-    adjacent = stage(adjacency(symmetric(edges)), "adjacency")
+    adjacent = stage(adjacency(symmetric(edges), hub), "adjacency")
     labels = start_vertices(adjacent).withColumn("label", F.col("id"))
     for done in range(1, rounds + 1):
         votes = (

@@ -374,6 +374,12 @@ ORACLES = {
         SELECT id, CASE WHEN distance < {ALPHA} * sqrt(d) THEN cluster END AS cluster,
                round(distance, 6) AS distance
         FROM best WHERE place = 1""",
+    "bfr_own_distance": f"""
+        WITH {POINTS}, {SUMMARY}
+        SELECT f.id, f.cluster,
+               round(CASE WHEN min(spread) <= 0 THEN 'Infinity'::DOUBLE
+                          ELSE sqrt(sum((x - centre) * (x - centre) / spread)) END, 6) AS distance
+        FROM flat f JOIN figures g ON g.cluster = f.cluster AND g.dim = f.dim GROUP BY f.id, f.cluster""",
     "bfr_merge_pairs": f"""
         WITH {POINTS}, {SUMMARY},
         directed AS (

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from oremill.functions import vectors as vec
 from oremill.functions.hashing import compact_family, hash_values, utf8_int_mod
 from oremill.operators import baskets as bk
 from oremill.operators import clustering as cl
@@ -248,6 +249,15 @@ def bfr_assign(spark: SparkSession, sf: str) -> DataFrame:
     return assigned.select("id", "cluster", F.round("distance", 6).alias("distance"))
 
 
+def bfr_own_distance(spark: SparkSession, sf: str) -> DataFrame:
+    """Distance of every point to its own cluster, in column expressions only."""
+    labelled = _labelled_points(spark, sf)
+    total, squares, n = F.col("sum"), F.col("sumsq"), F.col("n")
+    distance = vec.mahalanobis(F.col("features"), vec.centroid(total, n), vec.variance(total, squares, n))
+    joined = labelled.join(cl.cluster_summary(labelled), "cluster")
+    return joined.select("id", "cluster", F.round(distance, 6).alias("distance"))
+
+
 def bfr_merge_pairs(spark: SparkSession, sf: str) -> DataFrame:
     pairs = cl.merge_pairs(cl.cluster_summary(_labelled_points(spark, sf)), ALPHA)
     return pairs.withColumns({c: F.round(c, 6) for c in ("a_to_b", "b_to_a")})
@@ -261,6 +271,18 @@ def bfr_labels(spark: SparkSession, sf: str) -> DataFrame:
     return cl.bfr(_points(spark, sf), CLUSTERS, alpha=ALPHA, seed=SEED)[1]
 
 
+def clustering_report(spark: SparkSession, sf: str) -> DataFrame:
+    rounds, labels = cl.bfr(_points(spark, sf), CLUSTERS, alpha=ALPHA, seed=SEED)
+    results = labels.select(
+        F.lit("clustering").alias("section"),
+        F.col("id").alias("place"),
+        F.concat_ws(",", F.col("id").cast("string"), F.col("cluster").cast("string")).alias("line"),
+    )
+    return reports.round_lines(rounds).select(
+        F.lit("intermediate").alias("section"), F.col("round").cast("bigint").alias("place"), "line"
+    ).unionByName(results)
+
+
 # Streams
 
 
@@ -397,7 +419,8 @@ def _registered() -> dict[str, Query]:
         cooccurrence_edges, vertex_degrees, lpa_labels, lpa_communities, community_lines, shortest_path_dag,
         edge_betweenness, top_edges, betweenness_lines, connected_components, modularity, first_cut,
         girvan_newman_history, girvan_newman,
-        kmeans_clusters, chunk_sizes, bfr_ds_summary, bfr_assign, bfr_merge_pairs, bfr_rounds, bfr_labels,
+        kmeans_clusters, chunk_sizes, bfr_ds_summary, bfr_assign, bfr_own_distance, bfr_merge_pairs, bfr_rounds, bfr_labels,
+        clustering_report,
         bootstrap_batches, hash_family, bloom_fpr, fm_estimate, fm_csv, reservoir_sample, reservoir_snapshots,
         stream_fm, stream_reservoir, stream_bloom,
         basket_csv, retail_csv, points_csv,

@@ -165,7 +165,7 @@ def test_components_of_chain_and_isolated(spark):
 def test_label_propagation_and_modularity(spark):
     edges = random_graph(5, hub=True) + [("x", "y")]
     expected = brute_labels(edges, 5)
-    labels = label_propagation(edge_frame(spark, edges), 5, cut_every=2)
+    labels = label_propagation(edge_frame(spark, edges), 5, cut_every=2, hub=4)
     assert {r.id: r.label for r in labels.collect()} == expected
     groups = defaultdict(list)
     for v, label in expected.items():
