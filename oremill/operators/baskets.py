@@ -20,7 +20,9 @@ def basket_rows(df: DataFrame, key: str | Column, item: str | Column) -> DataFra
     """
     key = F.col(key) if isinstance(key, str) else key
     item = F.col(item) if isinstance(item, str) else item
-    return df.select(key.alias("key"), item.alias("item")).dropna().distinct()
+    # Plain null tests let the planner see equal inputs as equal and share their shuffle.
+    present = F.col("key").isNotNull() & F.col("item").isNotNull()
+    return df.select(key.alias("key"), item.alias("item")).where(present).distinct()
 
 
 def basket_sizes(rows: DataFrame) -> DataFrame:

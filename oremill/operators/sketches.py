@@ -11,24 +11,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from oremill.functions.hashing import HashFamily, hash_values, trailing_zeros, utf8_int_mod
+from oremill.plans.staging import stage
 
 
 def numbered(df: DataFrame, sequence: str | Column, user: str | Column) -> DataFrame:
     """``(n, user)`` from a dense zero-based ``sequence`` column."""
     sequence = F.col(sequence) if isinstance(sequence, str) else sequence
     user = F.col(user) if isinstance(user, str) else user
-    return df.select((sequence + 1).cast("bigint").alias("n"), user.cast("string").alias("user")).dropna()
+    stream = df.select((sequence + 1).cast("bigint").alias("n"), user.cast("string").alias("user"))
+    return stream.where(F.col("n").isNotNull() & F.col("user").isNotNull())
 
 
 def batch_of(n: Column, size: int) -> Column:
     """Zero-based batch number of arrival ``n``."""
-    return F.floor((n - 1) / F.lit(size)).cast("bigint")
-
-
-def hashed(df: DataFrame, column: str, family: HashFamily) -> DataFrame:
-    """``df`` with ``hashes``: the array of all hash values of ``column``."""
-    residue = df.withColumn("_residue", utf8_int_mod(F.col(column), family.prime))
-    return residue.withColumn("hashes", F.array(*hash_values(F.col("_residue"), family))).drop("_residue")
+    return F.call_function("div", n - 1, F.lit(size))
 
 
 def first_arrivals(stream: DataFrame) -> DataFrame:
@@ -41,9 +37,11 @@ def bloom_outcomes(first: DataFrame, family: HashFamily) -> DataFrame:
 
     Bit ``h`` is set before arrival ``n`` exactly when the earliest arrival that
     hashes to ``h`` is below ``n``, so the whole history of the filter is one
-    minimum per bit (at most ``family.buckets`` rows).
+    minimum per bit (at most ``family.buckets`` rows).  Residues are staged: users
+    are hashed once each, after they have been made distinct.
     """
-    probes = hashed(first, "user", family).select("first", F.explode("hashes").alias("bit"))
+    residues = stage(with_residue(first, family).select("first", "x"), "residues")
+    probes = residues.select("first", F.explode(F.array(*hash_values(F.col("x"), family))).alias("bit"))
     bits = probes.groupBy("bit").agg(F.min("first").alias("set_at"))
     return (
         probes.join(bits, "bit")
@@ -72,12 +70,15 @@ def bloom_fpr(stream: DataFrame, size: int, family: HashFamily) -> DataFrame:
     return false_positive_rates(bloom_outcomes(first_arrivals(stream), family), batches, size)
 
 
-def register_columns(family: HashFamily, column: str = "user") -> list[Column]:
-    """One ``max(trailing zeros)`` aggregate per hash function."""
-    residue = utf8_int_mod(F.col(column), family.prime)
-    return [
-        F.max(trailing_zeros(value)).alias(f"r{i}") for i, value in enumerate(hash_values(residue, family))
-    ]
+def with_residue(df: DataFrame, family: HashFamily) -> DataFrame:
+    """Add ``x``, so that a user's text is folded once and not once per hash function."""
+    return df.withColumn("x", utf8_int_mod(F.col("user"), family.prime))
+
+
+def register_columns(family: HashFamily) -> list[Column]:
+    """One ``max(trailing zeros)`` aggregate per hash function of ``x``."""
+    values = hash_values(F.col("x"), family)
+    return [F.max(trailing_zeros(value)).alias(f"r{i}") for i, value in enumerate(values)]
 
 
 def fm_estimate_column(registers: list[Column], groups: int = 1) -> Column:
@@ -102,11 +103,10 @@ def fm_estimate(stream: DataFrame, size: int, family: HashFamily, groups: int =
     hashed once and never concentrates on one task.
     """
     users = stream.select(batch_of(F.col("n"), size).alias("batch"), "user").distinct()
-    hashed_users = users.withColumn("x", utf8_int_mod(F.col("user"), family.prime))
-    registers = [
-        F.max(trailing_zeros(value)).alias(f"r{i}")
-        for i, value in enumerate(hash_values(F.col("x"), family))
-    ]
-    state = hashed_users.groupBy("batch").agg(F.count("*").alias("truth"), *registers)
+    state = (
+        with_residue(users, family)
+        .groupBy("batch")
+        .agg(F.count("*").alias("truth"), *register_columns(family))
+    )
     names = [F.col(f"r{i}") for i in range(len(family))]
     return state.select("batch", "truth", fm_estimate_column(names, groups).alias("estimate"))

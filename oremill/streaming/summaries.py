@@ -14,7 +14,7 @@ from pyspark.sql.types import IntegerType, StructField, StructType
 
 from oremill.functions.hashing import HashFamily
 from oremill.operators.sampling import replacements
-from oremill.operators.sketches import batch_of, fm_estimate_column, register_columns
+from oremill.operators.sketches import batch_of, fm_estimate_column, register_columns, with_residue
 
 
 def read_stream(spark: SparkSession, path: str, schema, files_per_trigger: int | None = None) -> DataFrame:
@@ -57,7 +57,7 @@ def _run(updates: DataFrame, folder: str, *keys: str) -> DataFrame:
 
 def stream_fm(stream: DataFrame, size: int, family: HashFamily, folder: str, groups: int = 1) -> DataFrame:
     """Streaming ``fm_estimate``.  The exact count keeps at most ``size`` users per batch."""
-    updates = stream.groupBy(batch_of(F.col("n"), size).alias("batch")).agg(
+    updates = with_residue(stream, family).groupBy(batch_of(F.col("n"), size).alias("batch")).agg(
         F.size(F.collect_set("user")).cast("bigint").alias("truth"), *register_columns(family)
     )
     names = [F.col(f"r{i}") for i in range(len(family))]
