@@ -226,7 +226,10 @@ def connected_components(edges: DataFrame, all_vertices: DataFrame | None = None
 
 
 def _large_star(stars: DataFrame) -> DataFrame:
-    """Link every larger neighbour of a vertex to the smallest of its neighbourhood."""
+    """Link every larger neighbour of a vertex to the smallest of its neighbourhood.
+
+    Repeated links are left for the small-star step to merge.
+    """
     near = stars.select(F.col("high").alias("at"), F.col("low").alias("to")).unionByName(
         stars.select(F.col("low").alias("at"), F.col("high").alias("to"))
     )
@@ -235,7 +238,6 @@ def _large_star(stars: DataFrame) -> DataFrame:
         near.join(least, "at")
         .where(F.col("to") > F.col("at"))
         .select(F.col("to").alias("high"), F.col("least").alias("low"))
-        .distinct()
     )
 
 

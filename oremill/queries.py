@@ -60,9 +60,9 @@ def chance_threshold(keys: int, items: int, rows: int, z: float = CHANCE_Z) -> i
 
 
 def _overlap_threshold(rows: DataFrame) -> int:
-    keys = rows.select("key").distinct().count()
+    keys = rows.groupBy("key").agg(F.count("*").alias("size")).agg(F.count("*"), F.sum("size")).first()
     items = rows.select("item").distinct().count()
-    return chance_threshold(max(keys, 1), max(items, 1), rows.count())
+    return chance_threshold(max(keys[0], 1), max(items, 1), keys[1] or 0)
 
 
 def _graph(spark: SparkSession, sf: str) -> DataFrame:
