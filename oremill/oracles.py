@@ -6,6 +6,10 @@ from oremill.functions.hashing import COMPACT_BITS, COMPACT_PRIME, SLOPES
 from oremill.operators.sampling import SNAPSHOT_SLOTS
 from oremill.queries import ALPHA, BATCH, CHANCE_Z, LPA_ROUNDS, RESERVOIR, SEED, SON_PARTS
 
+# The joins below are unrolled to this many items per itemset; it has to exceed
+# the largest itemset that reaches the support.
+MOST = 8
+
 # Baskets of brands per order, and the support of 0.4 % of the baskets.
 BASKETS = """
 baskets AS (
@@ -117,10 +121,10 @@ n{k} AS (
     return out
 
 
-def _itemsets(baskets: str, part: str, most: int = 5) -> str:
+def _itemsets(baskets: str, part: str, most: int = MOST) -> str:
     """``found(part, itemset, size, support)``: locally frequent itemsets up to ``most`` items.
 
-    ``need(part, need)`` must exist.  Level ``most`` has to come out empty.
+    ``need(part, need)`` must exist.  Level ``most`` has to come out empty for the result to be whole.
     """
     unions = " UNION ALL ".join(
         f"SELECT n.* FROM n{k} n JOIN need ON need.part = n.part WHERE n.support >= need.need"
@@ -150,14 +154,7 @@ need AS (
     AS need
   FROM part_sizes
 ), {_itemsets('baskets', f'key % {SON_PARTS}')},
-candidates AS (SELECT itemset, size, count(*) AS parts FROM found GROUP BY itemset, size),
-totals AS (
-  {' UNION ALL '.join(f'SELECT itemset, size, support FROM n{k}' for k in range(1, 6))}
-),
-counted AS (
-  SELECT c.itemset, c.size, sum(t.support) AS support
-  FROM candidates c JOIN totals t ON t.itemset = c.itemset GROUP BY c.itemset, c.size
-)
+candidates AS (SELECT itemset, size, count(*) AS parts FROM found GROUP BY itemset, size)
 """
 
 # Second-pass totals need every occurrence, also where an item is locally rare.
