@@ -15,7 +15,7 @@ from oremill.operators.itemsets import (
     son_itemsets,
 )
 
-# A small basket file, user -> businesses.
+# Most of a small basket file, user -> businesses (compared by enumeration).
 SMALL = {
     1: [100, 98, 101, 102],
     2: [101, 99, 97, 100],
