@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from oremill.llm import licenses, quality_rules, tokens
+from oremill.llm import language_id, licenses, mixing, quality_rules, tokens, url_filter
 from oremill.llm.text import table
+from oremill.plans.staging import stage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -31,6 +32,30 @@ def tokenizer_model(name: str = "piece_bpe_32k.model") -> str:
     return str(public_tokenizers.path(name))
 
 
+@query("op1_language_id")
+def op1_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    apart = language_id.held_out(F.col("doc_id"))
+    model = language_id.learn(docs.where(~apart))
+    guess = docs.select("doc_id", apart.alias("held_out"), language_id.predicted(F.col("text"), model).alias("p"))
+    return guess.select("doc_id", "held_out", F.col("p.lang").alias("lang_pred"), F.col("p.score").alias("score"))
+
+
+#: Rules of the url filter (fixed values of the contract).
+URL_RULES = [
+    url_filter.Rule("allow", "org", "/"),
+    url_filter.Rule("block", "example.org", "/es/"),
+    url_filter.Rule("block", "example.org", "/en/1"),
+    url_filter.Rule("allow", "com", "/fr/"),
+    url_filter.Rule("block", "com", "/de/"),
+]
+
+
+@query("op3_url_filter")
+def op3_url_filter(spark, sf_dir):
+    return url_filter.judged(table(spark, sf_dir, "pages"), URL_RULES)
+
+
 @query(
     "op5_quality_rules",
     """
@@ -89,6 +114,13 @@ def op5_quality_rules(spark, sf_dir):
     return quality_rules.judged(table(spark, sf_dir, "documents"))
 
 
+@query("op6_mixing")
+def op6_mixing(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    sizes = stage(docs.select("doc_id", "source", mixing.n_words(F.col("text")).alias("size")), "sizes")
+    return mixing.mixed(sizes, weights=(5, 2, 1)).select("doc_id", "size", "source_size", "target", "taken")
+
+
 @query("op7_license_scan")
 def op7_license_scan(spark, sf_dir):
     scan = table(spark, sf_dir, "documents").select("doc_id", licenses.scanned(F.col("text")).alias("s"))

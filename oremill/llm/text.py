@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,3 +35,19 @@ def words(text: Column) -> Column:
 
 def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
+
+
+#: Characters that a worker takes up at once, which bounds its memory beside long texts.
+SLICE_CHARS = 2_000_000
+
+
+def sliced(texts: pa.Array) -> Iterator[list[str | None]]:
+    """An Arrow batch in lists of about ``SLICE_CHARS`` characters, one at least."""
+    held, chars = [], 0
+    for text in texts:
+        held.append(text.as_py())
+        chars += len(held[-1] or "")
+        if chars >= SLICE_CHARS:
+            yield held
+            held, chars = [], 0
+    yield held

@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from oremill.llm.text import sliced
+
 MARKER = "▁"
 CHUNK = re.compile(f"[ {MARKER}]*[^ {MARKER}]+|[ {MARKER}]+")
 #: Entries of a task's table; a full table is begun anew.
@@ -90,21 +92,6 @@ class ChunkTable:
         return pa.ListArray.from_arrays(pa.array(np.append(0, ends)[last], pa.int32()), pa.array(ids, pa.int32()))
 
 
-#: Characters that one call turns into ids, which bounds a worker's memory.
-SLICE_CHARS = 2_000_000
-
-
-def _slices(texts: pa.Array) -> Iterator[list[str | None]]:
-    held, chars = [], 0
-    for text in texts.to_pylist():
-        held.append(text)
-        chars += len(text or "")
-        if chars >= SLICE_CHARS:
-            yield held
-            held, chars = [], 0
-    yield held
-
-
 def encoded(text: Column, model: str) -> Column:
     """Array of ids, exactly those of the library's ``encode``."""
 
@@ -112,7 +99,7 @@ def encoded(text: Column, model: str) -> Column:
     def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         table = ChunkTable(model)
         for batch in batches:
-            yield pa.concat_arrays([table.ids(part) for part in _slices(batch)])
+            yield pa.concat_arrays([table.ids(part) for part in sliced(batch)])
 
     return ids(text.cast("string"))
 
