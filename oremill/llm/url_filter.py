@@ -7,7 +7,7 @@ Bayes with even class priors.  It learns from every url that a rule decides and
 small seed list of words, and judges the urls that no rule fits.
 
 A url that is null or has no ``://`` has an empty host and path; without any word the
-score is even and the url is allowed.  Repeated rows are judged one by one.
+prior decides and the url is allowed.  Repeated rows are judged one by one.
 """
 
 from __future__ import annotations
@@ -31,11 +31,12 @@ BUCKETS = 1 << 16
 DICTIONARY = 50_000
 LONGEST_WORD = 24
 #: Share of a class's probability that lies on its seed words, however many urls are labelled.
-SEED_SHARE = 0.5
-FLOOR = 1e-5  # added to every feature's probability
+SEED_SHARE = 0.9
+FLOOR = 1e-3  # added to every feature's probability in either class
+BLOCK_PRIOR = 0.1
 SEEDS = {
     "allow": "news docs wiki school library university museum science health weather journal archive help support".split(),
-    "block": "spam casino poker porn adult bet betting viagra pills loan loans hack crack warez torrent malware phish phishing escort lottery xxx farm".split(),
+    "block": "spam casino poker porn adult bet betting viagra pills loan loans hack crack warez torrent malware phish phishing escort lottery xxx farm ads track cheap free win".split(),
 }
 
 
@@ -155,12 +156,13 @@ def fit(labelled: DataFrame) -> np.ndarray:
 
 def block_odds(found: Column, weights: np.ndarray) -> Column:
     """Log odds that a url's features call for blocking."""
+    prior = math.log(BLOCK_PRIOR / (1 - BLOCK_PRIOR))
 
     @F.arrow_udf("double")
     def odds(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for lists in batches:
             of = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
-            yield pa.array(np.bincount(of, weights=weights[lists.flatten().to_numpy()], minlength=len(lists)), pa.float64())
+            yield pa.array(prior + np.bincount(of, weights=weights[lists.flatten().to_numpy()], minlength=len(lists)), pa.float64())
 
     return odds(found)
 
