@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from oremill.llm import language_id, licenses, mixing, quality_rules, tokens, url_filter
+from oremill.llm import language_id, licenses, mixing, neighbours, quality_rules, tokens, url_filter
 from oremill.llm.text import table
 from oremill.plans.staging import stage
 
@@ -41,6 +41,11 @@ def op1_language_id(spark, sf_dir):
     return guess.select("doc_id", "held_out", F.col("p.lang").alias("lang_pred"), F.col("p.score").alias("score"))
 
 
+@query("op2_nearest_neighbours")
+def op2_nearest_neighbours(spark, sf_dir):
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), asks=F.col("id") % 50 == 0)
+
+
 #: Rules of the url filter (fixed values of the contract).
 URL_RULES = [
     url_filter.Rule("allow", "org", "/"),
