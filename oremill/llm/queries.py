@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from oremill.llm import language_id, licenses, mixing, neighbours, quality_rules, tokens, url_filter
+from oremill.llm import language_id, licenses, mixing, neighbours, quality_model, quality_rules, tokens, url_filter
 from oremill.llm.text import table
 from oremill.plans.staging import stage
 
@@ -143,6 +143,12 @@ def op7_license_scan(spark, sf_dir):
     )
 
 
+@query("op8_quality_classifier")
+def op8_quality_classifier(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality_model.judged(docs).select("doc_id", "score", "kept")
+
+
 @query("op10_sentencepiece")
 def op10_sentencepiece(spark, sf_dir):
     model = tokenizer_model()
