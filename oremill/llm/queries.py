@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from oremill.llm import language_id, licenses, mixing, neighbours, quality_model, quality_rules, tokens, url_filter
+from oremill.llm import language_id, licenses, mixing, neighbours, ngram_join, quality_model, quality_rules, tokens, url_filter
 from oremill.llm.text import table
 from oremill.plans.staging import stage
 
@@ -61,6 +61,11 @@ def op3_url_filter(spark, sf_dir):
     return url_filter.judged(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+@query("op4_ngram_join")
+def op4_ngram_join(spark, sf_dir):
+    return ngram_join.joined(table(spark, sf_dir, "documents"))
+
+
 @query(
     "op5_quality_rules",
     """
