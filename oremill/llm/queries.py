@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from oremill.llm import language_id, licenses, mixing, neighbours, ngram_join, quality_model, quality_rules, tokens, url_filter
+from oremill.llm import language_id, licenses, line_dedup, mixing, neighbours, ngram_join, quality_model, quality_rules, tokens, url_filter
 from oremill.llm.text import table
 from oremill.plans.staging import stage
 
@@ -154,6 +154,18 @@ def op8_quality_classifier(spark, sf_dir):
     return quality_model.judged(docs).select("doc_id", "score", "kept")
 
 
+@query("op9_line_dedup")
+def op9_line_dedup(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    decided = line_dedup.kept_lines(docs)
+    return decided.select(
+        F.col("id").alias("doc_id"),
+        "n_lines",
+        (F.col("n_lines") - F.size("kept")).alias("n_removed"),
+        F.concat_ws(",", F.col("kept").cast("array<string>")).alias("kept_lines"),
+    )
+
+
 @query("op10_sentencepiece")
 def op10_sentencepiece(spark, sf_dir):
     model = tokenizer_model()
