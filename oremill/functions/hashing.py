@@ -83,5 +83,14 @@ def draw32(seed: int, number: Column, stream: int = 0) -> Column:
     """A uniform integer in [0, 2^32) that depends only on (seed, number, stream)."""
     if not 0 <= stream < 4:
         raise ValueError("stream must be 0..3")
+    return _digits(seed, number, 8 * stream + 1, 8)
+
+
+def draw48(seed: int, number: Column) -> Column:
+    """A uniform integer in [0, 2^48), made of the same digits as ``draw32``'s first two streams."""
+    return _digits(seed, number, 1, 12)
+
+
+def _digits(seed: int, number: Column, first: int, count: int) -> Column:
     digest = F.md5(F.concat(F.lit(f"{seed}:"), number.cast("string")))
-    return F.conv(F.substring(digest, 8 * stream + 1, 8), 16, 10).cast("bigint")
+    return F.conv(F.substring(digest, first, count), 16, 10).cast("bigint")

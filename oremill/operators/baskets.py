@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SET_CHUNK = 10_000
+from oremill.plans.staging import stage
 
 
 def basket_rows(df: DataFrame, key: str | Column, item: str | Column) -> DataFrame:
@@ -31,34 +31,23 @@ def basket_sizes(rows: DataFrame) -> DataFrame:
 
 def longer_than(rows: DataFrame, size: int) -> DataFrame:
     """Rows of baskets holding strictly more than ``size`` items."""
-    keep = basket_sizes(rows).where(F.col("size") > size).select("key")
+    # A join of two stored tables is one whose skewed partitions are split at run time.
+    keep = stage(basket_sizes(rows).where(F.col("size") > size).select("key"), "long")
     return rows.join(keep, "key", "left_semi")
 
 
-def basket_sets(rows: DataFrame, chunk: int = SET_CHUNK) -> DataFrame:
-    """``(key, part, items, size)``: each basket as sorted arrays.
+def basket_sets(rows: DataFrame, parts: int = 1) -> DataFrame:
+    """``(key, part, items, size)``: each basket as sorted arrays, with its full size.
 
-    A basket of up to ``chunk`` items is one row with ``part`` 0.  A longer one
-    is spread by item hash over ``ceil(size / chunk)`` rows so that no task ever
-    builds an unbounded array; together its rows hold the whole basket.
+    Every basket is spread by item hash over at most ``parts`` rows, whatever its
+    size; choose more than one where a basket would make too long an array.  The
+    long rows themselves are the form without arrays.
     """
-    long = (
-        basket_sizes(rows)
-        .where(F.col("size") > chunk)
-        .select("key", F.ceil(F.col("size") / F.lit(chunk)).alias("parts"))
-    )
-    placed = rows.join(long, "key", "left").select(
-        "key",
-        "item",
-        F.when(F.col("parts").isNull(), F.lit(0))
-        .otherwise(F.pmod(F.xxhash64("item"), F.col("parts")))
-        .cast("int")
-        .alias("part"),
-    )
-    return placed.groupBy("key", "part").agg(
-        F.array_sort(F.collect_list("item")).alias("items"),
-        F.count("*").alias("size"),
-    )
+    placed = rows.select("key", "item", F.pmod(F.xxhash64("item"), F.lit(parts)).cast("int").alias("part"))
+    sets = placed.groupBy("key", "part").agg(F.sort_array(F.collect_list("item")).alias("items"), F.count("*").alias("size"))
+    if parts == 1:
+        return sets
+    return sets.drop("size").join(stage(basket_sizes(rows), "sizes"), "key")
 
 
 def item_support(rows: DataFrame, support: int = 1) -> DataFrame:
@@ -68,4 +57,4 @@ def item_support(rows: DataFrame, support: int = 1) -> DataFrame:
 
 def scaled_support(part_baskets: str, support: int, baskets: int) -> Column:
     """``ceil(part_baskets * support / baskets)`` in exact integer arithmetic."""
-    return F.expr(f"({part_baskets} * {support} + {baskets - 1}) div {baskets}")
+    return F.expr(f"(cast({part_baskets} as decimal(38, 0)) * {support} + {baskets - 1}) div {baskets}")

@@ -249,7 +249,13 @@ def _close(one, two, alpha: float) -> bool:
 
 
 def bfr(
-    points: DataFrame, k: int, chunks: int = 5, alpha: float = 2.0, seed: int = 553, max_iter: int = 20
+    points: DataFrame,
+    k: int,
+    chunks: int = 5,
+    alpha: float = 2.0,
+    seed: int = 553,
+    max_iter: int = 20,
+    first_pass_clusters: int | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Returns ``(rounds, labels)``.
 
@@ -257,6 +263,12 @@ def bfr(
     each chunk; ``labels`` is ``(id, cluster)`` with -1 for points that ended in
     the compression or retained set.
 
+    Outliers are the singletons of a first clustering of chunk 0 into
+    ``first_pass_clusters`` (25 k by default) clusters.  A chunk 0 with fewer points,
+    or with fewer than ``k`` points besides outliers, is an error.  A retained set
+    of no more points than the clusters it should fall into stays as it is.
+    ``max_iter`` bounds the iterations of every K-Means fit.
+
     Within a chunk, points are compared with the discard set as it was when the
     chunk began, and its summaries are updated once at the end, so the result
     does not depend on the order of points.  Centroids are always ``sum / n``,
@@ -268,16 +280,15 @@ def bfr(
     def chunk(i: int) -> DataFrame:
         return chunked.where(F.col("chunk") == i).select("id", "features")
 
-    fine = FIRST_PASS_FACTOR * k
+    fine = first_pass_clusters or FIRST_PASS_FACTOR * k
     n_first = chunk(0).count()
     if n_first < fine:
-        # With more clusters than points every point would look like an outlier.
-        fine = max(1, n_first // 4)
+        raise ValueError(f"the first chunk has {n_first} points for {fine} clusters: lower first_pass_clusters")
     first = stage(kmeans_labels(chunk(0), fine, seed, max_iter), "peel")
     body, outliers = split_singletons(first)
     body, n_body = stage_counted(body.drop("cluster"), "body")
     if n_body < k:
-        body, outliers = chunk(0), first.where(F.lit(False))
+        raise ValueError(f"only {n_body} points of the first chunk are no outliers: lower first_pass_clusters")
     labelled = stage(kmeans_labels(body, k, seed, max_iter), "discard")
     discard = Summaries.collect(cluster_summary(labelled))
     discard_members = [labelled.select("id", "cluster")]

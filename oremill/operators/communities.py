@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from oremill.operators.baskets import SET_CHUNK, basket_sets
+from oremill.operators.baskets import basket_sets
 from oremill.plans.staging import stage, stage_observed, unstage
 
 POPULAR = 1_000  # basket count above which an item counts as popular
@@ -205,13 +205,15 @@ def connected_components(edges: DataFrame, all_vertices: DataFrame | None = None
     ).where(F.col("high") != F.col("low")).distinct()
     current, seen = None, None
     while True:
+        used: list[DataFrame] = []
+        linked = stage(_large_star(stars, used), "linked")
         following, now = stage_observed(
-            _small_star(_large_star(stars)),
+            _small_star(linked, used),
             "stars",
             rows=F.count(F.lit(1)),
             mark=F.bit_xor(F.xxhash64("high", "low")),
         )
-        unstage(current)
+        unstage(current, linked, *used)
         current = stars = following
         if now == seen or not now["rows"]:
             break
@@ -225,7 +227,7 @@ def connected_components(edges: DataFrame, all_vertices: DataFrame | None = None
     return labelled.unionByName(alone.withColumn("component", F.col("id")))
 
 
-def _large_star(stars: DataFrame) -> DataFrame:
+def _large_star(stars: DataFrame, used: list[DataFrame]) -> DataFrame:
     """Link every larger neighbour of a vertex to the smallest of its neighbourhood.
 
     Repeated links are left for the small-star step to merge.
@@ -233,7 +235,10 @@ def _large_star(stars: DataFrame) -> DataFrame:
     near = stars.select(F.col("high").alias("at"), F.col("low").alias("to")).unionByName(
         stars.select(F.col("low").alias("at"), F.col("high").alias("to"))
     )
-    least = near.groupBy("at").agg(F.least(F.min("to"), F.col("at")).alias("least"))
+    # Stored, so that the join is between two plain shuffles, which can be split where a root
+    # with most vertices makes one partition long.
+    least = stage(near.groupBy("at").agg(F.least(F.min("to"), F.col("at")).alias("least")), "least")
+    used.append(least)
     return (
         near.join(least, "at")
         .where(F.col("to") > F.col("at"))
@@ -241,9 +246,10 @@ def _large_star(stars: DataFrame) -> DataFrame:
     )
 
 
-def _small_star(stars: DataFrame) -> DataFrame:
+def _small_star(stars: DataFrame, used: list[DataFrame]) -> DataFrame:
     """Link a vertex and its smaller neighbours to the smallest of them."""
-    least = stars.groupBy("high").agg(F.min("low").alias("least"))
+    least = stage(stars.groupBy("high").agg(F.min("low").alias("least")), "least")
+    used.append(least)
     hooked = (
         stars.join(least, "high")
         .where(F.col("low") > F.col("least"))
@@ -281,16 +287,10 @@ def modularity(edges: DataFrame, labels: DataFrame) -> DataFrame:
     )
 
 
-def community_listing(labels: DataFrame, chunk: int = SET_CHUNK) -> DataFrame:
+def community_listing(labels: DataFrame, parts: int = 1) -> DataFrame:
     """``(label, part, members, size)``: sorted members, with the community's full size.
 
-    As in ``basket_sets``, a community of more than ``chunk`` members spans rows.
+    As in ``basket_sets``, every community spans at most ``parts`` rows.
     """
     rows = labels.select(F.col("label").alias("key"), F.col("id").alias("item"))
-    sizes = rows.groupBy("key").agg(F.count("*").alias("size"))
-    return (
-        basket_sets(rows, chunk)
-        .drop("size")
-        .join(sizes, "key")
-        .select(F.col("key").alias("label"), "part", F.col("items").alias("members"), "size")
-    )
+    return basket_sets(rows, parts).select(F.col("key").alias("label"), "part", F.col("items").alias("members"), "size")

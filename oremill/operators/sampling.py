@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from oremill.functions.hashing import draw32
+from oremill.functions.hashing import draw32, draw48
 from oremill.operators.sketches import batch_of
 
 SNAPSHOT_SLOTS = (0, 20, 40, 60, 80)
@@ -23,8 +23,11 @@ def replacements(stream: DataFrame, k: int, seed: int) -> DataFrame:
     ``k * (1 + ln(N / k))`` of N rows remain.
     """
     n = F.col("n")
-    accepted = (n <= k) | (draw32(seed, n, 0) * n < F.lit(k * 2**32))
-    slot = F.when(n <= k, n - 1).otherwise(draw32(seed, n, 1) % F.lit(k))
+    if not 0 < k < 2**15:
+        raise ValueError("k must be 1..32767")
+    # A quotient instead of a product with n: no stream is long enough to overflow it.
+    accepted = (n <= k) | (draw48(seed, n) < F.expr(f"{k * 2**48}L div n"))
+    slot = F.when(n <= k, n - 1).otherwise(draw32(seed, n, 2) % F.lit(k))
     return stream.where(accepted).select("n", "user", slot.cast("int").alias("slot"))
 
 

@@ -90,7 +90,7 @@ betweenness AS (
   GROUP BY 1, 2
 ),
 highest AS (
-  SELECT * FROM betweenness WHERE round(betweenness, 9) = (SELECT max(round(betweenness, 9)) FROM betweenness)
+  SELECT * FROM betweenness WHERE betweenness >= (SELECT max(betweenness) FROM betweenness) * (1 - 1e-9)
 )"""
 )
 
@@ -240,8 +240,8 @@ def _draw(number: str, stream: int) -> str:
 ENTERED = f"""
 , entered AS (
   SELECT n, user_name,
-         CASE WHEN n <= {RESERVOIR} THEN n - 1 ELSE {_draw('n', 1)} % {RESERVOIR} END AS slot
-  FROM stream WHERE n <= {RESERVOIR} OR {_draw('n', 0)} * n < {RESERVOIR * 2**32}
+         CASE WHEN n <= {RESERVOIR} THEN n - 1 ELSE {_draw('n', 2)} % {RESERVOIR} END AS slot
+  FROM stream WHERE n <= {RESERVOIR} OR ('0x' || substr(md5('{SEED}:' || n), 1, 12))::BIGINT < {RESERVOIR * 2**48} // n
 )
 """
 
@@ -352,6 +352,27 @@ ORACLES = {
           )
         ), {_reach('remaining', 'vertices')}
         SELECT id, min(other) AS component FROM reach GROUP BY id""",
+    "girvan_newman_summary": f"""
+        WITH RECURSIVE {GRAPH} {BETWEENNESS},
+        remaining AS (
+          SELECT e.src, e.dst FROM edges e
+          WHERE NOT EXISTS (
+            SELECT 1 FROM highest h WHERE h.src = least(e.src, e.dst) AND h.dst = greatest(e.src, e.dst)
+          )
+        ), {_reach('remaining', 'vertices')},
+        labels AS (SELECT id, min(other) AS label FROM reach GROUP BY id),
+        per_label AS (
+          SELECT a.label, count(*) AS ends, count(*) FILTER (WHERE a.label = b.label) AS inside
+          FROM edges e JOIN labels a ON a.id = e.src JOIN labels b ON b.id = e.dst GROUP BY a.label
+        ),
+        total AS (SELECT count(*)::DOUBLE AS ends FROM edges),
+        alone AS (SELECT src, count(*)::DOUBLE AS degree FROM edges GROUP BY src)
+        SELECT (SELECT count(*) // 2 FROM edges) AS removed,
+               (SELECT count(*) FROM highest) AS first_removed,
+               (SELECT count(DISTINCT label) FROM labels) AS first_communities,
+               (SELECT round(sum(inside / t.ends - (p.ends / t.ends) * (p.ends / t.ends)), 6) FROM per_label p, total t) AS first_modularity,
+               (SELECT count(*) FROM alone) AS last_communities,
+               (SELECT round(-sum((degree / t.ends) * (degree / t.ends)), 6) FROM alone, total t) AS last_modularity""",
     "chunk_sizes": f"WITH {POINTS} SELECT chunk, count(*) AS points FROM points GROUP BY chunk",
     "bfr_ds_summary": f"""
         WITH {POINTS}

@@ -12,6 +12,7 @@ from oremill.functions.hashing import compact_family, hash_values, utf8_int_mod
 from oremill.operators import baskets as bk
 from oremill.operators import clustering as cl
 from oremill.operators import communities as cm
+from oremill.operators import divisive as dv
 from oremill.operators import itemsets as it
 from oremill.operators import paths as ph
 from oremill.operators import sampling as sm
@@ -28,6 +29,7 @@ BATCH = 100
 RESERVOIR = 100
 SON_PARTS = 4
 CLUSTERS = 10
+FIRST_PASS = 40  # clusters that show the outliers among a fifth of 500 points or more
 ALPHA = 1.1
 CHANCE_Z = 2.5
 LPA_ROUNDS = 5
@@ -211,11 +213,24 @@ def first_cut(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def girvan_newman_history(spark: SparkSession, sf: str) -> DataFrame:
-    return ph.girvan_newman(_graph(spark, sf), max_cuts=3)[0].withColumn("modularity", F.round("modularity", 6))
+    return dv.girvan_newman(_graph(spark, sf))[0].withColumn("modularity", F.round("modularity", 6))
 
 
 def girvan_newman(spark: SparkSession, sf: str) -> DataFrame:
-    return _listing_text(cm.community_listing(ph.girvan_newman(_graph(spark, sf), max_cuts=3)[1]))
+    return _listing_text(cm.community_listing(dv.girvan_newman(_graph(spark, sf))[1]))
+
+
+def girvan_newman_summary(spark: SparkSession, sf: str) -> DataFrame:
+    """First round, last round and totals of the whole run."""
+    rounds = dv.girvan_newman(_graph(spark, sf))[0]
+    return rounds.groupBy().agg(
+        F.sum("removed").alias("removed"),
+        F.min_by("removed", "cut").alias("first_removed"),
+        F.min_by("communities", "cut").alias("first_communities"),
+        F.round(F.min_by("modularity", "cut"), 6).alias("first_modularity"),
+        F.max_by("communities", "cut").alias("last_communities"),
+        F.round(F.max_by("modularity", "cut"), 6).alias("last_modularity"),
+    )
 
 
 # Clustering
@@ -264,15 +279,15 @@ def bfr_merge_pairs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def bfr_rounds(spark: SparkSession, sf: str) -> DataFrame:
-    return cl.bfr(_points(spark, sf), CLUSTERS, alpha=ALPHA, seed=SEED)[0]
+    return cl.bfr(_points(spark, sf), CLUSTERS, alpha=ALPHA, seed=SEED, first_pass_clusters=FIRST_PASS)[0]
 
 
 def bfr_labels(spark: SparkSession, sf: str) -> DataFrame:
-    return cl.bfr(_points(spark, sf), CLUSTERS, alpha=ALPHA, seed=SEED)[1]
+    return cl.bfr(_points(spark, sf), CLUSTERS, alpha=ALPHA, seed=SEED, first_pass_clusters=FIRST_PASS)[1]
 
 
 def clustering_report(spark: SparkSession, sf: str) -> DataFrame:
-    rounds, labels = cl.bfr(_points(spark, sf), CLUSTERS, alpha=ALPHA, seed=SEED)
+    rounds, labels = cl.bfr(_points(spark, sf), CLUSTERS, alpha=ALPHA, seed=SEED, first_pass_clusters=FIRST_PASS)
     results = labels.select(
         F.lit("clustering").alias("section"),
         F.col("id").alias("place"),
@@ -418,7 +433,7 @@ def _registered() -> dict[str, Query]:
         local_thresholds, son_candidates, son_counts, itemset_report,
         cooccurrence_edges, vertex_degrees, lpa_labels, lpa_communities, community_lines, shortest_path_dag,
         edge_betweenness, top_edges, betweenness_lines, connected_components, modularity, first_cut,
-        girvan_newman_history, girvan_newman,
+        girvan_newman_history, girvan_newman, girvan_newman_summary,
         kmeans_clusters, chunk_sizes, bfr_ds_summary, bfr_assign, bfr_own_distance, bfr_merge_pairs, bfr_rounds, bfr_labels,
         clustering_report,
         bootstrap_batches, hash_family, bloom_fpr, fm_estimate, fm_csv, reservoir_sample, reservoir_snapshots,

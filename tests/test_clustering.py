@@ -107,7 +107,7 @@ def test_bfr_recovers_blobs_and_accounts_for_every_point(spark):
     x, truth = blobs(seed=3, per=600)
     far = np.array([[400.0, 400.0, 400.0], [-400.0, 300.0, 10.0], [10.0, -500.0, 250.0]])
     points = frame(spark, np.concatenate([x, far])).drop("cluster")
-    rounds, labels = bfr(points, k=3, chunks=5, seed=5, max_iter=3)
+    rounds, labels = bfr(points, k=3, chunks=5, seed=5, max_iter=3, first_pass_clusters=12)
     got = {r.id: r.cluster for r in labels.collect()}
     assert len(got) == labels.count() == len(x) + len(far)
     table = rounds.orderBy("round").collect()
@@ -127,7 +127,7 @@ def test_bfr_recovers_blobs_and_accounts_for_every_point(spark):
 def test_bfr_keeps_compression_sets_counted(spark):
     rng = np.random.default_rng(8)
     x = rng.normal(size=(260, 4))
-    rounds, labels = bfr(frame(spark, x).drop("cluster"), k=2, alpha=0.6, seed=2, max_iter=3)
+    rounds, labels = bfr(frame(spark, x).drop("cluster"), k=2, alpha=0.6, seed=2, max_iter=3, first_pass_clusters=8)
     assert labels.count() == labels.select("id").distinct().count() == 260
     seen = 0
     table = rounds.orderBy("round").collect()

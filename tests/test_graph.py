@@ -14,7 +14,8 @@ from oremill.operators.communities import (
     modularity,
     symmetric,
 )
-from oremill.operators.paths import edge_betweenness, girvan_newman, shortest_paths, top_edges
+from oremill.operators.divisive import girvan_newman
+from oremill.operators.paths import edge_betweenness, shortest_paths, top_edges
 
 
 def edge_frame(spark, edges):
@@ -173,16 +174,19 @@ def test_label_propagation_and_modularity(spark):
     row = modularity(symmetric(edge_frame(spark, edges)), labels).first()
     assert row.edges == len(edges) and row.communities == len(groups)
     assert row.modularity == pytest.approx(brute_modularity(edges, groups.values()))
-    listing = community_listing(labels, chunk=3).collect()
+    listing = community_listing(labels, parts=3).collect()
     for label, members in groups.items():
         parts = [r for r in listing if r.label == label]
         assert sorted(m for r in parts for m in r.members) == sorted(members)
         assert all(r["size"] == len(members) for r in parts)
 
 
-def test_girvan_newman_full_run(spark):
+@pytest.mark.parametrize("local_edges", [500, 4])
+def test_girvan_newman_full_run(spark, local_edges):
     edges = [("a", "b"), ("b", "c"), ("a", "c"), ("c", "d"), ("d", "e"), ("x", "y")]
-    history, communities = girvan_newman(edge_frame(spark, edges))
+    if local_edges == 500:
+        edges += [(f"{a}2", f"{b}2") for a, b in random_graph(3, n=14, m=22)] + [(f"{a}3", f"{b}3") for a, b in random_graph(4, n=9, m=12)]
+    history, communities = girvan_newman(edge_frame(spark, edges), local_edges)
     left, expected, best = list(edges), [], None
     names = {v for e in edges for v in e}
     while left:
@@ -213,3 +217,8 @@ def test_top_edges_ignore_last_digits(spark):
     df = spark.createDataFrame([("a", "b", 2.0), ("c", "d", 2.0 + 1e-13), ("e", "f", 1.0)], "src string, dst string, betweenness double")
     assert {r.src for r in top_edges(df).collect()} == {"a", "c"}
     assert top_edges(df.where(F.lit(False))).count() == 0
+
+
+def test_top_edges_tie_large_values(spark):
+    df = spark.createDataFrame([("a", "b", 1e12), ("c", "d", 1e12 * (1 + 1e-13)), ("e", "f", 9e11)], "src string, dst string, betweenness double")
+    assert {r.src for r in top_edges(df).collect()} == {"a", "c"}

@@ -6,7 +6,7 @@ import pytest
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import functions as F
 
-from oremill.operators.baskets import basket_rows, basket_sets, item_support, longer_than
+from oremill.operators.baskets import basket_rows, basket_sets, item_support, longer_than, scaled_support
 from oremill.operators.itemsets import (
     count_itemsets,
     frequent_itemsets,
@@ -71,11 +71,12 @@ def test_basket_rows_are_distinct_and_null_free(spark):
     assert sorted(map(tuple, basket_rows(df, "i", "k").collect())) == [("x", "a"), ("y", "b")]
 
 
-def test_basket_sets_split_long_baskets_without_loss(spark):
+def test_basket_sets_in_parts_keep_everything(spark):
     rows = as_rows(spark, {"long": [f"{i:03d}" for i in range(100)], "short": ["b", "a"]})
-    sets = basket_sets(rows, chunk=30).collect()
-    short = [r for r in sets if r.key == "short"]
-    assert [(r.part, r["items"]) for r in short] == [(0, ["a", "b"])]
+    assert {(r.key, r.part, r["size"]) for r in basket_sets(rows).collect()} == {("long", 0, 100), ("short", 0, 2)}
+    sets = basket_sets(rows, parts=4).collect()
+    assert {(r.key, r["size"]) for r in sets} == {("long", 100), ("short", 2)}
+    assert sorted(i for r in sets if r.key == "short" for i in r["items"]) == ["a", "b"]
     long = [r for r in sets if r.key == "long"]
     assert len(long) > 1
     assert sorted(i for r in long for i in r["items"]) == [f"{i:03d}" for i in range(100)]
@@ -151,3 +152,8 @@ def test_local_thresholds_round_up(spark):
     rows = spark.createDataFrame([(p, k, "x") for p, k in [(0, 1), (0, 2), (0, 3), (1, 4)]], "part long, key long, item string")
     assert {(r.part, r.need) for r in local_thresholds(rows, 3).collect()} == {(0, 3), (1, 1)}
     assert son_candidates(rows.drop("part"), 2, F.col("key") % 2).count() == 1
+
+
+def test_scaled_support_does_not_overflow(spark):
+    got = spark.range(1).select(F.lit(6 * 10**10).alias("n")).select(scaled_support("n", 10**9, 25 * 10**10).alias("s")).first().s
+    assert got == 240_000_000

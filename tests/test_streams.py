@@ -11,11 +11,12 @@ from oremill.functions.hashing import (
     SLOPES,
     compact_family,
     draw32,
+    draw48,
     trailing_zeros,
     utf8_int_mod,
     wide_family,
 )
-from oremill.operators.sampling import bootstrap_batches, reservoir, reservoir_snapshots
+from oremill.operators.sampling import bootstrap_batches, replacements, reservoir, reservoir_snapshots
 from oremill.operators.sketches import bloom_fpr, bloom_outcomes, false_positive_rates, fm_estimate, numbered
 from oremill.streaming.summaries import read_stream, stream_first_arrivals, stream_fm, stream_reservoir
 
@@ -101,7 +102,7 @@ def test_fm_replays_the_registers(spark, groups):
 
 
 def draws(spark, seed, n):
-    df = spark.range(1, n + 1).select("id", draw32(seed, F.col("id"), 0).alias("a"), draw32(seed, F.col("id"), 1).alias("b"))
+    df = spark.range(1, n + 1).select("id", draw48(seed, F.col("id")).alias("a"), draw32(seed, F.col("id"), 2).alias("b"))
     return {r.id: (r.a, r.b) for r in df.collect()}
 
 
@@ -111,7 +112,7 @@ def replay_reservoir(users, k, seed, table):
         accept, slot = table[n]
         if n <= k:
             sample[n - 1] = (user, n)
-        elif accept * n < k * 2**32:
+        elif accept < k * 2**48 // n:
             sample[slot % k] = (user, n)
         out.append(list(sample))
     return out
@@ -164,3 +165,10 @@ def test_streams_equal_batches(spark, tmp_path):
     batches = spark.range(4).select(F.col("id").alias("batch"))
     rates = false_positive_rates(bloom_outcomes(first, family), batches, 100)
     assert sorted(map(tuple, rates.collect())) == sorted(map(tuple, bloom_fpr(batch, 100, family).collect()))
+
+
+def test_reservoir_of_very_long_streams(spark):
+    late = spark.range(3 * 10**9, 3 * 10**9 + 1000).union(spark.range(10**12, 10**12 + 1000)).select(F.col("id").alias("n"), F.lit("u").alias("user"))
+    assert replacements(late, 50, 7).count() == 0
+    early = spark.range(1, 2001).select(F.col("id").alias("n"), F.lit("u").alias("user"))
+    assert 120 < replacements(early, 50, 7).count() < 360  # about 50 (1 + ln 40)
