@@ -426,6 +426,36 @@ ORACLES = {
     "bloom_fpr": f"WITH RECURSIVE {ORDERS} {BLOOM}",
     "fm_estimate": f"""
         WITH RECURSIVE {ORDERS} {FM} SELECT batch, truth, estimate FROM truths JOIN estimates USING (batch)""",
+    "itemset_report_file": f"""
+        {SON_COUNTS},
+        printed AS (
+          SELECT 0 AS section, size, 0 AS rank, {PRINTED} AS line FROM counted
+          UNION ALL SELECT 1, size, 0, {PRINTED} FROM counted WHERE support >= (SELECT s FROM support)
+        ),
+        whole AS (
+          SELECT * FROM printed
+          UNION ALL SELECT DISTINCT section, size, 1, '' FROM printed
+          UNION ALL SELECT 0, 0, 0, 'Candidates:' UNION ALL SELECT 1, 0, 0, 'Frequent Itemsets:'
+        )
+        SELECT row_number() OVER (ORDER BY section, size, rank, line) AS n, line FROM whole""",
+    "betweenness_file": f"""
+        WITH RECURSIVE {GRAPH} {BETWEENNESS}
+        SELECT row_number() OVER (ORDER BY round(betweenness, 6) DESC, src, dst) AS n,
+               '(''' || src || ''', ''' || dst || '''), ' || printf('%.6f', round(betweenness, 6)) AS line
+        FROM betweenness""",
+    "community_file": f"""
+        WITH {GRAPH} {LABELS},
+        printed AS (
+          SELECT count(*) AS size, string_agg('''' || id || '''', ', ' ORDER BY id) AS line FROM labels GROUP BY label
+        )
+        SELECT row_number() OVER (ORDER BY size, line) AS n, line FROM printed""",
+    "fpr_csv": f"WITH RECURSIVE {ORDERS} {BLOOM.replace('SELECT b.batch, coalesce(fp, 0) AS fp, coalesce(tn, 0) AS tn,', 'SELECT b.batch AS time,')}",
+    "reservoir_csv": f"""
+        WITH RECURSIVE {ORDERS} {ENTERED},
+        ends AS (SELECT batch, max(n) AS seqnum FROM stream GROUP BY batch)
+        SELECT b.seqnum,
+               {', '.join(f'max_by(e.user_name, e.n) FILTER (WHERE e.slot = {s}) AS "{s}_id"' for s in SNAPSHOT_SLOTS)}
+        FROM ends b JOIN entered e ON e.n <= b.seqnum GROUP BY b.batch, b.seqnum""",
     "fm_csv": f"""
         WITH RECURSIVE {ORDERS} {FM}
         SELECT batch AS time, truth AS ground_truth, estimate AS estimation

@@ -336,6 +336,42 @@ def fm_csv(spark: SparkSession, sf: str) -> DataFrame:
     return back.csv(path, header=True)
 
 
+def _written(spark: SparkSession, lines: DataFrame, *order) -> DataFrame:
+    """A report written as an ordered file and read back with line numbers."""
+    path = staging_path(spark, "report")
+    reports.write_lines(lines, path, *order)
+    return readers.numbered_lines(spark, path)
+
+
+def itemset_report_file(spark: SparkSession, sf: str) -> DataFrame:
+    path = staging_path(spark, "report")
+    reports.write_itemset_report(stage(itemset_report(spark, sf), "itemsets"), path)
+    return readers.numbered_lines(spark, path)
+
+
+def betweenness_file(spark: SparkSession, sf: str) -> DataFrame:
+    return _written(spark, betweenness_lines(spark, sf), F.desc("betweenness"), "src", "dst")
+
+
+def community_file(spark: SparkSession, sf: str) -> DataFrame:
+    return _written(spark, community_lines(spark, sf), "size", "line")
+
+
+def fpr_csv(spark: SparkSession, sf: str) -> DataFrame:
+    """The false-positive rates written as CSV and read back."""
+    path = staging_path(spark, "csv")
+    reports.write_csv(bloom_fpr(spark, sf).select(F.col("batch").alias("Time"), F.col("fpr").alias("FPR")), path, "Time")
+    return spark.read.schema("time bigint, fpr double").csv(path, header=True)
+
+
+def reservoir_csv(spark: SparkSession, sf: str) -> DataFrame:
+    """The snapshots written as CSV and read back."""
+    path = staging_path(spark, "csv")
+    shots = reservoir_snapshots(spark, sf).drop("batch")
+    reports.write_csv(shots, path, "seqnum")
+    return spark.read.schema(shots.schema).csv(path, header=True)
+
+
 def reservoir_sample(spark: SparkSession, sf: str) -> DataFrame:
     return sm.reservoir(_orders_stream(spark, sf), RESERVOIR, SEED)
 
@@ -436,6 +472,7 @@ def _registered() -> dict[str, Query]:
         girvan_newman_history, girvan_newman, girvan_newman_summary,
         kmeans_clusters, chunk_sizes, bfr_ds_summary, bfr_assign, bfr_own_distance, bfr_merge_pairs, bfr_rounds, bfr_labels,
         clustering_report,
+        itemset_report_file, betweenness_file, community_file, fpr_csv, reservoir_csv,
         bootstrap_batches, hash_family, bloom_fpr, fm_estimate, fm_csv, reservoir_sample, reservoir_snapshots,
         stream_fm, stream_reservoir, stream_bloom,
         basket_csv, retail_csv, points_csv,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -57,3 +57,18 @@ def parse_points(lines: DataFrame) -> DataFrame:
 
 def read_points_csv(spark: SparkSession, path: str) -> DataFrame:
     return parse_points(spark.read.text(path))
+
+
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """``(n, line)`` of an ordered report: part files in the order of their names, numbered from 1.
+
+    Meant for reports whose part files are each read as one split.
+    """
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_name").alias("file"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("line")
+    )
+    order = Window.partitionBy("file").orderBy("at")
+    placed = lines.withColumn("k", F.row_number().over(order))
+    ends = placed.groupBy("file").agg(F.max("k").alias("rows"))
+    before = ends.select("file", (F.sum("rows").over(Window.orderBy("file")) - F.col("rows")).alias("before"))  # one row a file
+    return placed.join(before, "file").select((F.col("before") + F.col("k")).alias("n"), "line")

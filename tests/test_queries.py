@@ -11,6 +11,7 @@ TABLES = "/root/testdata/sf0.001"
 QUICK = (
     "baskets_order_brand", "frequent_itemsets", "son_counts", "cooccurrence_edges", "lpa_communities",
     "edge_betweenness", "modularity", "bfr_assign", "bfr_merge_pairs", "bootstrap_batches",
+    "girvan_newman_summary", "itemset_report_file", "betweenness_file", "community_file", "reservoir_csv", "local_thresholds",
     "bloom_fpr", "fm_csv", "reservoir_snapshots", "stream_bloom", "retail_csv", "points_csv",
 )
 NAMES = tuple(contract.queries()) if os.environ.get("ORE_ALL") else QUICK
