@@ -15,24 +15,6 @@ from oremill.operators.itemsets import (
     son_itemsets,
 )
 
-# Most of a small basket file, user -> businesses (compared by enumeration).
-SMALL = {
-    1: [100, 98, 101, 102],
-    2: [101, 99, 97, 100],
-    3: [98, 103, 105, 102, 97, 99],
-    4: [102, 103, 101, 99, 97],
-    5: [98, 97],
-    6: [101, 102],
-    7: [99, 97, 101],
-    8: [102, 104, 103, 98, 97, 99],
-    9: [97, 98, 99],
-    10: [98, 97],
-    11: [97, 98, 99],
-    12: [100, 101, 108, 98, 106, 105, 107, 102],
-    13: [108, 100, 105, 102, 107, 98, 99, 103, 106, 101],
-}
-
-
 def brute(baskets, support, most=99):
     """All frequent itemsets by enumerating every subset of every basket."""
     counts = Counter()
@@ -90,8 +72,8 @@ def test_strict_size_filter_and_support(spark):
 
 
 @pytest.mark.parametrize("support", [4])
-def test_small_file_matches_enumeration(spark, support):
-    baskets = {k: [str(i) for i in v] for k, v in SMALL.items()}
+def test_overlapping_baskets_match_enumeration(spark, support):
+    baskets = random_baskets(3, n=13, longest=10)
     assert collect(frequent_itemsets(as_rows(spark, baskets), support)) == brute(baskets, support)
 
 
