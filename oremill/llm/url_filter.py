@@ -25,9 +25,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from oremill.llm.text import ascii_lower, whole
+from oremill.plans.staging import stage
 
 BUCKETS = 1 << 16
-#: Words of the unigram model, the most frequent ones: its size on driver and workers.
+#: Words of the unigram model at most, the most frequent ones: its size on driver and workers.
 DICTIONARY = 50_000
 LONGEST_WORD = 24
 #: Share of a class's probability that lies on its seed words, however many urls are labelled.
@@ -70,9 +71,18 @@ def dictionary(texts: DataFrame, text: str, words: int = DICTIONARY) -> dict[str
     """Counts of the most frequent words of a column of texts or markup, and of all words (key ``""``)."""
     visible = F.regexp_replace(whole(F.col(text)), "<[^>]*>", " ")
     found = texts.select(F.explode(F.regexp_extract_all(F.lower(visible), F.lit(r"\p{L}+"), F.lit(0))).alias("word"))
-    counts = found.where(F.length("word") <= LONGEST_WORD).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    top = counts.orderBy(F.desc("n"), "word").limit(words).collect()
-    return {"": sum(r["n"] for r in top)} | {r["word"]: r["n"] for r in top}
+    counted = found.where(F.length("word") <= LONGEST_WORD).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    counts = stage(counted.withColumn("step", F.floor(16 * F.log2("n")).cast("int")), "words")
+    # The most frequent words by a threshold, from at most a thousand steps of frequency.
+    left, least, total = words, None, 0
+    for row in counts.groupBy("step").agg(F.count(F.lit(1)).alias("words"), F.sum("n").alias("n")).orderBy(F.desc("step")).collect():
+        total += row["n"]
+        if left is not None and row["words"] <= left:
+            left, least = left - row["words"], row["step"]
+        else:
+            left = None
+    chosen = counts.where(F.col("step") >= least).collect() if least is not None else []
+    return {"": total} | {r["word"]: r["n"] for r in chosen}
 
 
 class Segmenter:
