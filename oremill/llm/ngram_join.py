@@ -14,6 +14,7 @@ of near copies is, tasks stay small, and what they give back is one row for each
 A text of fewer words than ``n`` has one n-gram, all its words; a null text or one
 without words has none: it links to nothing and is a class of its own.  Of an id that
 occurs several times every row is a document; equal rows are copies of each other.
+Null ids are the last choice for naming a class.
 """
 
 from __future__ import annotations
@@ -117,6 +118,9 @@ def sketched(text: Column, n: int, bands: int, rows: int, with_set: bool = False
                 names.append("set")
             yield pa.StructArray.from_arrays(columns, names)
 
+    if with_set:
+        # Else a filter on the result would draw the function, and its sets, below the join before it.
+        sketch = sketch.asNondeterministic()
     return sketch(F.transform(words(text), lambda w: F.xxhash64(w)))
 
 
@@ -253,11 +257,9 @@ def joined(
             F.greatest(F.ceil(F.col("n") / BLOCK_ROWS), F.ceil(F.col("b.grams") / BLOCK_GRAMS)).cast("int").alias("blocks"),
         )
     )
-    met = stage(
-        keyed.select("key", "bucket").join(stage(buckets, "buckets"), "bucket"), "met"
-    )
+    met = stage(keyed.select("key", "bucket").join(stage(buckets, "buckets"), "bucket"), "met")
     wanted = classes.join(met.select("key").distinct(), "key", "left_semi").select("key", "first", "members")
-    again = texts.join(wanted.withColumnRenamed("first", "id"), "id").select(
+    again = texts.join(wanted, F.col("id").eqNullSafe(F.col("first"))).select(
         F.col("key").alias("wanted"), "members", sketched(F.col("text"), n, bands, rows, with_set=True).alias("s")
     )
     sets = again.where(F.col("wanted") == F.col("s.key")).select("s.key", "members", "s.bands", "s.set").dropDuplicates(["key"])
