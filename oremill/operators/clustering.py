@@ -8,6 +8,7 @@ of a K-Means model.  Points, memberships and retained points stay in DataFrames.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -46,6 +47,23 @@ def kmeans_labels(points: DataFrame, k: int, seed: int, max_iter: int = 20) -> D
     return model.transform(vectors).drop("_vector")
 
 
+def seeded_labels(points: DataFrame, k: int) -> DataFrame:
+    """``points`` with the ``cluster`` of the nearest of the ``k`` points of smallest id, the smaller of equals.
+
+    The assignment step of K-Means for fixed seeds; clusters are numbered by seed id.
+    """
+    seeds = points.orderBy("id").limit(k).select("features").collect()
+    centres = np.array([r["features"] for r in seeds])
+
+    @F.pandas_udf("int")
+    def nearest(features: pd.Series) -> pd.Series:
+        x = np.stack(features.to_numpy()) if len(features) else np.zeros((0, centres.shape[-1]))
+        away = np.stack([((x - c) ** 2).sum(axis=1) for c in centres], axis=1) if len(x) else np.zeros((0, 1))
+        return pd.Series(away.argmin(axis=1), dtype="int32")
+
+    return points.withColumn("cluster", nearest("features"))
+
+
 def cluster_summary(labelled: DataFrame, *by: str) -> DataFrame:
     """``(*by, n, sum, sumsq)`` per cluster; ``by`` defaults to ``cluster``."""
     by = by or ("cluster",)
@@ -256,6 +274,7 @@ def bfr(
     seed: int = 553,
     max_iter: int = 20,
     first_pass_clusters: int | None = None,
+    clusterer: Callable[[DataFrame, int], DataFrame] | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Returns ``(rounds, labels)``.
 
@@ -267,7 +286,8 @@ def bfr(
     ``first_pass_clusters`` (25 k by default) clusters.  A chunk 0 with fewer points,
     or with fewer than ``k`` points besides outliers, is an error.  A retained set
     of no more points than the clusters it should fall into stays as it is.
-    ``max_iter`` bounds the iterations of every K-Means fit.
+    ``clusterer`` labels points with ``k`` clusters; by default it is Spark ML's
+    K-Means with at most ``max_iter`` iterations.
 
     Within a chunk, points are compared with the discard set as it was when the
     chunk began, and its summaries are updated once at the end, so the result
@@ -275,6 +295,7 @@ def bfr(
     and a merged compression cluster is kept.
     """
     spark = points.sparkSession
+    clusterer = clusterer or (lambda found, n: kmeans_labels(found, n, seed, max_iter))
     chunked = stage(with_chunk(points, chunks, seed), "points")
 
     def chunk(i: int) -> DataFrame:
@@ -284,12 +305,12 @@ def bfr(
     n_first = chunk(0).count()
     if n_first < fine:
         raise ValueError(f"the first chunk has {n_first} points for {fine} clusters: lower first_pass_clusters")
-    first = stage(kmeans_labels(chunk(0), fine, seed, max_iter), "peel")
+    first = stage(clusterer(chunk(0), fine), "peel")
     body, outliers = split_singletons(first)
     body, n_body = stage_counted(body.drop("cluster"), "body")
     if n_body < k:
         raise ValueError(f"only {n_body} points of the first chunk are no outliers: lower first_pass_clusters")
-    labelled = stage(kmeans_labels(body, k, seed, max_iter), "discard")
+    labelled = stage(clusterer(body, k), "discard")
     discard = Summaries.collect(cluster_summary(labelled))
     discard_members = [labelled.select("id", "cluster")]
     retained, n_retained = stage_counted(outliers.select("id", "features"), "retained")
@@ -301,7 +322,7 @@ def bfr(
         nonlocal retained, n_retained
         if n_retained <= n_clusters:
             return
-        again = stage(kmeans_labels(retained, n_clusters, seed, max_iter), "recluster")
+        again = stage(clusterer(retained, n_clusters), "recluster")
         groups, alone = split_singletons(again)
         compressed.add(groups, n_clusters)
         retained, n_retained = stage_counted(alone.select("id", "features"), "retained")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from oremill.functions.hashing import COMPACT_BITS, COMPACT_PRIME, SLOPES
 from oremill.operators.sampling import SNAPSHOT_SLOTS
-from oremill.queries import ALPHA, BATCH, CHANCE_Z, LPA_ROUNDS, RESERVOIR, SEED, SON_PARTS
+from oremill.queries import ALPHA, BATCH, CHANCE_Z, CLUSTERS, FIRST_PASS, LPA_ROUNDS, RESERVOIR, SEED, SON_PARTS
 
 # The joins below are unrolled to this many items per itemset; it has to exceed
 # the largest itemset that reaches the support.
@@ -256,6 +256,19 @@ flat AS (
   SELECT id, cluster, d, chunk, unnest(range(0, d)) AS dim, unnest(embedding)::DOUBLE AS x FROM points
 )"""
 
+
+def _seeded(name: str, points: str, k: int) -> str:
+    """``name(id, cluster)``: the nearest of the ``k`` points of smallest id."""
+    return f"""
+{name}_seeds AS (SELECT row_number() OVER (ORDER BY id) - 1 AS cluster, embedding AS centre FROM {points} ORDER BY id LIMIT {k}),
+{name} AS (
+  SELECT id, min_by(cluster, away) AS cluster FROM (
+    SELECT p.id, s.cluster, list_sum(list_transform(list_zip(p.embedding, s.centre), lambda z: (z[1]::DOUBLE - z[2]::DOUBLE) * (z[1]::DOUBLE - z[2]::DOUBLE))) AS away
+    FROM {points} p, {name}_seeds s
+  ) GROUP BY id
+)"""
+
+
 SUMMARY = """
 figures AS (
   SELECT cluster, dim, count(*) AS n, sum(x) / count(*) AS centre,
@@ -373,6 +386,23 @@ ORACLES = {
                (SELECT round(sum(inside / t.ends - (p.ends / t.ends) * (p.ends / t.ends)), 6) FROM per_label p, total t) AS first_modularity,
                (SELECT count(*) FROM alone) AS last_communities,
                (SELECT round(-sum((degree / t.ends) * (degree / t.ends)), 6) FROM alone, total t) AS last_modularity""",
+    "kmeans_step": f"""
+        WITH {POINTS}, {_seeded('step', 'points', CLUSTERS)}
+        SELECT s.cluster, f.dim, count(*) AS n, round(sum(f.x), 6) AS sum, round(sum(f.x * f.x), 6) AS sumsq
+        FROM step s JOIN flat f USING (id) GROUP BY s.cluster, f.dim""",
+    "bfr_peel": f"""
+        WITH {POINTS}, body AS (SELECT * FROM points WHERE chunk = 0), {_seeded('peel', 'body', FIRST_PASS)}
+        SELECT id, cluster, count(*) OVER (PARTITION BY cluster) = 1 AS outlier FROM peel""",
+    "bfr_first_round": f"""
+        WITH {POINTS}, body AS (SELECT * FROM points WHERE chunk = 0), {_seeded('peel', 'body', FIRST_PASS)},
+        alone AS (SELECT id FROM (SELECT id, count(*) OVER (PARTITION BY cluster) AS c FROM peel) WHERE c = 1),
+        outliers AS (SELECT * FROM points WHERE id IN (SELECT id FROM alone)), {_seeded('again', 'outliers', CLUSTERS)},
+        parts AS (SELECT cluster, count(*) AS n FROM again GROUP BY cluster),
+        enough AS (SELECT count(*) > {CLUSTERS} AS yes, count(*) AS n FROM outliers)
+        SELECT 1 AS round, (SELECT count(*) FROM body) - (SELECT n FROM enough) AS ds_points,
+               CASE WHEN (SELECT yes FROM enough) THEN (SELECT count(*) FROM parts WHERE n > 1) ELSE 0 END AS cs_clusters,
+               CASE WHEN (SELECT yes FROM enough) THEN (SELECT coalesce(sum(n), 0) FROM parts WHERE n > 1) ELSE 0 END AS cs_points,
+               CASE WHEN (SELECT yes FROM enough) THEN (SELECT count(*) FROM parts WHERE n = 1) ELSE (SELECT n FROM enough) END AS rs_points""",
     "chunk_sizes": f"WITH {POINTS} SELECT chunk, count(*) AS points FROM points GROUP BY chunk",
     "bfr_ds_summary": f"""
         WITH {POINTS}

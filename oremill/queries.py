@@ -240,6 +240,28 @@ def kmeans_clusters(spark: SparkSession, sf: str) -> DataFrame:
     return cl.kmeans_labels(_points(spark, sf), CLUSTERS, SEED).select("id", "cluster")
 
 
+def kmeans_step(spark: SparkSession, sf: str) -> DataFrame:
+    """One step of K-Means from fixed seeds: assignment, then sums per cluster."""
+    return _long_summary(cl.cluster_summary(cl.seeded_labels(_points(spark, sf), CLUSTERS)), "cluster")
+
+
+def bfr_peel(spark: SparkSession, sf: str) -> DataFrame:
+    """Points of the first chunk, and whether a first clustering leaves them alone."""
+    first = cl.with_chunk(_points(spark, sf), 5, SEED).where("chunk = 0").drop("chunk")
+    groups, alone = cl.split_singletons(stage(cl.seeded_labels(first, FIRST_PASS), "peel"))
+    return groups.select("id", "cluster", F.lit(False).alias("outlier")).unionByName(
+        alone.select("id", "cluster", F.lit(True).alias("outlier"))
+    )
+
+
+def bfr_first_round(spark: SparkSession, sf: str) -> DataFrame:
+    """Discard, compression and retained set after the first chunk, with clusters from fixed seeds."""
+    rounds = cl.bfr(
+        _points(spark, sf), CLUSTERS, alpha=ALPHA, seed=SEED, first_pass_clusters=FIRST_PASS, clusterer=cl.seeded_labels
+    )[0]
+    return rounds.where(F.col("round") == 1)
+
+
 def chunk_sizes(spark: SparkSession, sf: str) -> DataFrame:
     return cl.with_chunk(_points(spark, sf), 5, SEED).groupBy("chunk").agg(F.count("*").alias("points"))
 
@@ -470,7 +492,7 @@ def _registered() -> dict[str, Query]:
         cooccurrence_edges, vertex_degrees, lpa_labels, lpa_communities, community_lines, shortest_path_dag,
         edge_betweenness, top_edges, betweenness_lines, connected_components, modularity, first_cut,
         girvan_newman_history, girvan_newman, girvan_newman_summary,
-        kmeans_clusters, chunk_sizes, bfr_ds_summary, bfr_assign, bfr_own_distance, bfr_merge_pairs, bfr_rounds, bfr_labels,
+        kmeans_clusters, kmeans_step, bfr_peel, bfr_first_round, chunk_sizes, bfr_ds_summary, bfr_assign, bfr_own_distance, bfr_merge_pairs, bfr_rounds, bfr_labels,
         clustering_report,
         itemset_report_file, betweenness_file, community_file, fpr_csv, reservoir_csv,
         bootstrap_batches, hash_family, bloom_fpr, fm_estimate, fm_csv, reservoir_sample, reservoir_snapshots,

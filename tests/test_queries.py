@@ -10,7 +10,7 @@ TABLES = "/root/testdata/sf0.001"
 # One query per operator family; ORE_ALL=1 runs every query.
 QUICK = (
     "baskets_order_brand", "frequent_itemsets", "son_counts", "cooccurrence_edges", "lpa_communities",
-    "edge_betweenness", "modularity", "bfr_assign", "bfr_merge_pairs", "bootstrap_batches",
+    "edge_betweenness", "modularity", "bfr_assign", "bfr_merge_pairs", "kmeans_step", "bfr_peel", "bootstrap_batches",
     "girvan_newman_summary", "itemset_report_file", "betweenness_file", "community_file", "reservoir_csv", "local_thresholds",
     "bloom_fpr", "fm_csv", "reservoir_snapshots", "stream_bloom", "retail_csv", "points_csv",
 )
