@@ -30,11 +30,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from oremill.llm.ngram_join import _linked
-from oremill.llm.text import WORD, whole, words
-from oremill.plans.staging import stage
+from oremill.llm.text import WORD, let, sweep, whole, words
+from oremill.plans.staging import stage, unstage
 
 SIMILARITY = 0.8
-COUNTERS = 1 << 18
+COUNTERS = 1 << 17
 #: Lines that one group under a word holds; longer lists are dealt to blocks.
 LIST_ROWS = 4096
 BLOCK_ROWS = 1024
@@ -57,7 +57,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def counted(docs: DataFrame, text: str) -> np.ndarray:
-    """How many lines' words fall in each bucket."""
+    """How many words of the table fall in each bucket; at least as many as lines that hold one."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(COUNTERS, np.int64)
@@ -68,7 +68,7 @@ def counted(docs: DataFrame, text: str) -> np.ndarray:
         seen = np.nonzero(total)[0]
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int32()), pa.array(total[seen], pa.int64())], ["bucket", "n"])
 
-    hashed = docs.select(F.flatten(line_words(F.col(text))).alias("w"))
+    hashed = docs.select(F.transform(words(F.col(text)), lambda w: F.xxhash64(w)).alias("w"))
     counts = np.zeros(COUNTERS, np.int64)
     for row in hashed.mapInArrow(count, "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
         counts[row["bucket"]] = row["n"]
@@ -167,7 +167,7 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]
 
 
 def _candidates(similarity: float):
-    """Rows ``(bucket, key, signature)`` of the lines that have a candidate under their word; candidates share a bucket."""
+    """Rows ``(bucket, key, signature, size)`` of the lines that have a candidate under their word; candidates share a bucket."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _pieces(batches):
@@ -179,6 +179,7 @@ def _candidates(similarity: float):
             end = np.repeat(start + lengths, lengths)
             key, sign = rows["key"].view(U), rows["signature"].view(U)
             size, place = rows["size"].astype(np.int64), rows["place"].astype(np.int64)
+            before = rows["before"]
             root, met = np.arange(n), np.zeros(n, bool)
             live, step = np.arange(n), 1
             while True:  # compares rows at every distance within their groups
@@ -187,6 +188,8 @@ def _candidates(similarity: float):
                     break
                 a, b = live, live + step
                 ok = _possible(size[a], place[a], sign[a], size[b], place[b], sign[b], similarity)
+                # Lines whose words before this one are equal, too, meet under that word.
+                ok &= (before[a] != before[b]) | (place[a] == 0) | (place[b] == 0)
                 a, b = a[ok], b[ok]
                 met[a] = met[b] = True
                 root = _joined(root, a, b)
@@ -194,8 +197,8 @@ def _candidates(similarity: float):
             if met.any():
                 mixed = _mix(key[root] ^ _mix(rows["word"].astype(np.int64).view(U) ^ _mix(sign[root] + rows["low"].astype(U) + (rows["high"].astype(U) << U(20)))))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(mixed[met].view(np.int64)), pa.array(rows["key"][met]), pa.array(rows["signature"][met])],
-                    ["bucket", "key", "signature"],
+                    [pa.array(mixed[met].view(np.int64)), *(pa.array(rows[c][met]) for c in ("key", "signature", "size"))],
+                    ["bucket", "key", "signature", "size"],
                 )
 
     return find
@@ -224,10 +227,11 @@ def _matched(similarity: float):
             low, high = group["low"][0].as_py(), group["high"][0].as_py()
             block, age = group["block"].to_numpy(), _ages(group)
             sign = group["signature"].to_numpy().view(U)
-            left, right = np.nonzero(block == low)[0], np.nonzero(block == high)[0]
+            sets = _sets(group["words"])
+            own = _own_rows(group, sets)
+            left, right = own[block[own] == low], own[block[own] == high]
             if not len(left) or not len(right):
                 continue
-            sets = _sets(group["words"])
             size = np.array([len(s) for s in sets])
             zero = np.zeros(1, np.int64)
             maybe = _possible(size[left][:, None], zero, sign[left][:, None], size[right][None, :], zero, sign[right][None, :], similarity)
@@ -267,12 +271,14 @@ def _sets(column: pa.ChunkedArray) -> list[np.ndarray]:
     return [flat[a:b] for a, b in zip(ends[:-1], ends[1:])]
 
 
-def _own_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows whose words are those of their key; rows with the same id may hold other lines."""
-    for batch in batches:
-        own = [int(_mix(_mix(s) + U(0x9E3779B97F4A7C15)).sum(dtype=U)) if len(s) else -1 for s in _sets(batch.column("words"))]
-        keys = batch.column("key").to_numpy().view(U)
-        yield batch.take(pa.array([i for i, k in enumerate(own) if k == int(keys[i])], pa.int64()))
+def _own_rows(group: pa.Table, sets: list[np.ndarray]) -> np.ndarray:
+    """Rows whose words are those of their key, once each: a row of the same id may hold another line, or the same."""
+    keys, signs = group["key"].to_numpy().view(U), group["signature"].to_numpy()
+    found: dict[tuple[int, int], int] = {}
+    for i, words_here in enumerate(sets):
+        if len(words_here) and int(_mix(_mix(words_here) + U(0x9E3779B97F4A7C15)).sum(dtype=U)) == int(keys[i]):
+            found.setdefault((int(keys[i]), int(signs[i])), i)
+    return np.array(sorted(found.values()), np.int64)
 
 
 def kept_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
@@ -286,53 +292,66 @@ def kept_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", similar
             yield from _line_rows(batch.column(0), batch.column(1), counts, similarity)
 
     lined = texts.select("id", line_words(F.col("text")).alias("lines"))
-    lines = stage(
-        lined.mapInArrow(to_lines, f"id {id_type}, line int, size int, key bigint, signature bigint, prefix array<int>"), "lines"
-    )
+    rows = lined.mapInArrow(to_lines, f"id {id_type}, line int, size int, key bigint, signature bigint, prefix array<int>")
     line = ["key", "signature"]
-    firsts = stage(lines.groupBy(*line).agg(F.min(F.struct("id", "line", "size")).alias("f")), "firsts")
-    near = stage(_near(lines, counts, similarity), "near")
-    wanted = stage(firsts.join(near.select(*line).distinct(), line, "left_semi"), "wanted")
-    groups = (
-        near.join(wanted.select(*line, F.col("f.size").alias("size")), line)
-        .groupBy("bucket")
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.sum("size").alias("size"),
-            F.bit_xor(F.xxhash64(F.lit(1), *line)).alias("x"),
-            F.bit_xor(F.xxhash64(F.lit(2), *line)).alias("y"),
-        )
-        .groupBy("n", "x", "y")  # groups of the same lines are one
-        .agg(F.min("bucket").alias("bucket"), F.max("size").alias("size"))
-        .select("bucket", F.greatest(F.ceil(F.col("n") / BLOCK_ROWS), F.ceil(F.col("size") / BLOCK_WORDS)).cast("int").alias("blocks"))
+    # Distinct lines with their first places; equal lines are combined before they are shuffled.
+    classes = rows.groupBy(*line).agg(F.min(F.struct("id", "line", "size")).alias("f"), F.any_value("prefix").alias("prefix"))
+    classes = stage(classes, "lines")
+    sweep(docs.sparkSession)
+    near = stage(_near(classes, counts, similarity), "near")
+    sweep(docs.sparkSession)
+    grouped = _grouped(texts, classes, near)
+    matched = stage(grouped.mapInArrow(_matched(similarity), "key bigint, signature bigint"), "matched")
+    sweep(docs.sparkSession)
+    firsts = classes.select(*line, "f").join(matched.distinct(), line, "left_anti")
+    kept = firsts.groupBy(F.col("f.id").alias("of")).agg(F.sort_array(F.collect_list("f.line")).alias("kept"))
+    full = F.size(F.filter(F.split(whole(F.col("text")), "\n"), lambda x: F.rlike(x, F.lit(WORD))))
+    totals = texts.select("id", full.cast("bigint").alias("n")).where(F.col("n") > 0).groupBy("id").agg(F.max("n").alias("n_lines"))
+    return totals.join(stage(kept, "kept"), F.col("id").eqNullSafe(F.col("of")), "left").select(
+        "id", "n_lines", F.coalesce("kept", F.array().cast("array<int>")).alias("kept")
     )
-    dealt = (
-        near.join(stage(groups, "groups"), "bucket")
-        .withColumn("block", F.pmod(F.xxhash64(*line), F.col("blocks")).cast("int"))
-        .join(stage(_word_sets(texts, wanted, id_type), "sets"), line)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .withColumn("low", F.least("block", "other"))
-        .withColumn("high", F.greatest("block", "other"))
-        .select("bucket", "low", "high", "block", *line, "id", "line", "words")
+
+
+def _grouped(texts: DataFrame, classes: DataFrame, near: DataFrame) -> DataFrame:
+    """Candidates with their words, a group of rows for every pair of blocks of a bucket."""
+    line = ["key", "signature"]
+    # Buckets that share lines are drawn together, so that few lines travel more than once.
+    least = near.groupBy(*line).agg(F.min("bucket").alias("least"))
+    label = near.join(least, line).groupBy("bucket").agg(F.min("least").alias("label"))
+    sweep(texts.sparkSession)
+    merged = stage(near.join(label, "bucket").select(F.col("label").alias("bucket"), *line, "size").distinct(), "merged")
+    blocks = merged.groupBy("bucket").agg(
+        F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS), F.ceil(F.sum("size") / BLOCK_WORDS)).cast("int").alias("blocks")
     )
-    grouped = dealt.repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high")
-    matched = stage(grouped.mapInArrow(_matched(similarity), "key bigint, signature bigint"), "matched")
-    kept = firsts.join(matched.distinct(), line, "left_anti").groupBy(F.col("f.id").alias("id")).agg(
-        F.sort_array(F.collect_list("f.line")).alias("kept")
+    asked = merged.join(blocks, "bucket").groupBy(*line).agg(F.collect_list(F.struct("bucket", "blocks")).alias("buckets"))
+    places = asked.join(classes.select(*line, "f"), line).groupBy(F.col("f.id").alias("of")).agg(
+        F.collect_list(F.struct(F.col("f.line").alias("line"), *line, "buckets")).alias("at")
     )
-    totals = lines.select("id", "line").distinct().groupBy("id").agg(F.count(F.lit(1)).alias("n_lines"))
-    return totals.join(kept.withColumnRenamed("id", "of"), F.col("id").eqNullSafe(F.col("of")), "left").select(
-        "id", "n_lines", F.coalesce("kept", F.array().cast("array<int>")).alias("kept")
+    places = stage(places, "places")
+    unstage(merged)
+    sweep(texts.sparkSession)
+
+    def found(lines: Column) -> Column:
+        none = F.array().cast("array<bigint>")
+        return F.transform("at", lambda a: F.struct(a.alias("a"), F.coalesce(F.get(lines, a["line"]), none).alias("words")))
+
+    held = texts.join(places, F.col("id").eqNullSafe(F.col("of"))).select("id", F.explode(let(line_words(F.col("text")), found)).alias("x"))
+    dealt = held.select("id", "x.a.line", "x.a.key", "x.a.signature", "x.words", F.explode("x.a.buckets").alias("b"))
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64(*line), F.col("b.blocks")).cast("int"))
+    pairs = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("b.blocks") - 1))).select(
+        "b.bucket", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", *line, "id", "line", "words"
     )
+    return pairs.repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high")
 
 
-def _near(lines: DataFrame, counts: np.ndarray, similarity: float) -> DataFrame:
+def _near(classes: DataFrame, counts: np.ndarray, similarity: float) -> DataFrame:
     """Candidates of all distinct lines under their prefix words."""
-    classes = lines.groupBy("key", "signature").agg(F.any_value(F.struct("size", "prefix")).alias("c"))
-    listed = classes.select("key", "signature", "c.size", F.posexplode("c.prefix").alias("place", "word"))
+    prefix = F.transform("prefix", lambda w, i: F.struct(w.alias("word"), F.coalesce(F.get("prefix", i - 1), F.lit(0)).alias("before")))
+    listed = classes.select("key", "signature", "f.size", F.posexplode(prefix).alias("place", "w"))
+    listed = listed.select("key", "signature", "size", "place", "w.word", "w.before")
     # Only words of these buckets (at most COUNTERS) can have long lists.
     often = [(int(b),) for b in np.nonzero(counts > LIST_ROWS)[0]]
-    often = lines.sparkSession.createDataFrame(often, "often int")
+    often = classes.sparkSession.createDataFrame(often, "often int")
     long_lists = (
         listed.join(F.broadcast(often), F.col("word").bitwiseAND(COUNTERS - 1) == F.col("often"), "left_semi")
         .groupBy("word")
@@ -344,24 +363,11 @@ def _near(lines: DataFrame, counts: np.ndarray, similarity: float) -> DataFrame:
         .withColumn("blocks", F.coalesce("blocks", F.lit(1)))
         .withColumn("block", F.pmod(F.xxhash64("key", "signature"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("word", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "key", "signature", "size", "place")
+        .select("word", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "key", "signature", "size", "place", "before")
     )
     return dealt.repartition(*GROUP).sortWithinPartitions(*GROUP).mapInArrow(
-        _candidates(similarity), "bucket bigint, key bigint, signature bigint"
-    )
-
-
-def _word_sets(texts: DataFrame, wanted: DataFrame, id_type: str) -> DataFrame:
-    """``(key, signature, id, line, words)`` of the wanted lines, taken from their first documents."""
-    places = wanted.groupBy(F.col("f.id").alias("of")).agg(
-        F.collect_list(F.struct(F.col("f.line").alias("line"), "key", "signature")).alias("at")
-    )
-    found = texts.join(places, F.col("id").eqNullSafe(F.col("of"))).select("id", line_words(F.col("text")).alias("lines"), "at")
-    rows = found.select("id", "lines", F.explode("at").alias("at")).select(
-        "at.key", "at.signature", "id", "at.line", F.coalesce(F.get("lines", F.col("at.line")), F.array().cast("array<bigint>")).alias("words")
+        _candidates(similarity), "bucket bigint, key bigint, signature bigint, size int"
     )
-    own = rows.mapInArrow(_own_sets, f"key bigint, signature bigint, id {id_type}, line int, words array<bigint>")
-    return own.dropDuplicates(["key", "signature"])
 
 
 def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import gc
+import time
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -38,7 +41,7 @@ def ascii_lower(text: Column) -> Column:
 
 
 #: Characters that a worker takes up at once, which bounds its memory beside long texts.
-SLICE_CHARS = 2_000_000
+SLICE_CHARS = 1_000_000
 
 
 def sliced(texts: pa.Array) -> Iterator[list[str | None]]:
@@ -51,3 +54,30 @@ def sliced(texts: pa.Array) -> Iterator[list[str | None]]:
             yield held
             held, chars = [], 0
     yield held
+
+
+def sweep(spark: SparkSession) -> None:
+    """Have finished shuffles' files removed now, not when the driver next collects its garbage.
+
+    What a stage wrote is read from its table; the shuffles behind it are never read again.
+    """
+    for _ in range(2):  # what the first round frees holds on to more
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)  # the files go in the background
+
+
+#: Rows of texts vary in length by orders of magnitude, so batches for Python are bounded by bytes.
+SETTINGS = {"spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
+
+
+def tuned(function):
+    """The function, with ``SETTINGS`` set on the session that is its first argument."""
+
+    @functools.wraps(function)
+    def run(spark: SparkSession, *args) -> DataFrame:
+        for name, value in SETTINGS.items():
+            spark.conf.set(name, value)
+        return function(spark, *args)
+
+    return run
