@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from oremill.llm import line_dedup, mixing, ngram_join, quality_model, tokens
 from oremill.llm.queries import tokenizer_model
+from oremill.llm.text import tuned
 from oremill.plans.staging import stage
 
 #: Weights of the sources in the mix, by code point order and repeating.
@@ -50,16 +51,16 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of every document of the mix, and whether they decode to its text."""
     model = tokenizer_model()
-    both = tokens.decode_documents(tokens.encode_documents(docs.select("doc_id", "source", "text"), model), model)
+    both = tokens.round_trip(docs.select("doc_id", "source", "text"), model)
     return both.select("doc_id", "source", "ids", F.size("ids").alias("n_tokens"), (F.col("decoded") == F.col("text")).alias("round_trip"))
 
 
 STAGES = [
-    ("quality classifier", quality_classifier),
-    ("line dedup", line_deduplication),
-    ("n-gram Jaccard join", near_duplicates),
-    ("mixing sources to target weights", source_mix),
-    ("SentencePiece encoding and decoding", token_ids),
+    ("quality classifier", tuned(quality_classifier)),
+    ("line dedup", tuned(line_deduplication)),
+    ("n-gram Jaccard join", tuned(near_duplicates)),
+    ("mixing sources to target weights", tuned(source_mix)),
+    ("SentencePiece encoding and decoding", tuned(token_ids)),
 ]
 ORACLE_SQL = None  # models, hashing order and the tokenizer are beyond SQL
 

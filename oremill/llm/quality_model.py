@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from oremill.llm.text import sliced
 
 BUCKETS = 1 << 18
-TRAIN_ROWS = 6_000
+TRAIN_ROWS = 5_000
 KEEP_FROM = 0.3
 STEPS = 400  # of gradient descent
 DECAY = 1e-4
@@ -164,13 +164,16 @@ def _log_given(table: np.ndarray) -> np.ndarray:
     return np.stack([np.log(said[:, 0]), np.zeros(len(table)), np.log(said[:, 1])], axis=1)
 
 
-def train(rows: list[list[int]], good: np.ndarray, steps: int = STEPS, rate: float = 0.5) -> np.ndarray:
-    """Weights of a logistic regression on soft labels; the last one is the intercept."""
+def train(index: np.ndarray, lengths: np.ndarray, good: np.ndarray, steps: int = STEPS, rate: float = 0.5) -> np.ndarray:
+    """Weights of a logistic regression on soft labels; the last one is the intercept.
+
+    ``index`` holds the features of all rows in a row, ``lengths`` how many each has.
+    """
     own = len(Measures._fields)
-    lengths = np.array([len(r) for r in rows])
-    index = np.concatenate([np.asarray(r, np.int64) for r in rows])
-    of = np.repeat(np.arange(len(rows)), lengths)
-    value = np.where(np.arange(len(index)) - np.repeat(np.cumsum(lengths) - lengths, lengths) < own, 1.0, 1.0 / np.maximum(lengths - own, 1)[of])
+    rows = range(len(lengths))
+    of = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
+    measure = np.arange(len(index)) - np.repeat(np.cumsum(lengths) - lengths, lengths) < own
+    value = np.where(measure, 1.0, (1.0 / np.maximum(lengths - own, 1))[of])
     weights, squares, intercept = np.zeros(BUCKETS), np.full(BUCKETS, 1e-8), 0.0
     for _ in range(steps):
         score = 1 / (1 + np.exp(-np.bincount(of, value * weights[index], len(rows)) - intercept))
@@ -194,10 +197,12 @@ def fit(docs: DataFrame, text: str = "text", key: str = "doc_id", train_rows: in
     sample = docs.where(place <= int(min(1.0, train_rows / total) * (1 << 30))).select(
         F.col(key).cast("string").alias("key"), vote_pattern(F.col(text)).alias("p"), _features(F.col(text)).alias("f")
     )
-    rows = sorted(sample.where(F.col("p") != "").collect(), key=lambda r: (r["key"] or "", r["p"], r["f"]))
-    if not rows:  # a table whose few keys all miss the sample
+    rows = sample.where(F.col("p") != "").toArrow().sort_by([("key", "ascending"), ("p", "ascending")])
+    if not rows.num_rows:  # a table whose few keys all miss the sample
         return np.zeros(BUCKETS + 1)
-    return train([r["f"] for r in rows], np.array([good[r["p"]] for r in rows]))
+    found = rows["f"].combine_chunks()
+    lengths = np.diff(found.offsets.to_numpy())
+    return train(found.flatten().to_numpy(), lengths, np.array([good[p] for p in rows["p"].to_pylist()]))
 
 
 def _features(text: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from oremill.llm import language_id, licenses, line_dedup, mixing, neighbours, ngram_join, quality_model, quality_rules, tokens, url_filter
-from oremill.llm.text import table
+from oremill.llm.text import table, tuned
 from oremill.plans.staging import stage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -17,7 +17,7 @@ ORACLES: dict[str, str] = {}
 
 def query(name: str, sql: str | None = None):
     def register(function):
-        QUERIES[name] = function
+        QUERIES[name] = tuned(function)
         if sql is not None:
             ORACLES[name] = sql
         return function
@@ -170,7 +170,7 @@ def op9_line_dedup(spark, sf_dir):
 def op10_sentencepiece(spark, sf_dir):
     model = tokenizer_model()
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    both = tokens.decode_documents(tokens.encode_documents(docs, model), model)
+    both = tokens.round_trip(docs, model)
     return both.select(
         "doc_id",
         F.size("ids").cast("bigint").alias("n_tokens"),

@@ -26,7 +26,7 @@ from oremill.llm.text import sliced
 MARKER = "▁"
 CHUNK = re.compile(f"[ {MARKER}]*[^ {MARKER}]+|[ {MARKER}]+")
 #: Entries of a task's table; a full table is begun anew.
-TABLE_ROWS = 500_000
+TABLE_ROWS = 150_000
 #: Longer chunks (text without spaces) are segmented where they stand.
 LONGEST_KEPT = 64
 
@@ -116,6 +116,21 @@ def decoded(ids: Column, model: str) -> Column:
     return texts(ids)
 
 
+def round_trip(docs: DataFrame, model: str, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """``docs`` with the ids of the texts and what they decode to, by one Python worker a task."""
+
+    @F.arrow_udf("struct<ids:array<int>,decoded:string>")
+    def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        table = ChunkTable(model)
+        for batch in batches:
+            parts = [table.ids(part) for part in sliced(batch)]
+            texts = [table.processor.decode(x.as_py()) if len(x) else "" for part in parts for x in part]
+            yield pa.StructArray.from_arrays([pa.concat_arrays(parts), pa.array(texts, pa.string())], ["ids", "decoded"])
+
+    found = docs.withColumn("round_trip_found", both(F.col(text).cast("string")))
+    return found.withColumn(ids, F.col("round_trip_found.ids")).withColumn(decoded, F.col("round_trip_found.decoded")).drop("round_trip_found")
+
+
 def encode_documents(docs: DataFrame, model: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """``docs`` with a column of ids, which replaces one of the same name."""
     return docs.withColumn(ids, encoded(F.col(text), model))
