@@ -3,9 +3,16 @@
 Names in hosts are words run together.  A unigram model (the most frequent words of a
 text column, counted over all its rows) splits each name by Viterbi search.  The words
 of host and path, hashed into ``BUCKETS`` features, are scored by multinomial naive
-Bayes with even class priors.  It learns from every url that a rule decides and from a
+Bayes with additive smoothing.  It learns from the urls that rules decide and from a
 small seed list of words, and judges the urls that no rule fits.
 
+Rules for whole domains and paths say nothing beyond them: a url is learned from without
+its top-level domain and its path names down to the depth that rules for its host look
+at.  Nor does the share of a top-level domain that they block: within each, allowed and
+blocked urls weigh the same in sum, and one where rules give a single verdict tells
+nothing.  A host where both verdicts fall is told apart by its paths, so its words count
+as far as one prevails.
+
 A url that is null or has no ``://`` has an empty host and path; without any word the
 prior decides and the url is allowed.  Repeated rows are judged one by one.
 """
@@ -31,13 +38,13 @@ BUCKETS = 1 << 16
 #: Words of the unigram model at most, the most frequent ones: its size on driver and workers.
 DICTIONARY = 50_000
 LONGEST_WORD = 24
-#: Share of a class's probability that lies on its seed words, however many urls are labelled.
-SEED_SHARE = 0.9
-FLOOR = 1e-3  # added to every feature's probability in either class
+#: Urls that the seed words of a class stand for; the words share them evenly, in host and path.
+SEED_URLS = 400
+SMOOTHING = 1.0  # added to the count of every feature in either class
 BLOCK_PRIOR = 0.1
 SEEDS = {
     "allow": "news docs wiki school library university museum science health weather journal archive help support".split(),
-    "block": "spam casino poker porn adult bet betting viagra pills loan loans hack crack warez torrent malware phish phishing escort lottery xxx farm ads track cheap free win".split(),
+    "block": "spam casino poker porn adult bet betting viagra pills loan loans hack crack warez torrent malware phish phishing escort lottery xxx".split(),
 }
 
 
@@ -62,11 +69,24 @@ def decided(host: Column, path: Column, rules: list[Rule]) -> Column:
     """Struct of the longest fitting rule's name and verdict; null if none fits."""
     chosen = F.lit(None).cast("struct<rule:string,verdict:string>")
     for rule in sorted(rules, key=lambda r: (len(r.name), r.name)):
-        fits = ((host == rule.host) | F.endswith(host, F.lit("." + rule.host))) & F.startswith(path, F.lit(rule.path))
+        fits = _under(host, rule.host) & F.startswith(path, F.lit(rule.path))
         chosen = F.when(fits, F.struct(F.lit(rule.name).alias("rule"), F.lit(rule.verdict).alias("verdict"))).otherwise(chosen)
     return chosen
 
 
+def _under(host: Column, ending: str) -> Column:
+    return (host == ending) | F.endswith(host, F.lit("." + ending))
+
+
+def beyond(host: Column, path: Column, rules: list[Rule]) -> tuple[Column, Column]:
+    """The host without its top-level domain, and the path below all that the rules for this host look at."""
+    rest, depth = F.regexp_replace(host, r"\.?[^.]*$", ""), F.lit(0)
+    for rule in rules:
+        names = rule.path.count("/") - rule.path.endswith("/")
+        depth = F.greatest(depth, F.when(_under(host, rule.host), names).otherwise(0))
+    return rest, F.regexp_replace(path, F.concat(F.lit("^(?:/[^/]*){0,"), depth, F.lit("}")), F.lit(""))
+
+
 def dictionary(texts: DataFrame, text: str, words: int = DICTIONARY) -> dict[str, int]:
     """Counts of the most frequent words of a column of texts or markup, and of all words (key ``""``)."""
     visible = F.regexp_replace(whole(F.col(text)), "<[^>]*>", " ")
@@ -150,17 +170,29 @@ def features(host: Column, path: Column, counts: dict[str, int]) -> Column:
 
 
 def fit(labelled: DataFrame) -> np.ndarray:
-    """Log odds of ``block`` by feature, from rows of ``(verdict, features)``; at most two counts a feature reach the driver."""
-    seeds, counts = np.zeros((2, BUCKETS)), np.zeros((2, BUCKETS))
+    """Log odds of ``block`` by feature, from rows of ``(host, verdict, of_host, of_path)``; at most two counts a feature reach the driver."""
+    counts = np.full((2, BUCKETS), SMOOTHING)
     for side, verdict in enumerate(("allow", "block")):
         for word in SEEDS[verdict]:
             for kind in ("h ", "p "):
-                seeds[side, feature(kind + word)] += 1
-    rows = labelled.select("verdict", F.explode("features").alias("f")).groupBy("verdict", "f").agg(F.count(F.lit(1)).alias("n"))
+                counts[side, feature(kind + word)] += SEED_URLS / len(SEEDS[verdict])
+    allow, block = F.col("allow"), F.col("block")
+    hosts = labelled.groupBy("host").agg(*[F.count_if(F.col("verdict") == v).alias(v) for v in ("allow", "block")])
+    hosts = hosts.withColumn("top", F.substring_index("host", ".", -1))
+    tops = hosts.groupBy("top").agg(F.sum("allow").alias("allow"), F.sum("block").alias("block")).where((allow > 0) & (block > 0))
+    tops = tops.select("top", ((allow + block) / (2 * allow)).alias("if_allow"), ((allow + block) / (2 * block)).alias("if_block"))
+    allow, block = allow * F.col("if_allow"), block * F.col("if_block")
+    hosts = hosts.join(tops, "top").select("host", "if_allow", "if_block", (F.abs(block - allow) / (block + allow)).alias("prevails"))
+    of = labelled.select("host", "verdict", F.explode("of_host").alias("f"), F.lit(True).alias("named")).unionByName(
+        labelled.select("host", "verdict", F.explode("of_path").alias("f"), F.lit(False).alias("named"))
+    )
+    seen = of.groupBy("host", "verdict", "f", "named").agg(F.count(F.lit(1)).alias("n"))
+    weight = F.when(F.col("verdict") == "block", F.col("if_block")).otherwise(F.col("if_allow"))
+    weight = weight * F.when(F.col("named"), F.col("prevails")).otherwise(1.0)
+    rows = seen.join(hosts, "host").groupBy("verdict", "f").agg(F.sum(F.col("n") * weight).alias("n"))
     for row in rows.collect():
         counts[int(row["verdict"] == "block"), row["f"]] += row["n"]
-    share = SEED_SHARE * seeds / seeds.sum(axis=1, keepdims=True)
-    share += (1 - SEED_SHARE) * counts / np.maximum(counts.sum(axis=1, keepdims=True), 1) + FLOOR
+    share = counts / counts.sum(axis=1, keepdims=True)
     return np.log(share[1] / share[0])
 
 
@@ -184,7 +216,13 @@ def judged(pages: DataFrame, rules: list[Rule], key: str = "page_id", url: str =
     split = split.withColumn("ruled", decided(F.col("host"), F.col("path"), rules))
     counts = dictionary(pages, text)
     found = split.withColumn("features", features(F.col("host"), F.col("path"), counts))
-    ruled = found.where(F.col("ruled").isNotNull()).select(F.col("ruled.verdict").alias("verdict"), "features")
+    of_host, of_path = beyond(F.col("host"), F.col("path"), rules)
+    ruled = split.where(F.col("ruled").isNotNull()).select(
+        "host",
+        F.col("ruled.verdict").alias("verdict"),
+        features(of_host, F.lit(""), counts).alias("of_host"),
+        features(F.lit(""), of_path, counts).alias("of_path"),
+    )
     scored = found.withColumn("odds", block_odds(F.col("features"), fit(ruled)))
     return scored.select(
         F.col("key").alias(key),

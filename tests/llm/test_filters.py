@@ -84,6 +84,28 @@ def test_url_parts_and_rules(spark):
     assert url_filter.judged(pages.limit(0), rules).collect() == []
 
 
+def test_url_score_learns_beyond_seeds_and_rules(spark):
+    rules = [
+        url_filter.Rule("allow", "org", "/"), url_filter.Rule("allow", "com", "/fr/"), url_filter.Rule("block", "com", "/de/"),
+        url_filter.Rule("block", "zorgo-spree.com", "/"), url_filter.Rule("block", "mall-zorgo.com", "/"),
+    ]
+    urls = [f"http://site{chr(97 + i % 26)}{chr(97 + i // 26)}x.{top}" for i in range(300) for top in ("org/en/1", "com/de/1", "com/fr/1")]
+    urls += [f"http://{host}/en/{i}" for i in range(15) for host in ("zorgo-spree.com", "mall-zorgo.com")]
+    # A host of which a third is blocked by its path, as much as is allowed.
+    urls += [f"http://blog.hotone.com/{lang}/{i}" for i in range(200) for lang in ("de", "fr")]
+    asked = ["http://zorgo-mart.net/a", "http://blog.hotone.com/en/7", "http://plain.net/", "http://cheap-track.net/"]
+    pages = spark.createDataFrame([(i, u, "zorgo spree mall mart blog hotone plain") for i, u in enumerate(asked + urls)], "page_id int, url string, html string")
+    got = {r["page_id"]: r["verdict"] for r in url_filter.judged(pages, rules).where(F.col("page_id") < len(asked)).collect()}
+    assert [got[i] for i in range(len(asked))] == ["block", "allow", "allow", "allow"]
+
+
+def test_url_classes_are_distributions(spark):
+    rows = [("a.com", "block", [5, 6], [9])] * 3 + [("b.com", "allow", [7], [])] * 6 + [("c.org", "allow", [8], [])] * 50
+    weights = url_filter.fit(spark.createDataFrame(rows, "host string, verdict string, of_host array<int>, of_path array<int>"))
+    seen = weights[[5, 6, 9, 7, 8]] - weights[1]  # 3 and 6 urls of one domain weigh 4.5 either way; .org tells nothing
+    assert np.allclose(np.exp(seen), [5.5, 5.5, 5.5, 1 / 5.5, 1])
+
+
 def test_segmentation_is_the_likeliest():
     counts = {"": 1000, "the": 300, "rest": 50, "there": 90, "st": 2, "a": 100, "at": 60}
     split = url_filter.Segmenter(counts)
