@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from oremill.llm.text import words
+from oremill.llm.text import WORD, whole, words
 from oremill.operators.communities import connected_components
 from oremill.plans.staging import stage
 
@@ -215,20 +215,23 @@ def _verify(similarity: float):
     return run
 
 
-def joined(
+def _classified(
     docs: DataFrame,
     key: str = "doc_id",
     text: str = "text",
     n: int = N,
     similarity: float = SIMILARITY,
     recall: float = RECALL,
+    **kept: Column,
 ) -> DataFrame:
-    """``(key, class_id, n_links)`` of every row: the smallest id that links reach, and the rows it links to."""
+    """``(id, class, class_id, n_links)`` and the columns ``kept`` of every row.
+
+    ``class`` is one set hash for all rows that links connect; null without words.
+    """
     bands, rows = banding(similarity, recall)
     texts = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
-    members = stage(
-        texts.select("id", sketched(F.col("text"), n, bands, rows).alias("s")).select("id", "s.key", "s.grams", "s.bands"), "sketches"
-    )
+    members = docs.select(F.col(key).alias("id"), sketched(F.col(text), n, bands, rows).alias("s"), *[c.alias(name) for name, c in kept.items()])
+    members = stage(members.select("id", *kept, "s.key", "s.grams", "s.bands"), "sketches")
     some = members.where(F.col("key").isNotNull())
     classes = stage(
         some.groupBy("key").agg(
@@ -281,23 +284,40 @@ def joined(
     edges = found.where(F.col("key") != F.col("root")).select(F.col("key").alias("src"), F.col("root").alias("dst"))
     parts = stage(connected_components(edges).withColumnRenamed("id", "key"), "parts")
     named = parts.join(classes.select("key", "first"), "key").groupBy("component").agg(F.min("first").alias("class_id"))
-    linked = parts.join(stage(named, "named"), "component").select("key", "class_id").join(links, "key")
+    linked = parts.join(stage(named, "named"), "component").select("key", "component", "class_id").join(links, "key")
     verdict = stage(
         classes.select("key", "first", "members")
         .join(linked, "key", "left")
         .select(
             "key",
+            F.coalesce("component", "key").alias("class"),
             F.coalesce("class_id", "first").alias("class_id"),
             (F.col("members") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"),
         ),
         "verdict",
     )
-    of_some = some.select("id", "key").join(verdict, "key").select("id", "class_id", "n_links")
-    of_none = members.where(F.col("key").isNull()).select("id", F.col("id").alias("class_id"), F.lit(0).cast("bigint").alias("n_links"))
-    return of_some.unionByName(of_none).withColumnRenamed("id", key)
+    of_some = some.select("id", *kept, "key").join(verdict, "key").select("id", *kept, "class", "class_id", "n_links")
+    of_none = members.where(F.col("key").isNull()).select(
+        "id", *kept, F.col("key").alias("class"), F.col("id").alias("class_id"), F.lit(0).cast("bigint").alias("n_links")
+    )
+    return of_some.unionByName(of_none)
+
+
+def joined(docs: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
+    """``(key, class_id, n_links)`` of every row: the smallest id that links reach, and the rows it links to."""
+    return _classified(docs, key, text, **how).select(F.col("id").alias(key), "class_id", "n_links")
 
 
 def without_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
-    """The document of smallest id of every class; of rows with the same id one."""
-    first = joined(docs, key, text, **how).where(F.col(key).eqNullSafe(F.col("class_id"))).select(key).distinct()
-    return docs.join(first, docs[key].eqNullSafe(first[key]), "left_semi").dropDuplicates([key])
+    """One document of every class, that of the smallest id (null last), then text hash; all rows without words.
+
+    Ids need not be unique: rows that share one, or have none, stand for themselves.
+    """
+    hashed = F.sha2(F.col(text).cast("string"), 256)
+    rows = _classified(docs, key, text, **how, hashed=hashed).where(F.col("class").isNotNull())
+    first = rows.groupBy("class").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "hashed")).alias("least"))
+    first = first.select(F.col("least.id").alias("_first_id"), F.col("least.hashed").alias("_first_hash"))
+    worded = whole(F.col(text)).rlike(WORD)
+    chosen = docs.where(worded).withColumn("_hash", hashed)
+    chosen = chosen.join(first, F.col(key).eqNullSafe(F.col("_first_id")) & (F.col("_hash") == F.col("_first_hash")), "left_semi")
+    return chosen.dropDuplicates([key, "_hash"]).drop("_hash").unionByName(docs.where(~worded))

@@ -77,6 +77,18 @@ def test_ngram_join_of_odd_rows(odd, none):
     assert alone.columns == odd.columns and sorted(r["doc_id"] for r in alone.collect()) == [0, 1, 2, 3, 4, 5, 6, 7, 101]
 
 
+def test_without_copies_keeps_one_of_every_class(spark):
+    rng = random.Random(12)
+    one, two, three, four, five = (" ".join(str(rng.randint(0, 500)) for _ in range(60)) for _ in range(5))
+    near = " ".join([*three.split()[:-1], "end"])
+    rows = [(None, one), (None, two), (None, one), (1, three), (1, four), (2, near), (2, five), (3, five), (None, None), (None, ""), (4, " ")]
+    docs = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id bigint, text string, at int").repartition(3)
+    got = ngram_join.without_copies(docs)
+    assert got.columns == docs.columns
+    kept = sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=repr)
+    assert kept == sorted([(None, one), (None, two), (1, three), (1, four), (2, five), (None, None), (None, ""), (4, " ")], key=repr)
+
+
 def test_banding_keeps_its_recall():
     for similarity in (0.5, 0.8, 0.95):
         bands, rows = ngram_join.banding(similarity, 0.999)
