@@ -12,8 +12,9 @@ own queries to ``RECALL`` against brute force over the sample.  (Vectors without
 structure need a fixed share of all leaves, clustered ones a few.)  Queries are then sent to
 their leaves, where all members are compared by matrix products in double precision;
 the best are ranked again by the exact measure, and a query's best over all leaves are
-merged.  A leaf's members are dealt to parts of about ``PART`` rows, so a crowded
-region is compared in many tasks.
+merged.  A leaf's members and its queries are both dealt to parts of about ``PART`` rows,
+and each pair of parts is one group, so a crowded region is compared in many tasks and
+no matrix grows with the table.
 
 Vectors that are null or zero, hold null or non-finite components or differ in length
 from the most frequent length (the longer of equals) take no part.  Of rows with the
@@ -193,7 +194,7 @@ def _exact(queries: np.ndarray, members: np.ndarray) -> np.ndarray:
 
 
 def _compare(k: int):
-    """Best ``k`` members for every query of one cell's part."""
+    """Best ``k`` members for every query, of one part of a cell's queries and one of its members."""
 
     def best(group: pa.Table) -> pa.Table:
         asked = np.array(group["asks"])
@@ -238,14 +239,19 @@ def nearest(
     forest, leaves = fit(members, k, trees, leaf, sample, recall, seed)
     indexed = stage(members.withColumn("cells", _leaves(forest, F.col("v"))), "index")
     placed = indexed.select("id", "v", F.explode("cells").alias("cell"))
+    asking = stage(rows.where(asks).withColumn("cells", _visited(forest, F.col("v"), leaves)), "queries")
+    queries = asking.select("id", "v", F.explode("cells").alias("cell"))
+    # Cells that no query visits drop out here.
     counts = placed.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / PART).alias("parts"))
+    counts = counts.join(queries.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / PART).alias("ask_parts")), "cell")
     counts = stage(counts, "cells")
-    placed = placed.join(counts, "cell").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
-    queries = rows.where(asks).select("id", "v", F.explode(_visited(forest, F.col("v"), leaves)).alias("cell"))
-    queries = queries.join(counts, "cell").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    columns = ("cell", "part", "id", "v")
+    own = lambda parts: F.pmod(F.xxhash64("id"), F.col(parts))
+    each = lambda parts: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(parts) - 1))
+    placed = placed.join(counts, "cell").withColumn("part", own("parts")).withColumn("ask_part", each("ask_parts"))
+    queries = queries.join(counts, "cell").withColumn("ask_part", own("ask_parts")).withColumn("part", each("parts"))
+    columns = ("cell", "part", "ask_part", "id", "v")
     met = queries.select(*columns, F.lit(True).alias("asks")).unionByName(placed.select(*columns, F.lit(False).alias("asks")))
-    found = met.groupBy("cell", "part").applyInArrow(_compare(k), "query_id bigint, vec_id bigint, score double")
+    found = met.groupBy("cell", "part", "ask_part").applyInArrow(_compare(k), "query_id bigint, vec_id bigint, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")).withColumn("rank", F.row_number().over(order))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -165,6 +165,29 @@ def test_neighbours(spark):
     assert [(r["query_id"], r["vec_id"]) for r in few] == [(0, 7)]
 
 
+def test_neighbours_compare_bounded_groups(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = [(i, v.tolist()) for i, v in enumerate(rng.standard_normal((400, 8)))]
+    table = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    everyone = F.col("id") >= 0
+    wanted = sorted(map(tuple, neighbours.nearest(table, everyone, leaf=1000).collect()))
+    compare = neighbours._compare
+
+    def bounded(k):
+        inner = compare(k)
+
+        def best(group):
+            asked = np.array(group["asks"])
+            assert max(asked.sum(), (~asked).sum()) < 60  # 400 rows in parts of about 20
+            return inner(group)
+
+        return best
+
+    monkeypatch.setattr(neighbours, "PART", 20)
+    monkeypatch.setattr(neighbours, "_compare", bounded)
+    assert sorted(map(tuple, neighbours.nearest(table, everyone, leaf=1000).collect())) == wanted
+
+
 def test_targets_share_everything():
     rng = random.Random(6)
     for _ in range(50):
