@@ -5,6 +5,7 @@ beyond ASCII kept, all else a separator).  Three base phrases are found wherever
 their words stand consecutively.  Beside them run a few hundred signature rules, the
 product of hand-written license names and hand-written contexts.  A rule is tried
 only where all its keywords are among the text's words; it searches the whole line.
+Every match of a rule contains its keywords (one of each ``a|b``), so none is lost.
 
 Detections overlap: "licensed under the GNU GPL version 3" holds a notice, a name and
 a base phrase.  They are taken by priority, then length, then place; a detection
@@ -39,7 +40,7 @@ BASE = {
     "all rights reserved": "reserved",
 }
 
-#: Keyword, label and pattern of a license's name, in words of the folded line.
+#: Keyword (or alternatives), label and pattern of a license's name, in words of the folded line.
 NAMES = (
     ("mit", "mit", r"(?:expat )?mit(?: x11)?(?: style)?(?: licen[cs]e)?"),
     ("x11", "x11", r"x11 licen[cs]e"),
@@ -58,7 +59,7 @@ NAMES = (
     ("affero", "agpl-3.0", r"(?:gnu )?affero general public licen[cs]e(?: (?:version |v )?3(?: 0)?)?"),
     ("agpl", "agpl-3.0", r"(?:gnu )?agpl(?: (?:version |v )?3(?: 0)?)?"),
     ("documentation", "gfdl", r"(?:gnu )?free documentation licen[cs]e"),
-    ("bsd", "bsd-2-clause", r"(?:simplified bsd|bsd 2 clause|2 clause bsd|freebsd)(?: licen[cs]e)?"),
+    ("bsd|freebsd", "bsd-2-clause", r"(?:simplified bsd|bsd 2 clause|2 clause bsd|freebsd)(?: licen[cs]e)?"),
     ("bsd", "bsd-3-clause", r"(?:new bsd|modified bsd|revised bsd|bsd 3 clause|3 clause bsd)(?: licen[cs]e)?"),
     ("bsd", "bsd-4-clause", r"(?:original bsd|bsd 4 clause|4 clause bsd)(?: licen[cs]e)?"),
     ("bsd", "bsd", r"bsd(?: style)? licen[cs]e"),
@@ -106,7 +107,7 @@ CONTEXTS = (
     ("notice", 50, 0.97, "under", r"(?:licen[cs]ed|released|distributed|published|available|provided|covered|shared) under (?:the )?(?:terms (?:and conditions )?of )?(?:the )?(?:a )?{name}(?: licen[cs]e)?(?: version [0-9])?"),
     ("terms", 40, 0.9, "terms", r"(?:subject to|under) (?:the )?terms (?:and conditions )?of (?:the )?{name}"),
     ("by", 40, 0.9, "by", r"(?:licen[cs]ed|governed|covered|protected) by (?:the )?{name}"),
-    ("field", 30, 0.85, "license", r"licen[cs]e (?:is |type )?(?:the )?{name}"),
+    ("field", 30, 0.85, "license|licence", r"licen[cs]e (?:is |type )?(?:the )?{name}"),
     ("name", 10, 0.6, None, r"{name}"),
 )
 
@@ -130,7 +131,7 @@ class Rule(NamedTuple):
     label: str
     priority: int
     confidence: float
-    keywords: frozenset[bytes]
+    keywords: frozenset[tuple[bytes, ...]]  # each with its alternatives
     pattern: re.Pattern[bytes]
 
 
@@ -147,7 +148,7 @@ def rules() -> tuple[Rule, ...]:
     """All signature rules."""
 
     def rule(label, priority, confidence, keywords, pattern):
-        return Rule(label, priority, confidence, frozenset(k.encode() for k in keywords if k), re.compile(f"(?<= ){pattern}(?= )".encode()))
+        return Rule(label, priority, confidence, frozenset(tuple(k.encode().split(b"|")) for k in keywords if k), re.compile(f"(?<= ){pattern}(?= )".encode()))
 
     made = [
         rule(label, priority, confidence, {keyword, extra}, context.format(name=f"(?:{name})"))
@@ -161,10 +162,11 @@ def rules() -> tuple[Rule, ...]:
 
 @lru_cache(maxsize=1)
 def _by_keyword() -> dict[bytes, list[Rule]]:
-    """Rules by one of their keywords."""
+    """Rules by one of their keywords, and by each of its alternatives."""
     found: dict[bytes, list[Rule]] = {}
     for r in rules():
-        found.setdefault(min(r.keywords, key=lambda k: (k in (b"under", b"by", b"terms", b"license"), k)), []).append(r)
+        for k in min(r.keywords, key=lambda k: (k[0] in (b"under", b"by", b"terms", b"license"), k)):
+            found.setdefault(k, []).append(r)
     return found
 
 
@@ -200,7 +202,7 @@ def scan_text(text: str | None) -> tuple[int, list[Detection], list[Detection]]:
     found = []
     for gate in sorted(present):
         for r in gates[gate]:
-            if all(b" " + k + b" " in line for k in r.keywords):
+            if all(any(b" " + k + b" " in line for k in either) for either in r.keywords):
                 found += [Detection(r.label, *span, r.priority, r.confidence) for span in _spans(line, r.pattern)]
     return len(words), sorted(base, key=lambda d: (d.first, d.last)), sorted(unsuppressed(found), key=lambda d: (d.first, d.last))
 

@@ -131,6 +131,39 @@ def test_license_scan(odd, none, spark):
     assert none.select(licenses.scanned(F.col("text"))).collect() == []
 
 
+def _drawn(rng, parsed):
+    """A random match of a parsed pattern."""
+    out = ""
+    for op, value in parsed:
+        op = str(op)
+        if op == "LITERAL":
+            out += chr(value)
+        elif op == "IN":
+            kind, what = rng.choice(value)
+            out += chr(what if str(kind) == "LITERAL" else rng.randint(*what))
+        elif op == "SUBPATTERN":
+            out += _drawn(rng, value[-1])
+        elif op == "BRANCH":
+            out += _drawn(rng, rng.choice(value[1]))
+        elif op == "MAX_REPEAT":
+            out += "".join(_drawn(rng, value[2]) for _ in range(rng.randint(value[0], value[1])))
+        else:
+            assert op == "ASSERT", op
+    return out
+
+
+def test_license_gate_loses_no_match():
+    labels = lambda t: {d.label for d in licenses.scan_text(t)[2]}
+    assert labels("Licence: MIT") == {"mit"} and labels("FreeBSD licence") == {"bsd-2-clause"}
+    rng = random.Random(8)
+    for rule in licenses.rules():
+        for _ in range(12):
+            text = _drawn(rng, re._parser.parse(rule.pattern.pattern.decode()))
+            line = f" {text} ".encode()
+            every = [licenses.Detection(r.label, *span, r.priority, r.confidence) for r in licenses.rules() for span in licenses._spans(line, r.pattern)]
+            assert every and licenses.scan_text(text)[2] == sorted(licenses.unsuppressed(every), key=lambda d: (d.first, d.last)), text
+
+
 def test_license_suppression_against_all_pairs():
     rng = random.Random(3)
     found = [licenses.Detection(rng.choice("ab"), f, f + rng.randint(0, 6), rng.randint(0, 3), 0.5) for f in (rng.randint(0, 20) for _ in range(60))]
