@@ -4,9 +4,9 @@ Overlapping heuristic labellers vote good, bad or nothing on every text.  Expect
 maximisation over the counts of vote patterns (3 to the number of labellers at most,
 whatever the corpus) estimates how often each labeller votes what on good and on bad
 texts, and with that the probability that a text of a given pattern is good.  These
-posterior labels train a hashed linear scorer by logistic regression, on a sample of
-about ``TRAIN_ROWS`` texts of smallest hash: measures in coarse steps weigh as they
-stand, words by their share of the text.  The scorer judges all texts; those with a
+posterior labels train a hashed linear scorer by logistic regression, on the
+``TRAIN_ROWS`` distinct rows of smallest hash of id and text: measures in coarse steps
+weigh as they stand, words by their share of the text.  The scorer judges all texts; those with a
 score below ``KEEP_FROM`` are rejected.
 
 A null text or one without words has score 0 and is rejected.  An empty table gives an
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from oremill.llm.text import sliced
+from oremill.llm.text import WORD, sliced, whole
 
 BUCKETS = 1 << 18
 TRAIN_ROWS = 5_000
@@ -189,17 +189,16 @@ def fit(docs: DataFrame, text: str = "text", key: str = "doc_id", train_rows: in
     """The scorer's weights; None if no text has a word.  Pattern counts and the sample's features reach the driver."""
     pattern = vote_pattern(F.col(text))
     counts = {r["p"]: r["n"] for r in docs.select(pattern.alias("p")).groupBy("p").agg(F.count(F.lit(1)).alias("n")).collect()}
-    total = sum(counts.values())
     good = posteriors(counts)
     if not good:
         return None
-    place = F.pmod(F.xxhash64(F.lit("train"), F.col(key)), F.lit(1 << 30))
-    sample = docs.where(place <= int(min(1.0, train_rows / total) * (1 << 30))).select(
-        F.col(key).cast("string").alias("key"), vote_pattern(F.col(text)).alias("p"), _features(F.col(text)).alias("f")
-    )
-    rows = sample.where(F.col("p") != "").toArrow().sort_by([("key", "ascending"), ("p", "ascending")])
-    if not rows.num_rows:  # a table whose few keys all miss the sample
-        return np.zeros(BUCKETS + 1)
+    worded = docs.where(whole(F.col(text)).rlike(WORD))
+    placed = worded.select(F.xxhash64(F.lit("train"), F.col(key), F.col(text)).alias("place"), F.col(text).alias("text"))
+    # Equal rows have one place and count once; the places alone say where the sample ends.
+    last = placed.select("place").distinct().orderBy("place").limit(train_rows).agg(F.max("place")).first()[0]
+    sample = placed.where(F.col("place") <= last).groupBy("place").agg(F.min("text").alias("text"))
+    sample = sample.select("place", vote_pattern(F.col("text")).alias("p"), _features(F.col("text")).alias("f"))
+    rows = sample.toArrow().sort_by("place")
     found = rows["f"].combine_chunks()
     lengths = np.diff(found.offsets.to_numpy())
     return train(found.flatten().to_numpy(), lengths, np.array([good[p] for p in rows["p"].to_pylist()]))

@@ -223,3 +223,14 @@ def test_quality_classifier(spark, odd, none):
     got = quality_model.judged(odd)
     assert got.columns == odd.columns and got.where("text is null and (kept or score > 0)").count() == 0 and got.count() == odd.count()
     assert quality_model.judged(none).collect() == []
+
+
+def test_training_sample_is_bounded_and_never_empty(spark, monkeypatch):
+    taken = []
+    train = quality_model.train
+    monkeypatch.setattr(quality_model, "train", lambda index, lengths, good: taken.append(len(lengths)) or train(index, lengths, good, steps=2))
+    unlike = [(None, f"river stone number {i} walks under the bridge") for i in range(300)]
+    same = [(None, "one and the same text")] * 300
+    for rows, wanted in ((unlike, 20), (same, 1), (unlike + same + [(1, None), (2, " ")], 20), (same[:1], 1)):
+        quality_model.fit(spark.createDataFrame(rows, "doc_id bigint, text string"), train_rows=20)
+        assert taken.pop() == wanted
