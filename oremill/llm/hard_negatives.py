@@ -125,11 +125,11 @@ class Tops:
 EDGE = 1 << 62
 
 
-def _search(same_label: bool, k: int):
+def _search(same_label: bool, k: int, block: int):
     """Runs the searches of the anchors of each pair of parts over its rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, pieces in groupby(_pieces(batches), itemgetter(0)):
+        for _, pieces in groupby(_pieces(batches, block), itemgetter(0)):
             anchors: list[tuple] = []
             held: list[pa.RecordBatch] = []
             rows = 0
@@ -139,7 +139,7 @@ def _search(same_label: bool, k: int):
                     continue
                 held.append(piece)
                 rows += piece.num_rows
-                if rows >= BLOCK:
+                if rows >= block:
                     _meet(anchors, held, same_label)
                     held, rows = [], 0
             if held:
@@ -149,16 +149,16 @@ def _search(same_label: bool, k: int):
     return run
 
 
-def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[int, int], int, pa.RecordBatch]]:
-    """Sorted batches cut where the pair of parts or the kind of row changes, and at ``BLOCK`` rows."""
+def _pieces(batches: Iterator[pa.RecordBatch], block: int) -> Iterator[tuple[tuple[int, int], int, pa.RecordBatch]]:
+    """Sorted batches cut where the pair of parts or the kind of row changes, and at ``block`` rows."""
     for batch in batches:
         if not batch.num_rows:
             continue
         by = np.stack([batch.column(c).to_numpy() for c in ("part", "asked", "kind")])
         cuts = [0, *(np.flatnonzero((by[:, 1:] != by[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
         for start, end in zip(cuts, cuts[1:]):
-            for at in range(start, end, BLOCK):
-                yield (int(by[0, start]), int(by[1, start])), int(by[2, start]), batch.slice(at, min(BLOCK, end - at))
+            for at in range(start, end, block):
+                yield (int(by[0, start]), int(by[1, start])), int(by[2, start]), batch.slice(at, min(block, end - at))
 
 
 def _matrix(piece: pa.RecordBatch) -> np.ndarray:
@@ -203,7 +203,7 @@ def _told(anchors: list[tuple]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int64(), pa.int64()))], names)
 
 
-def _best(anchors: DataFrame, rows: DataFrame, same_label: bool, k: int, row_parts: int, anchor_parts: int) -> DataFrame:
+def _best(anchors: DataFrame, rows: DataFrame, same_label: bool, k: int, row_parts: int, anchor_parts: int, block: int) -> DataFrame:
     """``(anchor, search, rank, row, score)``: the best ``k`` rows of every search of every anchor."""
     nothing = F.lit(None).cast("array<struct<low: bigint, high: bigint>>")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
@@ -214,7 +214,7 @@ def _best(anchors: DataFrame, rows: DataFrame, same_label: bool, k: int, row_par
         "part", every(anchor_parts).alias("asked"), F.lit(1).alias("kind"), "id", "label", "v", nothing.alias("edges")
     )
     met = asked.unionByName(dealt).repartition("part", "asked").sortWithinPartitions("part", "asked", "kind")
-    tops = met.mapInArrow(_search(same_label, k), "anchor bigint, search int, row bigint, score bigint")
+    tops = met.mapInArrow(_search(same_label, k, block), "anchor bigint, search int, row bigint, score bigint")
     order = Window.partitionBy("anchor", "search").orderBy(F.desc("score"), "row")
     return tops.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
@@ -227,6 +227,7 @@ def mined(
     label: Column | None = None,
     row_parts: int = ROW_PARTS,
     part_anchors: int = PART_ANCHORS,
+    block: int = BLOCK,
 ) -> DataFrame:
     """``(anchor_id, positive_id, rank, negative_id, positive_score, negative_score)``.
 
@@ -236,13 +237,13 @@ def mined(
     asked = rows.where(anchors)
     anchor_parts = max(1, -(-asked.count() // part_anchors))
     unset = F.lit(None).cast("array<struct<low: bigint, high: bigint>>").alias("edges")
-    positives = stage(_best(asked.select("*", unset), rows, True, POSITIVES, row_parts, anchor_parts), "positives")
+    positives = stage(_best(asked.select("*", unset), rows, True, POSITIVES, row_parts, anchor_parts, block), "positives")
     # LOW * p <= 100 * n <= HIGH * p in whole numbers.
     score = F.col("score")
     edges = F.struct((-F.expr(f"floor(-{LOW} * cast(score as decimal(38, 0)) / 100)")).cast("bigint").alias("low"), F.expr(f"floor({HIGH} * cast(score as decimal(38, 0)) / 100)").cast("bigint").alias("high"))
     windows = positives.groupBy("anchor").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", edges.alias("e")))), lambda x: x["e"]).alias("edges"))
     searching = asked.join(windows, F.col("id") == F.col("anchor")).select("id", "label", "v", "edges")
-    negatives = _best(searching, rows, False, NEGATIVES, row_parts, anchor_parts)
+    negatives = _best(searching, rows, False, NEGATIVES, row_parts, anchor_parts, block)
     known = positives.select(
         F.col("anchor").alias("anchor_id"), (F.col("rank") - 1).alias("search"), F.col("row").alias("positive_id"), score.alias("positive_score")
     )

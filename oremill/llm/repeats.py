@@ -42,8 +42,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from oremill.llm.text import whole
-from oremill.plans.staging import stage
+from oremill.llm.text import stage_clean, whole
+from oremill.plans.staging import unstage
 
 WINDOW = 20
 GRAM = 5
@@ -116,7 +116,7 @@ def least_of(grams: np.ndarray, wanted: int) -> np.ndarray:
     return grams
 
 
-def runs_of(words: Words, window: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def runs_of(words: Words, window: int, slice_words: int = SLICE_WORDS) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """By slices of the words: the runs' first windows, counts of windows, minimisers, and whether one may hold a window twice.
 
     Equal windows in one run have their minimiser at two places, and the places of one
@@ -125,8 +125,8 @@ def runs_of(words: Words, window: int) -> Iterator[tuple[np.ndarray, np.ndarray,
     gram = min(GRAM, window)
     spread = window - gram + 1
     total = len(words.start)
-    for low in range(0, max(0, total - window + 1), SLICE_WORDS):
-        high = min(total, low + SLICE_WORDS + window - 1)
+    for low in range(0, max(0, total - window + 1), slice_words):
+        high = min(total, low + slice_words + window - 1)
         grams = gram_hashes(word_hashes(words, low, high), gram)
         least = least_of(grams, spread)
         again = np.zeros(len(grams) + 1, np.int64)
@@ -147,18 +147,18 @@ def _ended(text: str) -> F.Column:
     return F.concat(whole(F.col(text)), F.lit(" "))
 
 
-def _cells(least: np.ndarray) -> np.ndarray:
-    return (least & U((1 << CELL_BITS) - 1)).astype(np.int64)
+def _cells(least: np.ndarray, cell_bits: int) -> np.ndarray:
+    return (least & U((1 << cell_bits) - 1)).astype(np.int64)
 
 
-def shared_cells(texts: DataFrame, window: int) -> np.ndarray:
+def shared_cells(texts: DataFrame, window: int, cell_bits: int = CELL_BITS) -> np.ndarray:
     """A bit for each cell in which two runs or more fall."""
 
     def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in batches:
             for _, _, least, double in runs_of(Words(batch.column(0)), window):
-                held += [_cells(least), _cells(least[double])]
+                held += [_cells(least, cell_bits), _cells(least[double], cell_bits)]
                 size += len(least)
                 if size >= HELD:
                     yield packed(np.concatenate(held))
@@ -187,15 +187,15 @@ def shared_cells(texts: DataFrame, window: int) -> np.ndarray:
             )
 
     parts = texts.select("text").mapInArrow(seen, "block int, cells binary").repartition("block").sortWithinPartitions("block")
-    bits = np.zeros((1 << CELL_BITS - BLOCK_BITS, (1 << BLOCK_BITS) // 8), np.uint8)
+    bits = np.zeros((1 << cell_bits - BLOCK_BITS, (1 << BLOCK_BITS) // 8), np.uint8)
     for row in parts.mapInArrow(twice, "block int, bits binary").collect():
         bits[row["block"]] = np.frombuffer(row["bits"], np.uint8)
     return bits.ravel()
 
 
-def super_kmers(texts: DataFrame, window: int) -> DataFrame:
+def super_kmers(texts: DataFrame, window: int, cell_bits: int = CELL_BITS) -> DataFrame:
     """``(id, mark, start, n, least, digest, words)``: the runs whose minimiser may occur elsewhere, with their packed words."""
-    cells = texts.sparkSession.sparkContext.broadcast(shared_cells(texts, window))
+    cells = texts.sparkSession.sparkContext.broadcast(shared_cells(texts, window, cell_bits))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = cells.value
@@ -203,7 +203,7 @@ def super_kmers(texts: DataFrame, window: int) -> DataFrame:
             words = Words(batch.column("text"))
             raw = memoryview(words.data)
             for at, n, least, _ in runs_of(words, window):
-                cell = _cells(least)
+                cell = _cells(least, cell_bits)
                 shared = (bits[cell >> 3] >> (cell & 7).astype(np.uint8)) & 1 == 1
                 at, n, least = at[shared], n[shared], least[shared]
                 text = words.text[at]
@@ -292,40 +292,51 @@ def later_single_windows(strings: DataFrame, window: int) -> DataFrame:
             digests = [hashlib.blake2b(piece, digest_size=16).digest() for p in pieces for piece in p]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(offsets, pa.int32()), pa.array(digests, pa.binary())], ["digest", "id", "mark", "start", "k", "window"])
 
-    single = stage(strings.mapInArrow(cut, f"digest binary, {PLACE}, k int, window binary"), "windows")
+    single = strings.mapInArrow(cut, f"digest binary, {PLACE}, k int, window binary")
     place = F.struct("id", "mark", (F.col("start") + F.col("k")).alias("at"))
-    firsts = stage(single.groupBy("window").agg(F.min(place).alias("first")), "first-windows")
+    firsts = single.groupBy("window").agg(F.min(place).alias("first"))
     judged = single.join(firsts, "window").withColumn("k", F.when(place != F.col("first"), F.col("k")))
     return judged.groupBy("digest", "id", "mark", "start").agg(
         F.transform(F.sort_array(F.collect_list("k")), lambda k: F.struct(k.alias("at"), F.lit(1).alias("n"))).alias("runs")
     )
 
 
-def repeated_runs(texts: DataFrame, window: int = WINDOW, bucket_strings: int = BUCKET_STRINGS) -> DataFrame:
+def repeated_runs(
+    texts: DataFrame, window: int = WINDOW, bucket_strings: int = BUCKET_STRINGS, cell_bits: int = CELL_BITS
+) -> DataFrame:
     """``(id, mark, runs)``: of every document that repeats something, the runs of windows that start earlier elsewhere.
 
     ``texts`` is ``(id, mark, text)``, every text ending with a blank.
     """
-    travelling = stage(super_kmers(texts, window), "super-kmers")
+    travelling = stage_clean(super_kmers(texts, window, cell_bits), "super-kmers")
     strings = travelling.groupBy("least", "digest").agg(
         F.min(F.struct("id", "mark", "start")).alias("first"), F.any_value("words").alias("words")
     )
-    strings = stage(strings.select("least", "digest", "words", "first.*"), "strings")
-    large = stage(strings.groupBy("least").agg(F.count("*").alias("strings")).where(F.col("strings") > bucket_strings), "large")
+    strings = stage_clean(strings.select("least", "digest", "words", "first.*"), "strings")
+    large = stage_clean(strings.groupBy("least").agg(F.count("*").alias("strings")).where(F.col("strings") > bucket_strings), "large")
     later = later_windows(strings.join(large, "least", "left_anti"), window).unionByName(
         later_single_windows(strings.join(large, "least", "left_semi"), window)
     )
-    later = stage(later, "later")
+    later = stage_clean(later, "later")
     first = later.select("digest", F.struct("id", "mark", "start").alias("first"), "runs")
     places = travelling.select("digest", "id", "mark", "start", "n").join(first, "digest")
     all_of_it = F.array(F.struct(F.lit(0).alias("at"), F.col("n").alias("n")))
-    lost = F.when(F.struct("id", "mark", "start") == F.col("first"), F.col("runs")).otherwise(all_of_it)
-    moved = F.transform(lost, lambda r: F.struct((r["at"] + F.col("start")).alias("at"), r["n"].alias("n")))
+    of_place = F.when(F.struct("id", "mark", "start") == F.col("first"), F.col("runs")).otherwise(all_of_it)
+    moved = F.transform(of_place, lambda r: F.struct((r["at"] + F.col("start")).alias("at"), r["n"].alias("n")))
     losing = places.select("id", "mark", moved.alias("runs")).where(F.size("runs") > 0)
-    return losing.groupBy("id", "mark").agg(F.flatten(F.collect_list("runs")).alias("runs"))
-
-
-def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
+    lost = stage_clean(losing.groupBy("id", "mark").agg(F.flatten(F.collect_list("runs")).alias("runs")), "runs")
+    unstage(travelling, strings, large, later)
+    return lost
+
+
+def without_repeats(
+    docs: DataFrame,
+    key: str = "doc_id",
+    text: str = "text",
+    window: int = WINDOW,
+    bucket_strings: int = BUCKET_STRINGS,
+    cell_bits: int = CELL_BITS,
+) -> DataFrame:
     """``(doc_id, n_words, n_removed, kept)`` for every row: its words, those removed, and the rest joined by blanks."""
     mine = docs.select(
         F.col(key).cast("bigint").alias("doc_id"),
@@ -333,7 +344,7 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
         F.xxhash64(whole(F.col(text))).alias("mark"),
         _ended(text).alias("text"),
     )
-    runs = stage(repeated_runs(mine.select("id", "mark", "text"), window), "runs")
+    runs = repeated_runs(mine.select("id", "mark", "text"), window, bucket_strings, cell_bits)
 
     def trim(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

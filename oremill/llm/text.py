@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from oremill.plans.staging import stage
+
 #: A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACES = " \t\n\x0b\x0c\r"
@@ -56,6 +58,17 @@ def sliced(texts: pa.Array) -> Iterator[list[str | None]]:
     yield held
 
 
+def stage_clean(df: DataFrame, label: str = "state") -> DataFrame:
+    """``stage``, after which Spark drops the shuffle files of the write."""
+    name, spark = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", df.sparkSession
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        return stage(df, label)
+    finally:
+        spark.conf.set(name, before)
+
+
 def sweep(spark: SparkSession) -> None:
     """Have finished shuffles' files removed now, not when the driver next collects its garbage.
 
