@@ -19,7 +19,10 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from oremill.functions import vectors as vec
 from oremill.functions.hashing import draw32
+from oremill.operators.matching import first_fit
+from oremill.operators.numbering import row_numbers
 from oremill.plans.staging import stage, stage_counted
 
 SUMMARY_SCHEMA = "cluster int, n bigint, sum array<double>, sumsq array<double>"
@@ -38,6 +41,14 @@ def with_chunk(points: DataFrame, chunks: int, seed: int) -> DataFrame:
     return points.withColumn("chunk", (draw32(seed, F.col("id")) % F.lit(chunks)).cast("int"))
 
 
+def with_file_chunk(points: DataFrame, chunks: int, *order: str) -> DataFrame:
+    """Add ``row_number`` and ``chunk``: ``ceil(rows / chunks)`` rows each, in the given order (``id`` by default)."""
+    numbered = stage(row_numbers(points, *(order or ("id",)), name="row_number"), "numbered")
+    total = numbered.count()
+    size = max(1, -(-total // chunks))
+    return numbered.withColumn("chunk", F.expr(f"cast((row_number - 1) div {size} as int)"))
+
+
 def kmeans_labels(points: DataFrame, k: int, seed: int, max_iter: int = 20) -> DataFrame:
     """``points`` with ``cluster`` from Spark ML's K-Means."""
     vectors = points.withColumn("_vector", array_to_vector("features"))
@@ -109,17 +120,6 @@ class Summaries:
     def variances(self) -> np.ndarray:
         return self.sumsq / self.n[:, None] - self.centroids**2
 
-    def add(self, other: Summaries) -> Summaries:
-        """Add the figures of equal cluster ids."""
-        n, total, squares = self.n.copy(), self.sum.copy(), self.sumsq.copy()
-        at = {c: i for i, c in enumerate(self.ids)}
-        for j, c in enumerate(other.ids):
-            i = at[c]
-            n[i] += other.n[j]
-            total[i] += other.sum[j]
-            squares[i] += other.sumsq[j]
-        return Summaries(self.ids, n, total, squares)
-
     def distances(self, x: np.ndarray) -> np.ndarray:
         """Mahalanobis distance of each row of ``x`` to each cluster.
 
@@ -160,110 +160,84 @@ def assign(points: DataFrame, clusters: Summaries, alpha: float = 2.0) -> DataFr
     ).drop("_near")
 
 
+def _sides(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Two summary tables with their columns told apart, for joins of a few rows with a few."""
+    names = ("cluster", "n", "sum", "sumsq")
+    return left.select(*[F.col(c).alias(f"a_{c}") for c in names]), right.select(*[F.col(c).alias(f"b_{c}") for c in names])
+
+
+def _towards(one: str, other: str) -> Column:
+    """Distance of one cluster's centroid in the metric of the other."""
+    total, squares, n = F.col(f"{other}_sum"), F.col(f"{other}_sumsq"), F.col(f"{other}_n")
+    here = vec.centroid(F.col(f"{one}_sum"), F.col(f"{one}_n"))
+    return vec.mahalanobis(here, vec.centroid(total, n), vec.variance(total, squares, n))
+
+
+def _are_close(alpha: float) -> Column:
+    return F.least("a_to_b", "b_to_a") < F.lit(alpha) * F.sqrt(F.size("a_sum"))
+
+
 def merge_pairs(summary: DataFrame, alpha: float = 2.0) -> DataFrame:
     """``(a, b, a_to_b, b_to_a, mergeable)`` for clusters ``a < b``.
 
     Distances run from the centroid of one cluster in the metric of the other.
     The number of clusters is a model parameter, not a data size.
     """
-    clusters = Summaries.collect(summary)
-
-    @F.pandas_udf("array<struct<b: int, a_to_b: double, b_to_a: double>>")
-    def against_all(cluster: pd.Series) -> pd.Series:
-        directed = clusters.distances(clusters.centroids)
-        at = {c: i for i, c in enumerate(clusters.ids)}
-        return pd.Series(
-            [
-                [
-                    {"b": int(clusters.ids[j]), "a_to_b": directed[at[c], j], "b_to_a": directed[j, at[c]]}
-                    for j in range(len(clusters))
-                    if clusters.ids[j] > c
-                ]
-                for c in cluster
-            ]
-        )
-
-    pairs = summary.select(
-        F.col("cluster").alias("a"), F.size("sum").alias("d"), F.explode(against_all("cluster")).alias("p")
-    )
-    return pairs.select(
-        "a",
-        "p.*",
-        (F.least("p.a_to_b", "p.b_to_a") < F.lit(alpha) * F.sqrt("d")).alias("mergeable"),
+    a, b = _sides(summary, summary)
+    met = a.join(b, F.col("a_cluster") < F.col("b_cluster"))
+    measured = met.withColumns({"a_to_b": _towards("a", "b"), "b_to_a": _towards("b", "a")})
+    return measured.select(
+        F.col("a_cluster").alias("a"), F.col("b_cluster").alias("b"), "a_to_b", "b_to_a", _are_close(alpha).alias("mergeable")
     )
 
 
-def split_singletons(labelled: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``(groups, singletons)``: points of clusters with several members, and with one."""
-    sizes = labelled.groupBy("cluster").agg(F.count("*").alias("members"))
-    sized = labelled.join(sizes, "cluster")
+def added_up(summaries: DataFrame) -> DataFrame:
+    """Summaries of equal clusters added."""
+    vectors = summaries.select("cluster", "n", array_to_vector("sum").alias("_s"), array_to_vector("sumsq").alias("_q"))
     return (
-        sized.where(F.col("members") > 1).drop("members"),
-        sized.where(F.col("members") == 1).drop("members"),
+        vectors.groupBy("cluster")
+        .agg(F.sum("n").alias("n"), Summarizer.sum(F.col("_s")).alias("_s"), Summarizer.sum(F.col("_q")).alias("_q"))
+        .select("cluster", "n", vector_to_array("_s").alias("sum"), vector_to_array("_q").alias("sumsq"))
     )
 
 
-class _Compressed:
-    """Compression-set bookkeeping: summaries in order, and where original ids went."""
-
-    def __init__(self) -> None:
-        self.next_id = 0
-        self.order: list[int] = []
-        self.figures: dict[int, tuple[int, np.ndarray, np.ndarray]] = {}
-        self.owner: dict[int, int] = {}
-        self.members: list[DataFrame] = []
-
-    def add(self, groups: DataFrame, k: int) -> None:
-        """Adopt labelled groups; ``k`` bounds their cluster ids."""
-        shifted = stage(groups.withColumn("cluster", F.col("cluster") + F.lit(self.next_id)), "compressed")
-        summaries = Summaries.collect(cluster_summary(shifted))
-        self.next_id += k
-        self.members.append(shifted.select("id", "cluster"))
-        for i, c in enumerate(summaries.ids):
-            c = int(c)
-            self.order.append(c)
-            self.figures[c] = (int(summaries.n[i]), summaries.sum[i], summaries.sumsq[i])
-            self.owner[c] = c
-
-    def absorb(self, kept: int, gone: int) -> None:
-        n, total, squares = self.figures.pop(gone)
-        m, other, others = self.figures[kept]
-        self.figures[kept] = (n + m, total + other, squares + others)
-        self._redirect(gone, kept)
-
-    def _redirect(self, gone: int, target: int) -> None:
-        for c, owner in self.owner.items():
-            if owner == gone:
-                self.owner[c] = target
-
-    def merge(self, alpha: float) -> None:
-        """Each cluster merges with the first later one that is close, at most once per call."""
-        queue, out = list(self.order), []
-        while queue:
-            head = queue.pop(0)
-            for i, other in enumerate(queue):
-                if _close(self.figures[head], self.figures[other], alpha):
-                    self.absorb(head, other)
-                    queue.pop(i)
-                    break
-            out.append(head)
-        self.order = out
+def merge_targets(summary: DataFrame, alpha: float = 2.0) -> DataFrame:
+    """``(cluster, into)`` for every cluster.
+
+    In the order of their ids, each cluster that is still free takes up the first later
+    free one that is close, judged by the summaries as they came; it takes one at most,
+    and is not looked at again.  ``into`` is the cluster itself unless it was taken up.
+    """
+    taken = first_fit(merge_pairs(summary, alpha).where("mergeable"))
+    return summary.select("cluster").join(taken, summary["cluster"] == taken["b"], "left").select(
+        "cluster", F.coalesce("a", "cluster").alias("into")
+    )
 
-    @property
-    def points(self) -> int:
-        return sum(n for n, _, _ in self.figures.values())
 
+def discard_targets(summary: DataFrame, discard: DataFrame, alpha: float = 2.0) -> DataFrame:
+    """``(cluster, into)``: the first discard cluster that is close, for clusters that have one.
 
-def _summaries_of(figures) -> Summaries:
-    n, total, squares = figures
-    return Summaries(np.array([0]), np.array([n]), np.array([total]), np.array([squares]))
+    Discard clusters are taken as they came, so the order of the clusters does not matter.
+    """
+    a, b = _sides(summary, discard)
+    measured = a.crossJoin(b).withColumns({"a_to_b": _towards("a", "b"), "b_to_a": _towards("b", "a")})
+    return measured.where(_are_close(alpha)).groupBy(F.col("a_cluster").alias("cluster")).agg(F.min("b_cluster").alias("into"))
 
 
-def _close(one, two, alpha: float) -> bool:
-    """Whether the smaller of the two directed centroid distances is below the threshold."""
-    a, b = _summaries_of(one), _summaries_of(two)
-    distance = min(b.distances(a.centroids)[0, 0], a.distances(b.centroids)[0, 0])
-    return distance < alpha * np.sqrt(a.sum.shape[1])
+def moved(summary: DataFrame, targets: DataFrame) -> DataFrame:
+    """The summaries of the clusters in ``targets`` under their new clusters, added up."""
+    return added_up(summary.join(targets, "cluster").select(F.col("into").alias("cluster"), "n", "sum", "sumsq"))
+
+
+def split_singletons(labelled: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(groups, singletons)``: points of clusters with several members, and with one."""
+    # Stored, so that the planner sees one short row a cluster and ships these, not the points.
+    sizes = stage(labelled.groupBy("cluster").agg(F.count("*").alias("members")), "sizes")
+    sized = labelled.join(sizes, "cluster")
+    return (
+        sized.where(F.col("members") > 1).drop("members"),
+        sized.where(F.col("members") == 1).drop("members"),
+    )
 
 
 def bfr(
@@ -275,6 +249,7 @@ def bfr(
     max_iter: int = 20,
     first_pass_clusters: int | None = None,
     clusterer: Callable[[DataFrame, int], DataFrame] | None = None,
+    chunker: Callable[[DataFrame], DataFrame] | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Returns ``(rounds, labels)``.
 
@@ -289,14 +264,18 @@ def bfr(
     ``clusterer`` labels points with ``k`` clusters; by default it is Spark ML's
     K-Means with at most ``max_iter`` iterations.
 
+    ``chunker`` adds a column ``chunk`` (from 0) to the points; by default a random split.
+
     Within a chunk, points are compared with the discard set as it was when the
     chunk began, and its summaries are updated once at the end, so the result
     does not depend on the order of points.  Centroids are always ``sum / n``,
-    and a merged compression cluster is kept.
+    and a merged compression cluster is kept.  After the last chunk compression
+    clusters join the discard set as it is then.
     """
     spark = points.sparkSession
     clusterer = clusterer or (lambda found, n: kmeans_labels(found, n, seed, max_iter))
-    chunked = stage(with_chunk(points, chunks, seed), "points")
+    chunker = chunker or (lambda found: with_chunk(found, chunks, seed))
+    chunked = stage(chunker(points).select("id", "features", "chunk"), "points", by="chunk")
 
     def chunk(i: int) -> DataFrame:
         return chunked.where(F.col("chunk") == i).select("id", "features")
@@ -311,76 +290,70 @@ def bfr(
     if n_body < k:
         raise ValueError(f"only {n_body} points of the first chunk are no outliers: lower first_pass_clusters")
     labelled = stage(clusterer(body, k), "discard")
-    discard = Summaries.collect(cluster_summary(labelled))
+    discard = stage(cluster_summary(labelled), "summary")
     discard_members = [labelled.select("id", "cluster")]
     retained, n_retained = stage_counted(outliers.select("id", "features"), "retained")
-    compressed = _Compressed()
+    # Compression clusters: their summaries, their points by first cluster, and where each first cluster is now.
+    compressed = spark.createDataFrame([], SUMMARY_SCHEMA)
+    compressed_members: list[DataFrame] = []
+    owners = spark.createDataFrame([], "cluster int, owner int")
+    next_id = 0
     rounds = []
 
     def recluster(n_clusters: int) -> None:
         """Cluster the retained set: groups join the compression set, singletons stay."""
-        nonlocal retained, n_retained
+        nonlocal retained, n_retained, compressed, owners, next_id
         if n_retained <= n_clusters:
             return
-        again = stage(clusterer(retained, n_clusters), "recluster")
-        groups, alone = split_singletons(again)
-        compressed.add(groups, n_clusters)
+        groups, alone = split_singletons(stage(clusterer(retained, n_clusters), "recluster"))
+        fresh = stage(groups.withColumn("cluster", F.col("cluster") + F.lit(next_id)), "compressed")
+        compressed_members.append(fresh.select("id", "cluster"))
+        compressed = stage(compressed.unionByName(cluster_summary(fresh)), "summary")
+        owners = owners.unionByName(compressed.where(F.col("cluster") >= next_id).select("cluster", F.col("cluster").alias("owner")))
+        next_id += n_clusters
         retained, n_retained = stage_counted(alone.select("id", "features"), "retained")
 
+    def redirect(targets: DataFrame, target: Column) -> None:
+        """Let owners follow their clusters."""
+        nonlocal owners
+        now = targets.select(F.col("cluster").alias("owner"), target.cast("int").alias("_now"))
+        owners = stage(owners.join(now, "owner", "left").select("cluster", F.coalesce("_now", "owner").alias("owner")), "owners")
+
     def report() -> None:
-        rounds.append(
-            (len(rounds) + 1, int(discard.n.sum()), len(compressed.order), compressed.points, n_retained)
-        )
+        inside = discard.agg(F.sum("n")).first()[0]
+        clusters, within = compressed.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+        rounds.append((len(rounds) + 1, inside, clusters, within, n_retained))
 
     recluster(k)
     report()
     for i in range(1, chunks):
-        assigned = stage(assign(chunk(i), discard, alpha), "assigned")
+        assigned = stage(assign(chunk(i), Summaries.collect(discard), alpha), "assigned")
         taken = assigned.where(F.col("cluster").isNotNull())
-        discard = discard.add(Summaries.collect(cluster_summary(taken)))
+        discard = stage(added_up(discard.unionByName(cluster_summary(taken))), "summary")
         discard_members.append(taken.select("id", "cluster"))
         left = assigned.where(F.col("cluster").isNull()).select("id", "features")
         retained, n_retained = stage_counted(retained.unionByName(left), "retained")
         recluster(RETAINED_FACTOR * k)
-        compressed.merge(alpha)
+        targets = stage(merge_targets(compressed, alpha), "targets")
+        compressed = stage(moved(compressed, targets), "summary")
+        redirect(targets, F.col("into"))
         if i == chunks - 1:
-            discard = _merge_into_discard(compressed, discard, alpha)
+            targets = stage(discard_targets(compressed, discard, alpha), "targets")
+            discard = stage(added_up(discard.unionByName(moved(compressed, targets))), "summary")
+            compressed = stage(compressed.join(targets, "cluster", "left_anti"), "summary")
+            redirect(targets, -F.col("into") - 1)  # discard cluster d is owner -d - 1
         report()
 
     labels = _union(discard_members)
-    if compressed.members:
-        owners = spark.createDataFrame(
-            [(c, owner if owner < 0 else None) for c, owner in compressed.owner.items()], "cluster int, owner int"
-        )
-        # A discard cluster d is recorded as owner -d - 1.
-        final = F.when(F.col("owner").isNull(), F.lit(-1)).otherwise(-F.col("owner") - 1)
-        labels = labels.unionByName(
-            _union(compressed.members).join(owners, "cluster").select("id", final.cast("int").alias("cluster"))
-        )
+    if compressed_members:
+        final = F.when(F.col("owner") < 0, -F.col("owner") - 1).otherwise(F.lit(-1))
+        inner = _union(compressed_members).join(owners, "cluster")
+        labels = labels.unionByName(inner.select("id", final.cast("int").alias("cluster")))
     labels = labels.unionByName(retained.select("id", F.lit(-1).alias("cluster")))
     report_schema = "round int, ds_points bigint, cs_clusters bigint, cs_points bigint, rs_points bigint"
     return spark.createDataFrame(rounds, report_schema), labels
 
 
-def _merge_into_discard(compressed: _Compressed, discard: Summaries, alpha: float) -> Summaries:
-    """Move each compression cluster into the first discard cluster that is close."""
-    kept = []
-    for c in compressed.order:
-        figures = compressed.figures[c]
-        for j in range(len(discard)):
-            target = (int(discard.n[j]), discard.sum[j], discard.sumsq[j])
-            if _close(figures, target, alpha):
-                moved = _summaries_of(figures)
-                discard = discard.add(Summaries(discard.ids[j : j + 1], moved.n, moved.sum, moved.sumsq))
-                del compressed.figures[c]
-                compressed._redirect(c, -int(discard.ids[j]) - 1)
-                break
-        else:
-            kept.append(c)
-    compressed.order = kept
-    return discard
-
-
 def _union(frames: list[DataFrame]) -> DataFrame:
     out = frames[0]
     for frame in frames[1:]:

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from oremill.functions.hashing import COMPACT_BITS, COMPACT_PRIME, SLOPES
 from oremill.operators.sampling import SNAPSHOT_SLOTS
-from oremill.queries import ALPHA, BATCH, CHANCE_Z, CLUSTERS, FIRST_PASS, LPA_ROUNDS, RESERVOIR, SEED, SON_PARTS
+from oremill.queries import (
+    ALPHA, BATCH, CHANCE_Z, CHUNKS, CLUSTERS, FIRST_PASS, LPA_ROUNDS, MERGE_ALPHA, RESERVOIR, SEED, SON_PARTS,
+)
 
 # The joins below are unrolled to this many items per itemset; it has to exceed
 # the largest itemset that reaches the support.
@@ -276,6 +278,101 @@ figures AS (
   FROM flat GROUP BY cluster, dim
 )"""
 
+SMALL_CLUSTERS = f"""
+{POINTS},
+small AS (SELECT id, chunk * {CLUSTERS} + cluster AS cluster FROM points)"""
+
+
+def _figures(name: str, members: str) -> str:
+    """``name(cluster, d, dim, n, centre, spread)`` of the clusters of ``members(id, cluster)``."""
+    return f"""
+{name} AS MATERIALIZED (
+  SELECT m.cluster, any_value(d) AS d, dim, count(*) AS n, sum(x) / count(*) AS centre,
+         sum(x * x) / count(*) - (sum(x) / count(*)) * (sum(x) / count(*)) AS spread
+  FROM {members} m JOIN flat f ON f.id = m.id GROUP BY m.cluster, dim
+)"""
+
+
+def _close(name: str, left: str, right: str, where: str, alpha: float) -> str:
+    """``name(a, b)``: clusters of which one is close in the metric of the other."""
+    away = "CASE WHEN min({0}.spread) <= 0 THEN 'Infinity'::DOUBLE ELSE sqrt(sum((p.centre - q.centre) * (p.centre - q.centre) / {0}.spread)) END"
+    return f"""
+{name} AS MATERIALIZED (
+  SELECT p.cluster AS a, q.cluster AS b FROM {left} p JOIN {right} q ON p.dim = q.dim AND {where}
+  GROUP BY 1, 2 HAVING least({away.format('p')}, {away.format('q')}) < {alpha} * sqrt(any_value(p.d))
+)"""
+
+
+def _first_fit(name: str, pairs: str) -> str:
+    """``name(a, b)``: the pairs taken by a walk in order of (a, b) that takes a pair if both ends are free."""
+    free = "NOT list_contains(w.used, p.a) AND NOT list_contains(w.used, p.b)"
+    return f"""
+{name}_pairs AS MATERIALIZED (SELECT a, b, row_number() OVER (ORDER BY a, b) AS i FROM {pairs}),
+{name}_walk(i, used) AS (
+  SELECT 0::BIGINT, []::BIGINT[]
+  UNION ALL
+  SELECT p.i, CASE WHEN {free} THEN list_concat(w.used, [p.a::BIGINT, p.b::BIGINT]) ELSE w.used END
+  FROM {name}_walk w JOIN {name}_pairs p ON p.i = w.i + 1
+),
+{name} AS MATERIALIZED (SELECT p.a, p.b FROM {name}_walk w JOIN {name}_pairs p ON p.i = w.i + 1 WHERE {free})"""
+
+
+def _reclustered(round: int, retained: str, k: int, first_id: int) -> str:
+    """``fresh_r(id, cluster)`` and ``rs_r(id)``: groups and leftovers of the retained points in ``k`` seeded clusters."""
+    return f"""
+held_{round} AS MATERIALIZED (SELECT * FROM points WHERE id IN ({retained})), {_seeded(f'again_{round}', f'held_{round}', k)},
+split_{round} AS MATERIALIZED (
+  SELECT id, cluster + {first_id} AS cluster, count(*) OVER (PARTITION BY cluster) AS c, (SELECT count(*) FROM held_{round}) > {k} AS enough
+  FROM again_{round}
+),
+fresh_{round} AS (SELECT id, cluster FROM split_{round} WHERE enough AND c > 1),
+rs_{round} AS (SELECT id FROM split_{round} WHERE NOT enough OR c = 1)"""
+
+
+def _all_rounds() -> str:
+    """``ds_r``, ``cs_r`` and ``rs_r`` (id, cluster) after each round, chunks in order of id, clusters from fixed seeds."""
+    out = f"""
+{POINTS},
+placed AS (SELECT id, (row_number() OVER (ORDER BY id) - 1) // ((SELECT count(*) + {CHUNKS - 1} FROM points) // {CHUNKS}) AS place FROM points),
+body AS MATERIALIZED (SELECT * FROM points WHERE id IN (SELECT id FROM placed WHERE place = 0)), {_seeded('peel', 'body', FIRST_PASS)},
+alone AS (SELECT id FROM (SELECT id, count(*) OVER (PARTITION BY cluster) AS c FROM peel) WHERE c = 1),
+inner_body AS MATERIALIZED (SELECT * FROM body WHERE id NOT IN (SELECT id FROM alone)), {_seeded('ds_1', 'inner_body', CLUSTERS)},
+{_reclustered(1, 'SELECT id FROM alone', CLUSTERS, 0)},
+cs_1 AS (SELECT id, cluster FROM fresh_1)"""
+    for r in range(2, CHUNKS + 1):
+        b = r - 1
+        merged = f"into_{r}" if r == CHUNKS else f"ds_{r}"
+        out += f""", {_figures(f'ds_figures_{r}', f'ds_{b}')},
+far_{r} AS MATERIALIZED (
+  SELECT f.id, g.cluster, any_value(f.d) AS d,
+         CASE WHEN min(spread) <= 0 THEN 'Infinity'::DOUBLE ELSE sqrt(sum((x - centre) * (x - centre) / spread)) END AS away
+  FROM flat f JOIN placed ON placed.id = f.id AND place = {b} JOIN ds_figures_{r} g ON g.dim = f.dim GROUP BY f.id, g.cluster
+),
+nearest_{r} AS MATERIALIZED (
+  SELECT id, CASE WHEN away < {ALPHA} * sqrt(d) THEN cluster END AS cluster
+  FROM far_{r} QUALIFY row_number() OVER (PARTITION BY id ORDER BY away, cluster) = 1
+),
+{merged} AS (SELECT id, cluster FROM ds_{b} UNION ALL SELECT id, cluster FROM nearest_{r} WHERE cluster IS NOT NULL),
+{_reclustered(r, f'SELECT id FROM rs_{b} UNION ALL SELECT id FROM nearest_{r} WHERE cluster IS NULL', 3 * CLUSTERS, 1000 * b)},
+grown_{r} AS MATERIALIZED (SELECT id, cluster FROM cs_{b} UNION ALL SELECT id, cluster FROM fresh_{r}),
+{_figures(f'cs_figures_{r}', f'grown_{r}')},
+{_close(f'close_{r}', f'cs_figures_{r}', f'cs_figures_{r}', 'p.cluster < q.cluster', ALPHA)},
+{_first_fit(f'fit_{r}', f'close_{r}')},
+cs_{r if r < CHUNKS else 'merged'} AS MATERIALIZED (SELECT g.id, coalesce(f.a, g.cluster) AS cluster FROM grown_{r} g LEFT JOIN fit_{r} f ON f.b = g.cluster)"""
+    last = CHUNKS
+    return out + f""", {_figures('last_ds', f'into_{last}')}, {_figures('last_cs', 'cs_merged')},
+{_close('close_last', 'last_cs', 'last_ds', 'true', ALPHA)},
+joins AS (SELECT a, min(b) AS b FROM close_last GROUP BY a),
+ds_{last} AS (SELECT id, cluster FROM into_{last} UNION ALL SELECT c.id, j.b FROM cs_merged c JOIN joins j ON j.a = c.cluster),
+cs_{last} AS (SELECT id, cluster FROM cs_merged WHERE cluster NOT IN (SELECT a FROM joins)),
+rounds AS (
+  {' UNION ALL '.join(f"SELECT {r} AS round, (SELECT count(*) FROM ds_{r}) AS ds_points, (SELECT count(DISTINCT cluster) FROM cs_{r}) AS cs_clusters, (SELECT count(*) FROM cs_{r}) AS cs_points, (SELECT count(*) FROM rs_{r}) AS rs_points" for r in range(1, last + 1))}
+),
+final AS (
+  SELECT id, cluster::INT AS cluster FROM ds_{last} UNION ALL SELECT id, -1 FROM cs_{last} UNION ALL SELECT id, -1 FROM rs_{last}
+)"""
+
+
 ORACLES = {
     "baskets_order_brand": f"""
         WITH {BASKETS}
@@ -440,6 +537,36 @@ ORACLES = {
                least(p.distance, q.distance) < {ALPHA} * sqrt(p.d) AS mergeable
         FROM directed p JOIN directed q ON q.origin = p.target AND q.target = p.origin
         WHERE p.origin < p.target""",
+    "bfr_cs_merge": f"""
+        WITH RECURSIVE {SMALL_CLUSTERS}, {_figures('f', 'small')},
+        {_close('pairs', 'f', 'f', 'p.cluster < q.cluster', MERGE_ALPHA)}, {_first_fit('fit', 'pairs')}
+        SELECT c.cluster, coalesce(fit.a, c.cluster) AS "into"
+        FROM (SELECT DISTINCT cluster FROM small) c LEFT JOIN fit ON fit.b = c.cluster""",
+    "bfr_cs_merged": f"""
+        WITH RECURSIVE {SMALL_CLUSTERS}, {_figures('f', 'small')},
+        {_close('pairs', 'f', 'f', 'p.cluster < q.cluster', MERGE_ALPHA)}, {_first_fit('fit', 'pairs')}
+        SELECT coalesce(fit.a, s.cluster) AS cluster, x.dim, count(*) AS n, round(sum(x), 6) AS sum, round(sum(x * x), 6) AS sumsq
+        FROM small s JOIN flat x ON x.id = s.id LEFT JOIN fit ON fit.b = s.cluster GROUP BY 1, 2""",
+    "bfr_ds_merge": f"""
+        WITH {SMALL_CLUSTERS}, {_figures('f', 'small')},
+        {_close('pairs', 'f', 'f', f'p.cluster >= {CLUSTERS} AND q.cluster < {CLUSTERS}', MERGE_ALPHA)}
+        SELECT a AS cluster, min(b) AS "into" FROM pairs GROUP BY a""",
+    "chunk_file_order": f"""
+        SELECT vec_id AS id, row_number() OVER (ORDER BY vec_id) AS row_number,
+               ((row_number() OVER (ORDER BY vec_id) - 1) // ((SELECT count(*) + {CHUNKS - 1} FROM embeddings) // {CHUNKS}))::INT AS chunk
+        FROM embeddings""",
+    "bfr_rounds_fixed": f"WITH RECURSIVE {_all_rounds()} SELECT * FROM rounds",
+    "bfr_labels_fixed": f"WITH RECURSIVE {_all_rounds()} SELECT id, cluster FROM final",
+    "labels_by_id": f"WITH RECURSIVE {_all_rounds()} SELECT id, cluster, row_number() OVER (ORDER BY id) AS n FROM final",
+    "clustering_file": f"""
+        WITH RECURSIVE {_all_rounds()},
+        lines AS (
+          SELECT 0 AS section, 0 AS place, 'The intermediate results:' AS line
+          UNION ALL SELECT 1, round, 'Round ' || round || ': ' || ds_points || ',' || cs_clusters || ',' || cs_points || ',' || rs_points FROM rounds
+          UNION ALL SELECT 2, 0, '' UNION ALL SELECT 2, 1, 'The clustering results:'
+          UNION ALL SELECT 3, id, id || ',' || cluster FROM final
+        )
+        SELECT row_number() OVER (ORDER BY section, place) AS n, line FROM lines""",
     "bootstrap_batches": f"""
         WITH total AS (SELECT count(*) AS rows FROM orders),
         draws AS (

@@ -27,7 +27,7 @@ def shared_root(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if configured:
         return f"{configured.rstrip('/')}/oremill/{context.applicationId}"
-    if not context.master.startswith("local"):
+    if not (context.master == "local" or context.master.startswith("local[")):
         raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
     app = context.applicationId
     if app not in _local_roots:
@@ -39,16 +39,18 @@ def staging_path(spark: SparkSession, label: str) -> str:
     return f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, label: str = "state") -> DataFrame:
+def stage(df: DataFrame, label: str = "state", by: str | None = None) -> DataFrame:
     """Write ``df`` once and return a DataFrame that reads the written table.
 
-    A DataFrame that already is such a table is returned as it is.
+    A DataFrame that already is such a table is returned as it is.  With ``by`` each
+    value of that column gets a folder, so that a reader of one value reads no other.
     """
     if hasattr(df, "_oremill_path"):
         return df
     spark = df.sparkSession
     path = staging_path(spark, label)
-    df.write.parquet(path)
+    writer = df.write.partitionBy(by) if by else df.write
+    writer.parquet(path)
     staged = spark.read.schema(df.schema).parquet(path)
     staged._oremill_path = path
     return staged

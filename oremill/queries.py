@@ -17,6 +17,7 @@ from oremill.operators import itemsets as it
 from oremill.operators import paths as ph
 from oremill.operators import sampling as sm
 from oremill.operators import sketches as sk
+from oremill.operators.numbering import row_numbers
 from oremill.plans.staging import stage, staging_path
 from oremill.session import apply_settings
 from oremill.sources import readers, reports
@@ -31,6 +32,8 @@ SON_PARTS = 4
 CLUSTERS = 10
 FIRST_PASS = 40  # clusters that show the outliers among a fifth of 500 points or more
 ALPHA = 1.1
+CHUNKS = 5
+MERGE_ALPHA = 0.4  # so that some of the small clusters of the merge queries are close and some are not
 CHANCE_Z = 2.5
 LPA_ROUNDS = 5
 
@@ -308,6 +311,65 @@ def bfr_labels(spark: SparkSession, sf: str) -> DataFrame:
     return cl.bfr(_points(spark, sf), CLUSTERS, alpha=ALPHA, seed=SEED, first_pass_clusters=FIRST_PASS)[1]
 
 
+def _small_clusters(spark: SparkSession, sf: str) -> DataFrame:
+    """Summaries of the points of each label in each chunk, chunk by chunk."""
+    chunked = cl.with_chunk(_labelled_points(spark, sf), CHUNKS, SEED)
+    numbered = chunked.withColumn("cluster", (F.col("chunk") * CLUSTERS + F.col("cluster")).cast("int"))
+    return stage(cl.cluster_summary(numbered), "summary")
+
+
+def bfr_cs_merge(spark: SparkSession, sf: str) -> DataFrame:
+    """Where each of many small clusters goes when close ones merge first-fit."""
+    return cl.merge_targets(_small_clusters(spark, sf), MERGE_ALPHA)
+
+
+def bfr_cs_merged(spark: SparkSession, sf: str) -> DataFrame:
+    """The summaries after that merge."""
+    summary = _small_clusters(spark, sf)
+    return _long_summary(cl.moved(summary, cl.merge_targets(summary, MERGE_ALPHA)), "cluster")
+
+
+def bfr_ds_merge(spark: SparkSession, sf: str) -> DataFrame:
+    """The clusters of later chunks that join one of the first chunk's."""
+    summary = _small_clusters(spark, sf)
+    first = F.col("cluster") < CLUSTERS
+    return cl.discard_targets(summary.where(~first), summary.where(first), MERGE_ALPHA)
+
+
+def chunk_file_order(spark: SparkSession, sf: str) -> DataFrame:
+    """Row numbers by id, and chunks of a fifth of the rows each in that order."""
+    points = _points(spark, sf).select("id")
+    return cl.with_file_chunk(points, CHUNKS)
+
+
+def _fixed(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """All rounds over chunks in file order, with clusters from fixed seeds."""
+    return cl.bfr(
+        _points(spark, sf), CLUSTERS, CHUNKS, ALPHA, first_pass_clusters=FIRST_PASS,
+        clusterer=cl.seeded_labels, chunker=lambda points: cl.with_file_chunk(points, CHUNKS),
+    )
+
+
+def bfr_rounds_fixed(spark: SparkSession, sf: str) -> DataFrame:
+    return _fixed(spark, sf)[0]
+
+
+def bfr_labels_fixed(spark: SparkSession, sf: str) -> DataFrame:
+    return _fixed(spark, sf)[1]
+
+
+def labels_by_id(spark: SparkSession, sf: str) -> DataFrame:
+    """Final labels numbered in the order of point ids."""
+    return row_numbers(_fixed(spark, sf)[1], "id")
+
+
+def clustering_file(spark: SparkSession, sf: str) -> DataFrame:
+    """The clustering report as an ordered file, read back with line numbers."""
+    path = staging_path(spark, "report")
+    reports.write_clustering_report(*_fixed(spark, sf), path)
+    return readers.numbered_lines(spark, path)
+
+
 def clustering_report(spark: SparkSession, sf: str) -> DataFrame:
     rounds, labels = cl.bfr(_points(spark, sf), CLUSTERS, alpha=ALPHA, seed=SEED, first_pass_clusters=FIRST_PASS)
     results = labels.select(
@@ -493,6 +555,7 @@ def _registered() -> dict[str, Query]:
         edge_betweenness, top_edges, betweenness_lines, connected_components, modularity, first_cut,
         girvan_newman_history, girvan_newman, girvan_newman_summary,
         kmeans_clusters, kmeans_step, bfr_peel, bfr_first_round, chunk_sizes, bfr_ds_summary, bfr_assign, bfr_own_distance, bfr_merge_pairs, bfr_rounds, bfr_labels,
+        bfr_cs_merge, bfr_cs_merged, bfr_ds_merge, chunk_file_order, bfr_rounds_fixed, bfr_labels_fixed, labels_by_id, clustering_file,
         clustering_report,
         itemset_report_file, betweenness_file, community_file, fpr_csv, reservoir_csv,
         bootstrap_batches, hash_family, bloom_fpr, fm_estimate, fm_csv, reservoir_sample, reservoir_snapshots,
