@@ -231,9 +231,8 @@ def moved(summary: DataFrame, targets: DataFrame) -> DataFrame:
 
 def split_singletons(labelled: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``(groups, singletons)``: points of clusters with several members, and with one."""
-    # Stored, so that the planner sees one short row a cluster and ships these, not the points.
-    sizes = stage(labelled.groupBy("cluster").agg(F.count("*").alias("members")), "sizes")
-    sized = labelled.join(sizes, "cluster")
+    sizes = labelled.groupBy("cluster").agg(F.count("*").alias("members"))
+    sized = labelled.join(F.broadcast(sizes), "cluster")  # one short row a cluster, as many as the model has
     return (
         sized.where(F.col("members") > 1).drop("members"),
         sized.where(F.col("members") == 1).drop("members"),
@@ -298,7 +297,7 @@ def bfr(
     compressed_members: list[DataFrame] = []
     owners = spark.createDataFrame([], "cluster int, owner int")
     next_id = 0
-    rounds = []
+    rounds: list[DataFrame] = []
 
     def recluster(n_clusters: int) -> None:
         """Cluster the retained set: groups join the compression set, singletons stay."""
@@ -317,12 +316,13 @@ def bfr(
         """Let owners follow their clusters."""
         nonlocal owners
         now = targets.select(F.col("cluster").alias("owner"), target.cast("int").alias("_now"))
-        owners = stage(owners.join(now, "owner", "left").select("cluster", F.coalesce("_now", "owner").alias("owner")), "owners")
+        owners = owners.join(now, "owner", "left").select("cluster", F.coalesce("_now", "owner").alias("owner"))
 
     def report() -> None:
-        inside = discard.agg(F.sum("n")).first()[0]
-        clusters, within = compressed.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-        rounds.append((len(rounds) + 1, inside, clusters, within, n_retained))
+        inside = discard.agg(F.sum("n").alias("ds_points"))
+        outside = compressed.agg(F.count("*").alias("cs_clusters"), F.coalesce(F.sum("n"), F.lit(0)).alias("cs_points"))
+        number, left = F.lit(len(rounds) + 1).alias("round"), F.lit(n_retained).cast("bigint").alias("rs_points")
+        rounds.append(inside.crossJoin(outside).select(number, "ds_points", "cs_clusters", "cs_points", left))  # one row with one
 
     recluster(k)
     report()
@@ -334,7 +334,7 @@ def bfr(
         left = assigned.where(F.col("cluster").isNull()).select("id", "features")
         retained, n_retained = stage_counted(retained.unionByName(left), "retained")
         recluster(RETAINED_FACTOR * k)
-        targets = stage(merge_targets(compressed, alpha), "targets")
+        targets = merge_targets(compressed, alpha)
         compressed = stage(moved(compressed, targets), "summary")
         redirect(targets, F.col("into"))
         if i == chunks - 1:
@@ -350,8 +350,7 @@ def bfr(
         inner = _union(compressed_members).join(owners, "cluster")
         labels = labels.unionByName(inner.select("id", final.cast("int").alias("cluster")))
     labels = labels.unionByName(retained.select("id", F.lit(-1).alias("cluster")))
-    report_schema = "round int, ds_points bigint, cs_clusters bigint, cs_points bigint, rs_points bigint"
-    return spark.createDataFrame(rounds, report_schema), labels
+    return _union(rounds), labels
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:

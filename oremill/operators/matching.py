@@ -27,19 +27,25 @@ def first_fit(pairs: DataFrame, heads: int = HEADS) -> DataFrame:
         return left
     taken = None
     while n_left:
-        upto = left.groupBy("a").agg(F.lit(1)).orderBy("a").limit(heads).agg(F.max("a")).first()[0]
+        first = left.select("a").distinct().orderBy("a").limit(heads + 1)
+        seen = first.agg(F.count("*"), F.max("a")).first()
+        last = seen[0] <= heads
+        upto = seen[1] if last else first.orderBy("a").limit(heads).agg(F.max("a")).first()[0]
         nearest = Window.partitionBy("a").orderBy("b")
         block = left.where(F.col("a") <= upto).withColumn("place", F.row_number().over(nearest)).where(F.col("place") <= 2 * heads + 1)
         lists = block.groupBy("a").agg(F.collect_list("b").alias("bs"))
         walked = lists.agg(F.array_sort(F.collect_list(F.struct("a", "bs"))).alias("heads")).select(F.expr(_walk(kind)).alias("pairs"))
         found = stage(walked.select(F.inline("pairs")), "matched")
+        taken = found if taken is None else taken.unionByName(found)
+        if last:
+            break
         gone = found.select(F.explode(F.array("a", "b")).alias("end"))
         rest = left.where(F.col("a") > upto)
         rest = rest.join(gone, rest["a"] == gone["end"], "left_anti").join(gone, rest["b"] == gone["end"], "left_anti")
         rest, n_left = stage_counted(rest, "pairs")
         unstage(left)
         left = rest
-        taken = found if taken is None else taken.unionByName(found)
+    unstage(left)
     return taken
 
 
