@@ -22,13 +22,18 @@ def replacements(stream: DataFrame, k: int, seed: int) -> DataFrame:
     with probability ``k / n`` and overwrites a uniform slot.  About
     ``k * (1 + ln(N / k))`` of N rows remain.
     """
-    n = F.col("n")
+    entered = stream.select("n", "user", entry_slot(F.col("n"), k, seed).alias("slot"))
+    return entered.where(F.col("slot").isNotNull())
+
+
+def entry_slot(n: Column, k: int, seed: int) -> Column:
+    """The slot that arrival ``n`` enters, null if it does not."""
     if not 0 < k < 2**15:
         raise ValueError("k must be 1..32767")
     # A quotient instead of a product with n: no stream is long enough to overflow it.
-    accepted = (n <= k) | (draw48(seed, n) < F.expr(f"{k * 2**48}L div n"))
-    slot = F.when(n <= k, n - 1).otherwise(draw32(seed, n, 2) % F.lit(k))
-    return stream.where(accepted).select("n", "user", slot.cast("int").alias("slot"))
+    accepted = draw48(seed, n) < F.call_function("div", F.lit(k * 2**48), n)
+    slot = F.when(n <= k, n - 1).when(accepted, draw32(seed, n, 2) % F.lit(k))
+    return slot.cast("int")
 
 
 def reservoir(stream: DataFrame, k: int, seed: int) -> DataFrame:
@@ -79,6 +84,11 @@ def reservoir_snapshots(
     return snapshots(replacements(stream, k, seed), batches, slots)
 
 
+def drawn_row(draw: Column, seed: int, rows: int) -> Column:
+    """The row, from 0, that a draw picks among ``rows``."""
+    return F.pmod(draw32(seed, draw, 0) * F.lit(65536) + F.floor(draw32(seed, draw, 1) / 65536), F.lit(rows))
+
+
 def bootstrap_batches(df: DataFrame, index: str | Column, batch_size: int, n_batches: int, seed: int) -> DataFrame:
     """``n_batches`` batches of ``batch_size`` rows drawn uniformly with replacement.
 
@@ -90,6 +100,6 @@ def bootstrap_batches(df: DataFrame, index: str | Column, batch_size: int, n_bat
     draws = df.sparkSession.range(batch_size * n_batches).select(
         F.col("id").alias("draw"),
         F.floor(F.col("id") / F.lit(batch_size)).cast("bigint").alias("batch"),
-        F.pmod(draw32(seed, F.col("id"), 0) * F.lit(65536) + F.floor(draw32(seed, F.col("id"), 1) / 65536), F.lit(total)).alias("_row"),
+        drawn_row(F.col("id"), seed, total).alias("_row"),
     )
     return draws.join(df.withColumn("_row", index.cast("bigint")), "_row").drop("_row")

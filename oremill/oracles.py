@@ -575,6 +575,14 @@ ORACLES = {
           FROM total, unnest(range(0, (rows + {BATCH - 1}) // {BATCH} * {BATCH})) AS t(id)
         )
         SELECT draw, batch, o_orderkey, o_custkey FROM draws JOIN orders ON o_orderkey = row_number""",
+    "stream_bootstrap": f"""
+        WITH total AS (SELECT count(*) AS rows FROM orders),
+        draws AS (
+          SELECT id AS draw, id // {BATCH} AS batch,
+                 ({_draw('id', 0)} * 65536 + {_draw('id', 1)} // 65536) % rows AS row_number
+          FROM total, unnest(range(0, (rows + {BATCH - 1}) // {BATCH} * {BATCH})) AS t(id)
+        )
+        SELECT draw, batch, o_orderkey, o_custkey FROM draws JOIN orders ON o_orderkey = row_number""",
     "hash_family": f"""
         WITH RECURSIVE {ORDERS}
         SELECT user_name AS "user", x,
@@ -628,6 +636,14 @@ ORACLES = {
         WITH RECURSIVE {EVENTS} {FM} SELECT batch, truth, estimate FROM truths JOIN estimates USING (batch)""",
     "stream_reservoir": f"WITH RECURSIVE {EVENTS} {ENTERED} {SAMPLE}",
     "stream_bloom": f"WITH RECURSIVE {EVENTS} {BLOOM}",
+    "stream_fm_batches": f"""
+        WITH RECURSIVE {EVENTS} {FM} SELECT batch, truth, estimate FROM truths JOIN estimates USING (batch)""",
+    "stream_snapshots": f"""
+        WITH RECURSIVE {EVENTS} {ENTERED},
+        ends AS (SELECT batch, max(n) AS seqnum FROM stream GROUP BY batch)
+        SELECT b.batch, b.seqnum,
+               {', '.join(f'max_by(e.user_name, e.n) FILTER (WHERE e.slot = {s}) AS "{s}_id"' for s in SNAPSHOT_SLOTS)}
+        FROM ends b JOIN entered e ON e.n <= b.seqnum GROUP BY b.batch, b.seqnum""",
     "basket_csv": """
         WITH baskets AS (SELECT DISTINCT l_orderkey::VARCHAR AS key, l_partkey::VARCHAR AS item FROM lineitem),
         counted AS (SELECT key, count(*) AS items, min(item) AS first_item FROM baskets GROUP BY key)

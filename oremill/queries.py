@@ -21,6 +21,7 @@ from oremill.operators.numbering import row_numbers
 from oremill.plans.staging import stage, staging_path
 from oremill.session import apply_settings
 from oremill.sources import readers, reports
+from oremill.streaming import closing as cs
 from oremill.streaming import summaries as st
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -478,13 +479,62 @@ def stream_reservoir(spark: SparkSession, sf: str) -> DataFrame:
     return st.stream_reservoir(_events_stream(spark, sf), RESERVOIR, SEED, staging_path(spark, "stream"))
 
 
+SLICES = 4  # the events arrive in as many files, one after the other
+
+
+def _arriving(spark: SparkSession, sf: str) -> tuple[str, Callable[[int], None], Callable[[], DataFrame]]:
+    """A folder for a stream's tables, a function that lets a slice of the events arrive, and the stream of what arrives."""
+    folder, store = staging_path(spark, "stream"), staging_path(spark, "slices")
+    feed = f"{folder}/feed"
+    cs.in_slices(_events_stream(spark, sf), store, SLICES)
+    spark.createDataFrame([], "n bigint, user string").write.parquet(feed)
+
+    def stream() -> DataFrame:
+        return st.read_stream(spark, feed, spark.read.parquet(feed).schema, files_per_trigger=1)
+
+    return folder, lambda number: cs.arrive(spark, store, number, feed), stream
+
+
+def _all_arrived(spark: SparkSession, sf: str) -> tuple[str, DataFrame]:
+    """The same with all slices there, and the row that closes the last batch."""
+    folder, arrive, stream = _arriving(spark, sf)
+    for number in range(SLICES):
+        arrive(number)
+    end = spark.range(1).select(F.lit(cs.CLOSING).alias("n"), F.lit(None).cast("string").alias("user"))
+    end.write.mode("append").parquet(f"{folder}/feed")
+    return folder, stream()
+
+
 def stream_bloom(spark: SparkSession, sf: str) -> DataFrame:
-    first = st.stream_first_arrivals(_events_stream(spark, sf), staging_path(spark, "stream"))
-    first = stage(first, "first")
-    events = sk.numbered(readers.read_table(spark, sf, "events"), "event_id", "user_id")
-    batches = events.select(sk.batch_of(F.col("n"), BATCH).alias("batch")).distinct()
-    rates = sk.false_positive_rates(sk.bloom_outcomes(first, compact_family()), batches, BATCH)
-    return rates.withColumn("fpr", F.round("fpr", 6))
+    """False-positive rates judged micro-batch by micro-batch, with a stop half way."""
+    folder, arrive, stream = _arriving(spark, sf)
+    family = compact_family()
+    for number in range(SLICES):
+        arrive(number)
+        if number in (SLICES // 2 - 1, SLICES - 1):
+            cs.stream_bloom(stream(), BATCH, family, folder)
+    return cs.bloom_rates(spark, BATCH, family, folder).withColumn("fpr", F.round("fpr", 6))
+
+
+def stream_fm_batches(spark: SparkSession, sf: str) -> DataFrame:
+    folder, stream = _all_arrived(spark, sf)
+    return cs.stream_fm_batches(stream, BATCH, compact_family(), folder, late=2 * BATCH)
+
+
+def stream_snapshots(spark: SparkSession, sf: str) -> DataFrame:
+    folder, stream = _all_arrived(spark, sf)
+    return cs.stream_snapshots(stream, RESERVOIR, BATCH, SEED, folder, late=2 * BATCH)
+
+
+def stream_bootstrap(spark: SparkSession, sf: str) -> DataFrame:
+    """The draws of ``bootstrap_batches`` as a stream that meets the table of orders."""
+    orders = readers.read_table(spark, sf, "orders").select("o_orderkey", "o_custkey")
+    rows = orders.count()
+    folder = staging_path(spark, "stream")
+    draws = spark.range(-(-rows // BATCH) * BATCH).select(F.col("id").alias("draw"))
+    draws.repartitionByRange(SLICES, "draw").write.parquet(f"{folder}/feed")
+    stream = st.read_stream(spark, f"{folder}/feed", draws.schema, files_per_trigger=1)
+    return cs.stream_bootstrap(stream, orders, "o_orderkey", rows, BATCH, SEED, folder)
 
 
 # Text sources
@@ -559,7 +609,7 @@ def _registered() -> dict[str, Query]:
         clustering_report,
         itemset_report_file, betweenness_file, community_file, fpr_csv, reservoir_csv,
         bootstrap_batches, hash_family, bloom_fpr, fm_estimate, fm_csv, reservoir_sample, reservoir_snapshots,
-        stream_fm, stream_reservoir, stream_bloom,
+        stream_fm, stream_reservoir, stream_bloom, stream_fm_batches, stream_snapshots, stream_bootstrap,
         basket_csv, retail_csv, points_csv,
     )
     return {f.__name__: _tuned(f) for f in functions}
