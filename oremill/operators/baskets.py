@@ -10,7 +10,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from oremill.plans.staging import stage
+from oremill.operators.numbering import ranks_within
+from oremill.plans.staging import stage, stage_counted
+
+ROW_ITEMS = 1_000  # items in one array of a listing
 
 
 def basket_rows(df: DataFrame, key: str | Column, item: str | Column) -> DataFrame:
@@ -36,18 +39,24 @@ def longer_than(rows: DataFrame, size: int) -> DataFrame:
     return rows.join(keep, "key", "left_semi")
 
 
-def basket_sets(rows: DataFrame, parts: int = 1) -> DataFrame:
+def basket_sets(rows: DataFrame, length: int = ROW_ITEMS) -> DataFrame:
     """``(key, part, items, size)``: each basket as sorted arrays, with its full size.
 
-    Every basket is spread by item hash over at most ``parts`` rows, whatever its
-    size; choose more than one where a basket would make too long an array.  The
-    long rows themselves are the form without arrays.
+    ``rows`` are distinct.  An array holds ``length`` items at most: part ``p`` of a basket
+    holds those ranked ``p * length + 1`` to ``(p + 1) * length``.  Baskets that fit in one
+    array are collected by key; longer ones, which may own any share of the rows, are
+    ranked over as many tasks as their rows take.
     """
-    placed = rows.select("key", "item", F.pmod(F.xxhash64("item"), F.lit(parts)).cast("int").alias("part"))
-    sets = placed.groupBy("key", "part").agg(F.sort_array(F.collect_list("item")).alias("items"), F.count("*").alias("size"))
-    if parts == 1:
+    rows = stage(rows.select("key", "item"), "baskets")
+    long, n_long = stage_counted(basket_sizes(rows).where(F.col("size") > length).select("key"), "long")
+    items = F.sort_array(F.collect_list("item")).alias("items")
+    whole = rows if not n_long else rows.join(long, "key", "left_anti")
+    sets = whole.groupBy("key").agg(items, F.count("*").alias("size")).select("key", F.lit(0).alias("part"), "items", "size")
+    if not n_long:
         return sets
-    return sets.drop("size").join(stage(basket_sizes(rows), "sizes"), "key")
+    ranked = ranks_within(rows.join(long, "key", "left_semi"), ["key"], "item")
+    part = F.expr(f"cast((rank - 1) div {length} as int)").alias("part")
+    return sets.unionByName(ranked.groupBy("key", part, "size").agg(items).select("key", "part", "items", "size"))
 
 
 def item_support(rows: DataFrame, support: int = 1) -> DataFrame:

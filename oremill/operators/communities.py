@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from oremill.operators.baskets import basket_sets
+from oremill.operators.baskets import ROW_ITEMS, basket_sets
 from oremill.plans.staging import stage, stage_observed, unstage
 
 POPULAR = 1_000  # basket count above which an item counts as popular
@@ -287,10 +287,10 @@ def modularity(edges: DataFrame, labels: DataFrame) -> DataFrame:
     )
 
 
-def community_listing(labels: DataFrame, parts: int = 1) -> DataFrame:
+def community_listing(labels: DataFrame, length: int = ROW_ITEMS) -> DataFrame:
     """``(label, part, members, size)``: sorted members, with the community's full size.
 
-    As in ``basket_sets``, every community spans at most ``parts`` rows.
+    As in ``basket_sets``, a row holds at most ``length`` members, in ranges of their order.
     """
     rows = labels.select(F.col("label").alias("key"), F.col("id").alias("item"))
-    return basket_sets(rows, parts).select(F.col("key").alias("label"), "part", F.col("items").alias("members"), "size")
+    return basket_sets(rows, length).select(F.col("key").alias("label"), "part", F.col("items").alias("members"), "size")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from oremill.functions.hashing import COMPACT_BITS, COMPACT_PRIME, SLOPES
+from oremill.operators.baskets import ROW_ITEMS
 from oremill.operators.sampling import SNAPSHOT_SLOTS
 from oremill.queries import (
     ALPHA, BATCH, CHANCE_Z, CHUNKS, CLUSTERS, FIRST_PASS, LPA_ROUNDS, MERGE_ALPHA, RESERVOIR, SEED, SON_PARTS,
@@ -97,6 +98,15 @@ highest AS (
 )
 
 
+def _ranked(rows: str, group: str, item: str) -> str:
+    """The rows with the size of their group, and the part that their rank falls in."""
+    return f"""(
+          SELECT *, ((row_number() OVER (PARTITION BY {group} ORDER BY {item}) - 1) // {ROW_ITEMS})::INT AS part,
+                 count(*) OVER (PARTITION BY {group}) AS size
+          FROM {rows}
+        )"""
+
+
 def _reach(edges: str, ids: str) -> str:
     return f"""
 reach(id, other) AS (
@@ -376,12 +386,12 @@ final AS (
 ORACLES = {
     "baskets_order_brand": f"""
         WITH {BASKETS}
-        SELECT key, 0 AS part, string_agg(item, ',' ORDER BY item) AS items, count(*) AS size
-        FROM baskets GROUP BY key""",
+        SELECT key, part, string_agg(item, ',' ORDER BY item) AS items, any_value(size) AS size
+        FROM {_ranked('baskets', 'key', 'item')} GROUP BY key, part""",
     "baskets_min_size": f"""
         WITH {BASKETS}
-        SELECT key, 0 AS part, string_agg(item, ',' ORDER BY item) AS items, count(*) AS size
-        FROM baskets GROUP BY key HAVING count(*) > 3""",
+        SELECT key, part, string_agg(item, ',' ORDER BY item) AS items, any_value(size) AS size
+        FROM {_ranked('baskets', 'key', 'item')} WHERE size > 3 GROUP BY key, part""",
     "item_support": f"""
         WITH {BASKETS}
         SELECT item, count(*) AS support FROM baskets GROUP BY item
@@ -421,13 +431,13 @@ ORACLES = {
     "lpa_labels": f"WITH {GRAPH} {LABELS} SELECT id, label FROM labels",
     "lpa_communities": f"""
         WITH {GRAPH} {LABELS}
-        SELECT label, 0 AS part, string_agg(id::VARCHAR, ',' ORDER BY id) AS members, count(*) AS size
-        FROM labels GROUP BY label""",
+        SELECT label, part, string_agg(id::VARCHAR, ',' ORDER BY id) AS members, any_value(size) AS size
+        FROM {_ranked('labels', 'label', 'id')} GROUP BY label, part""",
     "community_lines": f"""
         WITH {GRAPH} {LABELS}
-        SELECT count(*) AS size, label, 0 AS part,
+        SELECT any_value(size) AS size, label, part,
                string_agg('''' || id || '''', ', ' ORDER BY id) AS line
-        FROM labels GROUP BY label""",
+        FROM {_ranked('labels', 'label', 'id')} GROUP BY label, part""",
     "shortest_path_dag": f"WITH RECURSIVE {GRAPH} {PATHS} SELECT root, node, dist, sigma FROM paths",
     "edge_betweenness": f"""
         WITH RECURSIVE {GRAPH} {BETWEENNESS}
@@ -611,9 +621,11 @@ ORACLES = {
     "community_file": f"""
         WITH {GRAPH} {LABELS},
         printed AS (
-          SELECT count(*) AS size, string_agg('''' || id || '''', ', ' ORDER BY id) AS line FROM labels GROUP BY label
+          SELECT any_value(size) AS size, label, part, string_agg('''' || id || '''', ', ' ORDER BY id) AS line
+          FROM {_ranked('labels', 'label', 'id')} GROUP BY label, part
         )
-        SELECT row_number() OVER (ORDER BY size, line) AS n, line FROM printed""",
+        SELECT row_number() OVER (ORDER BY p.size, h.line, p.label, p.part) AS n, p.line
+        FROM printed p JOIN printed h ON h.label = p.label AND h.part = 0""",
     "fpr_csv": f"WITH RECURSIVE {ORDERS} {BLOOM.replace('SELECT b.batch, coalesce(fp, 0) AS fp, coalesce(tn, 0) AS tn,', 'SELECT b.batch AS time,')}",
     "reservoir_csv": f"""
         WITH RECURSIVE {ORDERS} {ENTERED},

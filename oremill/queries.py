@@ -439,7 +439,9 @@ def betweenness_file(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def community_file(spark: SparkSession, sf: str) -> DataFrame:
-    return _written(spark, community_lines(spark, sf), "size", "line")
+    path = staging_path(spark, "report")
+    reports.write_community_report(stage(community_lines(spark, sf), "lines"), path)
+    return readers.numbered_lines(spark, path)
 
 
 def fpr_csv(spark: SparkSession, sf: str) -> DataFrame:

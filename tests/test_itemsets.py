@@ -53,16 +53,15 @@ def test_basket_rows_are_distinct_and_null_free(spark):
     assert sorted(map(tuple, basket_rows(df, "i", "k").collect())) == [("x", "a"), ("y", "b")]
 
 
-def test_basket_sets_in_parts_keep_everything(spark):
-    rows = as_rows(spark, {"long": [f"{i:03d}" for i in range(100)], "short": ["b", "a"]})
-    assert {(r.key, r.part, r["size"]) for r in basket_sets(rows).collect()} == {("long", 0, 100), ("short", 0, 2)}
-    sets = basket_sets(rows, parts=4).collect()
-    assert {(r.key, r["size"]) for r in sets} == {("long", 100), ("short", 2)}
-    assert sorted(i for r in sets if r.key == "short" for i in r["items"]) == ["a", "b"]
-    long = [r for r in sets if r.key == "long"]
-    assert len(long) > 1
-    assert sorted(i for r in long for i in r["items"]) == [f"{i:03d}" for i in range(100)]
-    assert all(r["items"] == sorted(r["items"]) for r in long)
+def test_basket_sets_hold_bounded_ranges(spark):
+    named = {"long": [f"{i:03d}" for i in range(100)], "full": list("abcd"), "short": ["b", "a"]}
+    rows = as_rows(spark, named)
+    whole = basket_sets(rows).collect()
+    assert {(r.key, r.part, tuple(r["items"]), r["size"]) for r in whole} == {(k, 0, tuple(sorted(v)), len(v)) for k, v in named.items()}
+    cut = {(r.key, r.part): r for r in basket_sets(rows, length=4).collect()}
+    assert set(cut) == {("full", 0), ("short", 0)} | {("long", p) for p in range(25)}
+    for (key, part), r in cut.items():
+        assert r["items"] == sorted(named[key])[4 * part : 4 * part + 4] and r["size"] == len(named[key])
 
 
 def test_strict_size_filter_and_support(spark):
