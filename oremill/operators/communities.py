@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from oremill.operators.baskets import ROW_ITEMS, basket_sets
+from oremill.operators.baskets import ROW_ITEMS, basket_sets, longer_than
 from oremill.plans.staging import stage, stage_observed, unstage
 
 POPULAR = 1_000  # basket count above which an item counts as popular
@@ -81,49 +81,46 @@ def fan_out(state: DataFrame, adjacent: DataFrame, at: str = "id", salts: str =
 def cooccurrence_graph(rows: DataFrame, threshold: int, popular: int = POPULAR) -> DataFrame:
     """Symmetric edges between keys whose baskets share at least ``threshold`` items.
 
-    Items in at most ``popular`` baskets are counted by a self-join on the item,
-    whose output is bounded by ``rows * popular``.  Popular items never meet in a
-    full self-join; their share of an overlap is computed only where it can decide:
+    Baskets of fewer than ``threshold`` items take no part (length filter).  Items in at
+    most ``popular`` baskets are counted by a self-join on the item, whose output is
+    bounded by ``rows * popular`` and summed up as it comes.  Popular items never meet in
+    a full self-join; their share of an overlap is computed only where it can decide:
 
-    * a pair that already shares some ordinary items is an edge if those suffice,
-      and is checked further only if its popular items could make up the rest;
-    * a pair sharing no ordinary item needs ``threshold`` popular ones.  Such
+    * of the pairs that share ordinary items, only those are kept that are edges already,
+      or whose popular items could make up the rest;
+    * a pair that none of this keeps needs ``threshold`` popular items.  Such
       pairs must agree on one of the ``popular_items - threshold + 1`` rarest
       popular items of either side, so each basket's most popular
-      ``threshold - 1`` items are left out of the search for pairs.
+      ``threshold - 1`` items are left out of the search for pairs (prefix filter).
     """
     if threshold < 1:
         raise ValueError("threshold must be at least 1: any two baskets share zero items")
     rows = stage(rows, "baskets")
+    if threshold > 1:
+        rows = stage(longer_than(rows, threshold - 1), "baskets")
     counts = rows.groupBy("item").agg(F.count("*").alias("baskets")).where(F.col("baskets") > 1)
     counts, popularity = stage_observed(counts, "items", popular=F.count_if(F.col("baskets") > popular))
     if not popularity["popular"]:
         return mirrored(_pair_counts(rows).where(F.col("shared") >= threshold))
 
     ordinary = rows.join(counts.where(F.col("baskets") <= popular), "item").select("key", "item")
-    shared = stage(_pair_counts(ordinary), "shared")
     popular_rows = stage(
         rows.join(counts.where(F.col("baskets") > popular), "item").select("key", "item", "baskets"), "popular"
     )
-    sizes = popular_rows.groupBy("key").agg(F.count("*").alias("held"))
+    sizes = stage(popular_rows.groupBy("key").agg(F.count("*").alias("held")), "held")
     held_src = sizes.select(F.col("key").alias("src"), F.col("held").alias("src_held"))
     held_dst = sizes.select(F.col("key").alias("dst"), F.col("held").alias("dst_held"))
-    undecided = (
-        shared.where(F.col("shared") < threshold)
-        .join(held_src, "src")
-        .join(held_dst, "dst")
-        .where(F.col("shared") + F.least("src_held", "dst_held") >= threshold)
-        .select("src", "dst", "shared")
-    )
+    reach = F.col("shared") + F.least(F.coalesce("src_held", F.lit(0)), F.coalesce("dst_held", F.lit(0)))
+    shared = _pair_counts(ordinary).join(held_src, "src", "left").join(held_dst, "dst", "left").where(reach >= threshold)
+    # A pair that was dropped here holds too few popular items on one side to be found below.
     rich = popular_rows.join(sizes.where(F.col("held") >= threshold), "key")
-    prefixes = _rarest(rich, threshold)
-    only_popular = _pairs(prefixes).distinct().join(shared, ["src", "dst"], "left_anti")
-    candidates = stage(
-        undecided.unionByName(only_popular.select("src", "dst", F.lit(0).cast("bigint").alias("shared"))), "pairs"
-    )
-    # Expand each candidate from its smaller side.
+    by_popular = _pairs(_rarest(rich, threshold)).distinct().select("src", "dst", F.lit(0).cast("bigint").alias("shared"))
+    met = shared.select("src", "dst", "shared").unionByName(by_popular).groupBy("src", "dst").agg(F.max("shared").alias("shared"))
+    pairs = stage(met, "pairs")
+    # Expand each open pair from its smaller side.
     sided = (
-        candidates.join(held_src, "src")
+        pairs.where(F.col("shared") < threshold)
+        .join(held_src, "src")
         .join(held_dst, "dst")
         .select(
             "src",
@@ -142,7 +139,7 @@ def cooccurrence_graph(rows: DataFrame, threshold: int, popular: int = POPULAR)
         .agg(F.count("*").alias("more"))
         .where(F.col("shared") + F.col("more") >= threshold)
     )
-    enough = shared.where(F.col("shared") >= threshold)
+    enough = pairs.where(F.col("shared") >= threshold)
     return mirrored(enough.select("src", "dst").unionByName(confirmed.select("src", "dst")))
 
 

@@ -383,6 +383,14 @@ final AS (
 )"""
 
 
+RETAIL = """
+sold AS (
+  SELECT l_orderkey AS o, l_linenumber AS n, strftime(o_orderdate, '%m/%d/%Y') AS date,
+         CASE WHEN l_orderkey % 89 = 0 THEN '' ELSE o_custkey::VARCHAR END AS customer,
+         CASE WHEN l_orderkey % 97 = 0 THEN 'P' ELSE '' END || lpad(l_partkey::VARCHAR, 12, '0') AS product
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+)"""
+
 ORACLES = {
     "baskets_order_brand": f"""
         WITH {BASKETS}
@@ -663,6 +671,16 @@ ORACLES = {
     "retail_csv": """
         SELECT DISTINCT strftime(o_orderdate, '%m/%d/%Y') || '-' || o_custkey AS key, l_partkey::VARCHAR AS item
         FROM lineitem JOIN orders ON l_orderkey = o_orderkey""",
+    "retail_broken_csv": f"""
+        WITH {RETAIL}
+        SELECT DISTINCT date || '-' || customer AS key, product::BIGINT::VARCHAR AS item
+        FROM sold WHERE o % 83 <> 0 AND o % 89 <> 0 AND o % 97 <> 0""",
+    "retail_rejects": f"""
+        WITH {RETAIL}
+        SELECT CASE WHEN o % 83 = 0 THEN 'columns' WHEN o % 89 = 0 THEN 'key' ELSE 'product' END AS reason,
+               date, nullif(customer, '') AS customer, CASE WHEN o % 83 <> 0 THEN product END AS product,
+               CASE WHEN o % 83 = 0 THEN concat_ws(',', '"' || date || '"', '"' || customer || '"', '"-"', '"' || n || '"', '""') END AS line
+        FROM sold WHERE o % 83 = 0 OR o % 89 = 0 OR o % 97 = 0""",
     "points_csv": """
         SELECT vec_id AS id, len(embedding) AS dims,
                round(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)), 6) AS norm2

@@ -560,25 +560,49 @@ def basket_csv(spark: SparkSession, sf: str) -> DataFrame:
     return counted[0].unionByName(counted[1])
 
 
-def retail_csv(spark: SparkSession, sf: str) -> DataFrame:
-    """Quoted retail lines with zero-padded products, read into distinct basket rows."""
+def _retail_text(spark: SparkSession, sf: str, broken: bool) -> str:
+    """Order lines as a quoted retail file; with ``broken``, some lines without number, customer or last column."""
     orders = readers.read_table(spark, sf, "orders").select(
-        "o_orderkey", F.date_format("o_orderdate", "MM/dd/yyyy").alias("date"), F.col("o_custkey").alias("customer")
+        "o_orderkey", F.date_format("o_orderdate", "MM/dd/yyyy").alias("date"), F.col("o_custkey").cast("string").alias("customer")
     )
     lineitem = readers.read_table(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber")
-    lines = lineitem.join(orders, lineitem.l_orderkey == orders.o_orderkey).select(
-        "date",
-        "customer",
-        F.lit("-").alias("c2"),
-        F.col("l_linenumber").alias("c3"),
-        F.lit("").alias("c4"),
-        F.lpad(F.col("l_partkey").cast("string"), 12, "0").alias("product"),
-    )
+    joined = lineitem.join(orders, lineitem.l_orderkey == orders.o_orderkey)
+    product = F.lpad(F.col("l_partkey").cast("string"), 12, "0")
+    customer, key = F.col("customer"), F.col("l_orderkey")
+    if broken:
+        product = F.when(key % 97 == 0, F.concat(F.lit("P"), product)).otherwise(product)
+        customer = F.when(key % 89 == 0, F.lit("")).otherwise(customer)
+    fields = ["date", customer, F.lit("-"), F.col("l_linenumber").cast("string"), F.lit("")]
+    line = F.concat_ws(",", *[F.concat(F.lit('"'), f, F.lit('"')) for f in fields])
+    whole = F.concat(line, F.lit(',"'), product, F.lit('"'))
+    text = joined.select((F.when(key % 83 == 0, line).otherwise(whole) if broken else whole).alias("value"))
     path = staging_path(spark, "csv")
-    lines.write.csv(path, header=True, quoteAll=True)
+    header = spark.range(1).select(F.lit("date,customer,c2,c3,c4,product").alias("value"))
+    # Every file of a folder has its header: the first line of each partition.
+    numbered = text.repartition(4).select(F.spark_partition_id().alias("file"), F.lit(1).alias("place"), "value")
+    titles = header.select(F.explode(F.sequence(F.lit(0), F.lit(3))).alias("file"), F.lit(0).alias("place"), "value")
+    lines = numbered.unionByName(titles).repartition(4, "file").sortWithinPartitions("file", "place")
+    lines.select("file", "value").write.partitionBy("file").text(path)
+    return path
+
+
+def retail_csv(spark: SparkSession, sf: str) -> DataFrame:
+    """Quoted retail lines with zero-padded products, read into distinct basket rows."""
+    path = _retail_text(spark, sf, broken=False)
+    return bk.basket_rows(readers.read_retail_csv(spark, path), "key", "item")
+
+
+def retail_broken_csv(spark: SparkSession, sf: str) -> DataFrame:
+    """The same from a file with broken lines: basket rows of the others."""
+    path = _retail_text(spark, sf, broken=True)
     return bk.basket_rows(readers.read_retail_csv(spark, path), "key", "item")
 
 
+def retail_rejects(spark: SparkSession, sf: str) -> DataFrame:
+    """The broken lines with their reasons."""
+    return readers.retail_rejects(spark, _retail_text(spark, sf, broken=True))
+
+
 def points_csv(spark: SparkSession, sf: str) -> DataFrame:
     """Points written as comma-separated text and parsed; the second field is skipped."""
     lines = readers.read_table(spark, sf, "embeddings").select(
@@ -612,7 +636,7 @@ def _registered() -> dict[str, Query]:
         itemset_report_file, betweenness_file, community_file, fpr_csv, reservoir_csv,
         bootstrap_batches, hash_family, bloom_fpr, fm_estimate, fm_csv, reservoir_sample, reservoir_snapshots,
         stream_fm, stream_reservoir, stream_bloom, stream_fm_batches, stream_snapshots, stream_bootstrap,
-        basket_csv, retail_csv, points_csv,
+        basket_csv, retail_csv, retail_broken_csv, retail_rejects, points_csv,
     )
     return {f.__name__: _tuned(f) for f in functions}
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -27,6 +27,28 @@ def unlettered(lines: DataFrame) -> DataFrame:
     return lines.where((F.length("value") > 0) & ~F.col("value").rlike(r"^\p{L}"))
 
 
+RETAIL = "date string, customer string, c2 string, c3 string, c4 string, product string"
+BROKEN = "broken_line"
+
+
+def _retail_lines(spark: SparkSession, path: str) -> DataFrame:
+    """The columns of a quoted retail file with a header, and lines that do not split into them under ``BROKEN``."""
+    reader = spark.read.schema(f"{RETAIL}, {BROKEN} string").option("columnNameOfCorruptRecord", BROKEN)
+    # Without pruning every line is split whole, which is what shows a wrong number of columns.
+    return reader.option("columnPruning", False).csv(path, header=True, quote='"', mode="PERMISSIVE", enforceSchema=True)
+
+
+def _reject_reason() -> Column:
+    """Why a retail line cannot be used; null if it can."""
+    blank = (F.coalesce(F.trim("date"), F.lit("")) == "") | (F.coalesce(F.trim("customer"), F.lit("")) == "")
+    number = F.expr("try_cast(product as bigint)")
+    return (
+        F.when(F.col(BROKEN).isNotNull(), F.lit("columns"))
+        .when(blank, F.lit("key"))
+        .when(number.isNull(), F.lit("product"))
+    )
+
+
 def retail_rows(raw: DataFrame) -> DataFrame:
     """``(key, item)`` from columns ``date, customer, product`` of a retail file.
 
@@ -35,15 +57,27 @@ def retail_rows(raw: DataFrame) -> DataFrame:
     """
     return raw.select(
         F.concat_ws("-", "date", "customer").alias("key"),
-        F.col("product").cast("bigint").cast("string").alias("item"),
+        F.expr("try_cast(product as bigint)").cast("string").alias("item"),
     )
 
 
 def read_retail_csv(spark: SparkSession, path: str) -> DataFrame:
-    """A quoted retail file with a header: date, customer, and the product in the sixth column."""
-    schema = "date string, customer string, c2 string, c3 string, c4 string, product string"
-    raw = spark.read.schema(schema).csv(path, header=True, quote='"', mode="PERMISSIVE", enforceSchema=True)
-    return retail_rows(raw)
+    """A quoted retail file with a header: date, customer, and the product in the sixth column.
+
+    Lines that cannot be used are left out; :func:`retail_rejects` lists them.
+    """
+    return retail_rows(_retail_lines(spark, path).where(_reject_reason().isNull()))
+
+
+def retail_rejects(spark: SparkSession, path: str) -> DataFrame:
+    """``(reason, date, customer, product, line)`` of the lines that ``read_retail_csv`` leaves out.
+
+    ``columns``: the line, given whole, does not split into six columns; ``key``: no date
+    or no customer; ``product``: the product is no number.
+    """
+    reason = _reject_reason()
+    raw = _retail_lines(spark, path).withColumn("reason", reason).where(F.col("reason").isNotNull())
+    return raw.select("reason", "date", "customer", "product", F.col(BROKEN).alias("line"))
 
 
 def parse_points(lines: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ from oremill.operators.itemsets import (
     son_candidates,
     son_itemsets,
 )
+from oremill.sources import readers
 
 def brute(baskets, support, most=99):
     """All frequent itemsets by enumerating every subset of every basket."""
@@ -138,3 +139,23 @@ def test_local_thresholds_round_up(spark):
 def test_scaled_support_does_not_overflow(spark):
     got = spark.range(1).select(F.lit(6 * 10**10).alias("n")).select(scaled_support("n", 10**9, 25 * 10**10).alias("s")).first().s
     assert got == 240_000_000
+
+
+def test_broken_retail_lines_are_listed_with_reasons(spark, tmp_path):
+    lines = [
+        "date,customer,c2,c3,c4,product",
+        '"01/02/2000","7","-","1","","0000012"',
+        '"01/02/2000","7","-","1","","twelve"',
+        '"01/02/2000","7","-","1",""',
+        '"01/02/2000","7","-","1","","5","6"',
+        '"","7","-","1","","5"',
+        '"01/02/2000"," ","-","1","","5"',
+        '"01/02/2000","8","-","1","","99999999999999999999999"',
+    ]
+    spark.createDataFrame([(line,) for line in lines], "value string").coalesce(1).write.text(f"{tmp_path}/retail")
+    kept = readers.read_retail_csv(spark, f"{tmp_path}/retail").collect()
+    assert [(r.key, r["item"]) for r in kept] == [("01/02/2000-7", "12")]
+    rejects = [(r.reason, r["line"]) for r in readers.retail_rejects(spark, f"{tmp_path}/retail").collect()]
+    reasons = ["product", "columns", "columns", "key", "key", "product"]
+    assert sorted(r for r, _ in rejects) == sorted(reasons)
+    assert {text for reason, text in rejects if reason == "columns"} == {lines[3], lines[4]}
