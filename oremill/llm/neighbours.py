@@ -11,8 +11,9 @@ queue deals out leaves until enough of them are found: as many as bring the samp
 own queries to ``RECALL`` against brute force over the sample.  (Vectors without any
 structure need a fixed share of all leaves, clustered ones a few.)  Queries are then sent to
 their leaves, where all members are compared by matrix products in double precision;
-the best are ranked again by the exact measure, and a query's best over all leaves are
-merged.  A leaf's members and its queries are both dealt to parts of about ``PART`` rows,
+the best are ranked again by the exact measure.  A task merges a query's best over all
+leaves and trees that it holds, so as many rows a query leave it whatever the number of
+leaves, and what the tasks give is merged once more.  A leaf's members and its queries are both dealt to parts of about ``PART`` rows,
 and each pair of parts is one group, so a crowded region is compared in many tasks and
 no matrix grows with the table.
 
@@ -35,6 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from oremill.llm.line_dedup import _groups
 from oremill.plans.staging import stage
 
 TREES = 8
@@ -44,6 +46,7 @@ SAMPLE = 1 << 16
 LEAF = 256  # rows aimed at in a leaf
 SAMPLE_LEAF = 8  # sample rows that a threshold needs on each side
 PART = 2048
+HELD = 1 << 20  # rows of queries' best that a task holds
 SEED = 7
 
 
@@ -197,8 +200,8 @@ def _compare(k: int):
     """Best ``k`` members for every query, of one part of a cell's queries and one of its members."""
 
     def best(group: pa.Table) -> pa.Table:
-        asked = np.array(group["asks"])
-        ids, vectors = np.array(group["id"]), _matrix(group["v"])
+        asked = group["asks"].to_numpy()
+        ids, vectors = group["id"].to_numpy(), _matrix(group["v"])
         q, m = vectors[asked], vectors[~asked]
         out: list[tuple] = []
         if len(q) and len(m):
@@ -219,6 +222,44 @@ def _compare(k: int):
     return best
 
 
+def _merged(found: list[list[np.ndarray]], k: int) -> list[np.ndarray]:
+    """The best ``k`` of every query among rows that may come from several leaves."""
+    q, m, score = (np.concatenate(c) for c in zip(*found))
+    order = np.lexsort((m, -score, q))
+    q, m, score = q[order], m[order], score[order]
+    new = np.ones(len(q), bool)
+    new[1:] = (q[1:] != q[:-1]) | (m[1:] != m[:-1])  # equal pairs have equal scores
+    q, m, score = q[new], m[new], score[new]
+    kept = np.arange(len(q)) - np.searchsorted(q, q) < k
+    return [q[kept], m[kept], score[kept]]
+
+
+def _best(k: int):
+    """The best ``k`` rows of every query over the groups of a task, or of as many groups as fill ``HELD`` rows."""
+    compare = _compare(k)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+        size = 0
+        for group in _groups(batches, ("cell", "part", "ask_part")):
+            near = compare(group)
+            held.append([near[c].to_numpy() for c in ("query_id", "vec_id", "score")])
+            size += near.num_rows
+            if size >= 2 * HELD:
+                held = [_merged(held, k)]
+                size = len(held[0][0])
+                if size >= HELD:
+                    yield told(held[0])
+                    held, size = [], 0
+        if held:
+            yield told(_merged(held, k))
+
+    def told(columns: list[np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["query_id", "vec_id", "score"])
+
+    return run
+
+
 def nearest(
     vectors: DataFrame,
     asks: Column,
@@ -251,7 +292,8 @@ def nearest(
     queries = queries.join(counts, "cell").withColumn("ask_part", own("ask_parts")).withColumn("part", each("parts"))
     columns = ("cell", "part", "ask_part", "id", "v")
     met = queries.select(*columns, F.lit(True).alias("asks")).unionByName(placed.select(*columns, F.lit(False).alias("asks")))
-    found = met.groupBy("cell", "part", "ask_part").applyInArrow(_compare(k), "query_id bigint, vec_id bigint, score double")
+    dealt = met.repartition("cell", "part", "ask_part").sortWithinPartitions("cell", "part", "ask_part")
+    found = dealt.mapInArrow(_best(k), "query_id bigint, vec_id bigint, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")).withColumn("rank", F.row_number().over(order))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
