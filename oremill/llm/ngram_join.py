@@ -229,16 +229,15 @@ def _classified(
     ``class`` is one set hash for all rows that links connect; null without words.
     """
     bands, rows = banding(similarity, recall)
-    texts = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
-    members = docs.select(F.col(key).alias("id"), sketched(F.col(text), n, bands, rows).alias("s"), *[c.alias(name) for name, c in kept.items()])
-    members = stage(members.select("id", *kept, "s.key", "s.grams", "s.bands"), "sketches")
+    # Rows are found again by id and text, so that null or repeated ids meet nothing but their own text.
+    mark = F.xxhash64(whole(F.col(text))).alias("mark")
+    texts = docs.select(F.col(key).alias("id"), mark, F.col(text).alias("text"))
+    members = docs.select(F.col(key).alias("id"), mark, sketched(F.col(text), n, bands, rows).alias("s"), *[c.alias(name) for name, c in kept.items()])
+    members = stage(members.select("id", "mark", *kept, "s.key", "s.grams", "s.bands"), "sketches")
     some = members.where(F.col("key").isNotNull())
-    classes = stage(
-        some.groupBy("key").agg(
-            F.min("id").alias("first"), F.count(F.lit(1)).alias("members"), F.max("grams").alias("grams"), F.any_value("bands").alias("bands")
-        ),
-        "classes",
-    )
+    least = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "mark")).alias("f")
+    classes = some.groupBy("key").agg(least, F.count(F.lit(1)).alias("members"), F.max("grams").alias("grams"), F.any_value("bands").alias("bands"))
+    classes = stage(classes.select("key", F.col("f.id").alias("first"), F.col("f.mark").alias("first_mark"), "members", "grams", "bands"), "classes")
     keyed = classes.select("key", "grams", F.posexplode("bands").alias("band", "value")).select(
         "key", "grams", "band", F.xxhash64("band", "value").alias("bucket")
     )
@@ -261,8 +260,8 @@ def _classified(
         )
     )
     met = stage(keyed.select("key", "bucket").join(stage(buckets, "buckets"), "bucket"), "met")
-    wanted = classes.join(met.select("key").distinct(), "key", "left_semi").select("key", "first", "members")
-    again = texts.join(wanted, F.col("id").eqNullSafe(F.col("first"))).select(
+    wanted = classes.join(met.select("key").distinct(), "key", "left_semi").select("key", "first", "first_mark", "members")
+    again = texts.join(wanted, F.col("id").eqNullSafe(F.col("first")) & (F.col("mark") == F.col("first_mark"))).select(
         F.col("key").alias("wanted"), "members", sketched(F.col("text"), n, bands, rows, with_set=True).alias("s")
     )
     sets = again.where(F.col("wanted") == F.col("s.key")).select("s.key", "members", "s.bands", "s.set").dropDuplicates(["key"])

@@ -270,3 +270,11 @@ def test_pipeline(spark, odd):
     assert len(rows) < before and all(cls == key for key, cls, _ in _classes(rows))
     last = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert last.count() > 0 and last.where("not round_trip or n_tokens = 0").count() == 0
+
+
+def test_join_with_a_third_of_the_ids_null_stays_linear(spark):
+    rng = random.Random(12)
+    texts = _near_copies(rng, 400, 2, words=100)
+    rows = [(None if i % 3 == 0 else i // 5, t) for i, t in enumerate(texts)]  # null ids, and ids that several rows share
+    found = ngram_join.joined(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4))
+    assert Counter(tuple(r) for r in found.collect()) == Counter(_classes(rows))
