@@ -166,14 +166,17 @@ def _rarest(rows: DataFrame, threshold: int) -> DataFrame:
     return rows.select("key", "item").join(dropped.select("key", "item"), ["key", "item"], "left_anti")
 
 
-def label_propagation(edges: DataFrame, rounds: int = 5, cut_every: int = 5, hub: int = HUB) -> DataFrame:
+def label_propagation(
+    edges: DataFrame, rounds: int = 5, cut_every: int = 5, hub: int = HUB, both_ways: bool = False
+) -> DataFrame:
     """``(id, label)`` after ``rounds`` synchronous rounds.
 
     Every vertex takes the most frequent label of its neighbours, the smallest
     among equals.  Being synchronous, the two ends of an isolated edge swap
-    labels each round.
+    labels each round.  ``both_ways`` says that ``edges`` already holds each edge once in
+    either direction.
     """
-    adjacent = stage(adjacency(symmetric(edges), hub), "adjacency")
+    adjacent = stage(adjacency(edges if both_ways else symmetric(edges), hub), "adjacency")
     labels = start_vertices(adjacent).withColumn("label", F.col("id"))
     for done in range(1, rounds + 1):
         votes = (

@@ -164,7 +164,7 @@ def vertex_degrees(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def lpa_labels(spark: SparkSession, sf: str) -> DataFrame:
-    return cm.label_propagation(_graph(spark, sf), LPA_ROUNDS)
+    return cm.label_propagation(_graph(spark, sf), LPA_ROUNDS, both_ways=True)
 
 
 def _listing_text(listing: DataFrame) -> DataFrame:
@@ -180,21 +180,21 @@ def community_lines(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def shortest_path_dag(spark: SparkSession, sf: str) -> DataFrame:
-    return ph.shortest_paths(_graph(spark, sf))
+    return ph.shortest_paths(_graph(spark, sf), both_ways=True)
 
 
 def edge_betweenness(spark: SparkSession, sf: str) -> DataFrame:
-    values = ph.edge_betweenness(_graph(spark, sf))
+    values = ph.edge_betweenness(_graph(spark, sf), both_ways=True)
     return values.withColumn("betweenness", F.round("betweenness", 6))
 
 
 def top_edges(spark: SparkSession, sf: str) -> DataFrame:
-    values = stage(ph.edge_betweenness(_graph(spark, sf)), "scores")
+    values = stage(ph.edge_betweenness(_graph(spark, sf), both_ways=True), "scores")
     return ph.top_edges(values).withColumn("betweenness", F.round("betweenness", 6))
 
 
 def betweenness_lines(spark: SparkSession, sf: str) -> DataFrame:
-    return reports.betweenness_lines(ph.edge_betweenness(_graph(spark, sf)))
+    return reports.betweenness_lines(ph.edge_betweenness(_graph(spark, sf), both_ways=True))
 
 
 def connected_components(spark: SparkSession, sf: str) -> DataFrame:
@@ -205,14 +205,14 @@ def connected_components(spark: SparkSession, sf: str) -> DataFrame:
 
 def modularity(spark: SparkSession, sf: str) -> DataFrame:
     edges = _graph(spark, sf)
-    score = cm.modularity(edges, stage(cm.label_propagation(edges, LPA_ROUNDS), "labels"))
+    score = cm.modularity(edges, stage(cm.label_propagation(edges, LPA_ROUNDS, both_ways=True), "labels"))
     return score.withColumn("modularity", F.round("modularity", 6))
 
 
 def first_cut(spark: SparkSession, sf: str) -> DataFrame:
     """One divisive step: components after removing the top edges."""
     edges = _graph(spark, sf)
-    cut = ph.top_edges(stage(ph.edge_betweenness(edges), "scores"))
+    cut = ph.top_edges(stage(ph.edge_betweenness(edges, both_ways=True), "scores"))
     return cm.connected_components(stage(ph.without_edges(edges, cut), "edges"), cm.vertices(edges))
 
 

@@ -13,6 +13,8 @@ QUICK = (
     "edge_betweenness", "modularity", "bfr_assign", "bfr_merge_pairs", "kmeans_step", "bfr_peel", "bootstrap_batches",
     "girvan_newman_summary", "itemset_report_file", "betweenness_file", "community_file", "reservoir_csv", "local_thresholds",
     "bloom_fpr", "fm_csv", "reservoir_snapshots", "stream_bloom", "retail_csv", "points_csv",
+    "bfr_cs_merge", "bfr_ds_merge", "chunk_file_order", "clustering_file", "stream_fm_batches", "stream_snapshots",
+    "stream_bootstrap", "retail_broken_csv", "retail_rejects", "shortest_path_dag", "community_lines",
 )
 NAMES = tuple(contract.queries()) if os.environ.get("ORE_ALL") else QUICK
 
