@@ -94,7 +94,7 @@ def bloom_tables(spark: SparkSession, folder: str) -> Versions:
     return Versions(
         spark,
         folder,
-        users="user string",
+        users="user string, first bigint, x bigint",
         bits="bit bigint, set_at bigint",
         waiting="n bigint, user string",
         rates="batch bigint, fp bigint, tn bigint",
@@ -114,14 +114,16 @@ def stream_bloom(stream: DataFrame, size: int, family: HashFamily, folder: str)
         batch = batch_of(F.col("n"), size)
         came = rows.select("n", "user").where(batch >= upto).unionByName(tables.last("waiting", version)).distinct()
         here = stage(came, "arrived")
-        full = here.groupBy(batch.alias("batch")).agg(F.count_distinct("n").alias("rows")).where(F.col("rows") == size).select("batch")
-        # The first batch that is not full; none before it is missing if the one at ``upto`` is there.
-        behind = full.select((F.col("batch") + 1).alias("batch")).join(full, "batch", "left_anti").agg(F.min("batch"))
-        ready = behind.first()[0] if full.agg(F.min("batch")).first()[0] == upto else upto
-        users, bits, rates = _judged(tables, here.where(batch < ready), size, family, version)
-        tables.write(rates, "rates", version)
-        tables.write(users, "users", version)
-        tables.write(bits, "bits", version)
+        full = here.groupBy(batch.alias("batch")).agg(F.count_distinct("n").alias("rows")).where(F.col("rows") == size)
+        # Every full batch and the one behind it: the first that is not full ends what can be judged.
+        marked = full.select("batch", F.lit(True).alias("full")).unionByName(full.select((F.col("batch") + 1).alias("batch"), F.lit(False).alias("full")))
+        known = marked.groupBy("batch").agg(F.bool_or("full").alias("full"))
+        first, gap = known.agg(F.min(F.when(F.col("full"), F.col("batch"))), F.min(F.when(~F.col("full"), F.col("batch")))).first()
+        ready = gap if first == upto else upto
+        done = here.where(batch < ready)
+        users = tables.write(_new_users(tables, done, family, version), "users", version)
+        bits = tables.write(_new_bits(tables, users, family, version), "bits", version)
+        tables.write(_rates(tables, done, users, bits, size, family, version), "rates", version)
         tables.write(here.where(batch >= ready), "waiting", version)
         # Written last: a version counts once it has its mark.
         tables.write(tables.spark.range(1).select(F.lit(ready).cast("bigint").alias("upto")), "marks", version)
@@ -130,21 +132,33 @@ def stream_bloom(stream: DataFrame, size: int, family: HashFamily, folder: str)
     return run(stream, folder, step)
 
 
-def _judged(tables: Versions, done: DataFrame, size: int, family: HashFamily, version: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """New users, new bits, and counts of false positives and true negatives a batch, of rows that follow all judged ones."""
-    known_users, known_bits = tables.before("users", version).select("user"), tables.before("bits", version).select("bit", "set_at")
-    first = done.groupBy("user").agg(F.min("n").alias("first")).join(known_users, "user", "left_anti")
-    hashed = with_residue(first, family)
-    probes = hashed.select("first", F.explode(F.array(*hash_values(F.col("x"), family))).alias("bit"))
-    new_bits = probes.groupBy("bit").agg(F.min("first").alias("set_at")).join(known_bits, "bit", "left_anti")
-    set_at = known_bits.unionByName(new_bits)
-    outcomes = probes.join(set_at, "bit").groupBy("first").agg(F.bool_and(F.col("set_at") < F.col("first")).alias("positive"))
+def _new_users(tables: Versions, done: DataFrame, family: HashFamily, version: int) -> DataFrame:
+    """Users whose first arrival is among ``done``, rows that follow all judged ones."""
+    first = done.groupBy("user").agg(F.min("n").alias("first"))
+    return with_residue(first.join(tables.before("users", version).select("user"), "user", "left_anti"), family)
+
+
+def _probes(users: DataFrame, family: HashFamily) -> DataFrame:
+    return users.select("first", F.explode(F.array(*hash_values(F.col("x"), family))).alias("bit"))
+
+
+def _new_bits(tables: Versions, users: DataFrame, family: HashFamily, version: int) -> DataFrame:
+    """Bits that these users are the first to set; earlier ones keep their time."""
+    set_now = _probes(users, family).groupBy("bit").agg(F.min("first").alias("set_at"))
+    return set_now.join(tables.before("bits", version).select("bit"), "bit", "left_anti")
+
+
+def _rates(
+    tables: Versions, done: DataFrame, users: DataFrame, bits: DataFrame, size: int, family: HashFamily, version: int
+) -> DataFrame:
+    """False positives and true negatives of every batch in ``done``."""
+    set_at = tables.before("bits", version).select("bit", "set_at").unionByName(bits.select("bit", "set_at"))
+    outcomes = _probes(users, family).join(set_at, "bit").groupBy("first").agg(F.bool_and(F.col("set_at") < F.col("first")).alias("positive"))
     per_batch = outcomes.groupBy(batch_of(F.col("first"), size).alias("batch")).agg(
         F.count_if("positive").alias("fp"), F.count_if(~F.col("positive")).alias("tn")
     )
     batches = done.select(batch_of(F.col("n"), size).alias("batch")).distinct()
-    rates = batches.join(per_batch, "batch", "left").select("batch", F.coalesce("fp", F.lit(0)).alias("fp"), F.coalesce("tn", F.lit(0)).alias("tn"))
-    return first.select("user"), new_bits, rates
+    return batches.join(per_batch, "batch", "left").select("batch", F.coalesce("fp", F.lit(0)).alias("fp"), F.coalesce("tn", F.lit(0)).alias("tn"))
 
 
 def bloom_rates(spark: SparkSession, size: int, family: HashFamily, folder: str) -> DataFrame:
@@ -153,7 +167,9 @@ def bloom_rates(spark: SparkSession, size: int, family: HashFamily, folder: str)
     whole = tables.before("marks").agg(F.max("version")).first()[0]
     following = 0 if whole is None else whole + 1
     waiting = tables.last("waiting", following)
-    rates = tables.before("rates", following).drop("version").unionByName(_judged(tables, waiting, size, family, following)[2])
+    users = _new_users(tables, waiting, family, following)
+    bits = _new_bits(tables, users, family, following)
+    rates = tables.before("rates", following).drop("version").unionByName(_rates(tables, waiting, users, bits, size, family, following))
     fp, tn = F.col("fp"), F.col("tn")
     return rates.select("batch", "fp", "tn", F.coalesce(F.try_divide(fp, fp + tn), F.lit(0.0)).alias("fpr"))
 
