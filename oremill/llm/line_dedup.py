@@ -1,54 +1,62 @@
 """Removal of repeated lines by an exact set-similarity join.
 
-A line is the set of its words.  It is removed when an earlier line, in the order of
-document id and line number, has the same set or a Jaccard similarity of at least
-``similarity``, whether or not that one is removed itself; which lines go therefore
-depends on neither partitioning nor order of work.
-
-Words are ordered by rarity: by the count of their hash bucket over the whole table
-(``COUNTERS`` counts, whatever the corpus), then by hash.  Any fixed order gives the
-exact result; rarity keeps the groups below short.  Two similar sets share a word among
-their first ``|x| - ceil(t |x|) + 1``, so each line is listed under its prefix words.
-Lines listed under one word are candidates if their sizes allow the similarity (length
-filter), the words left behind their places in the prefixes suffice (positional filter)
-and their 64-bit parity signatures differ in no more bits than the sets may differ in
-words.  Connected candidates go on together, with their whole sets, and are verified in
-blocks as in the n-gram join; what comes back is one row for each line that has an
-earlier match.
+A line is the set of its words, each told by a 64-bit hash.  It is removed when an
+earlier line, in the order of document id and line number, has the same set or a Jaccard
+similarity of at least ``similarity``, whether or not that one is removed itself; which
+lines go therefore depends on neither partitioning nor order of work.
+
+Words are ordered by rarity: by the count of their hash cell over the whole table
+(``2 ** CELL_BITS`` counts, whatever the corpus), then by hash.  Any fixed order gives
+the exact result; rarity keeps the groups below short.  Two similar sets share a word among
+their first ``|x| - ceil(t |x|) + 1``, so each line is listed under its prefix words, but
+for those that occur once in the table.  Lines listed under one word are candidates if
+their sizes allow the similarity (length filter), the words left behind their places in
+the prefixes suffice (positional filter) and their 64-bit parity signatures differ in no
+more bits than the sets may differ in words.
+
+One earlier match is enough for a line to go.  So each line is first verified against its
+likeliest earlier candidate alone: the candidate's words go to the lines that name it, in
+groups of bounded size.  Lines that fail there and have further candidates (``open``) go
+through all of these, in blocks: only words that an open line lists are listed again.
+Words travel as the text of the line, fetched by one more scan of the table.
 
 Lines without a word are kept and match nothing.  Rows with the same id count as one
-document: a line number kept for one is kept for all.  Null texts have no lines.
+document: a line number kept for one is kept for all, and the rows of null ids are one
+such document, the first of all.  Null texts have no lines.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from oremill.llm.ngram_join import _linked
-from oremill.llm.text import WORD, let, sweep, whole, words
-from oremill.plans.staging import stage, unstage
+from oremill.llm.repeats import Words, word_hashes
+from oremill.llm.text import WORD, shuffles_dropped, whole
+from oremill.operators.numbering import row_numbers
+from oremill.plans.staging import stage, stage_counted, unstage
 
 SIMILARITY = 0.8
-COUNTERS = 1 << 17
+#: Cells of the word counts: 16 MB on the driver and in every task.
+CELL_BITS = 24
+#: Bits of the filters for lines to fetch and words to list again: 16 MB as well.
+FILTER_BITS = 27
+BLOCK_BITS = 16
 #: Lines that one group under a word holds; longer lists are dealt to blocks.
 LIST_ROWS = 4096
+#: Lines verified against one copy of their candidate.
+HUB_ROWS = 4096
 BLOCK_ROWS = 1024
 BLOCK_WORDS = 1 << 20
-#: Words that a task takes up at once.
+#: Words that a task takes up at once; a line's number among them fits 20 bits.
 SLICE_WORDS = 1_000_000
 
 U = np.uint64
-GROUP = ("word", "low", "high")
-
-
-def line_words(text: Column) -> Column:
-    """Array of lines, each an array of its distinct words' hashes."""
-    return F.transform(F.split(whole(text), "\n"), lambda line: F.array_distinct(F.transform(words(line), lambda w: F.xxhash64(w))))
+GROUP = ("word", "part")
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -56,23 +64,183 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(27))
 
 
-def counted(docs: DataFrame, text: str) -> np.ndarray:
-    """How many words of the table fall in each bucket; at least as many as lines that hold one."""
+class Lines:
+    """The lines with words of Arrow strings that end with a blank."""
+
+    def __init__(self, texts: pa.Array):
+        self.words = words = Words(texts)
+        ends = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts)].astype(np.int64)
+        breaks = np.flatnonzero(words.data == 0x0A)
+        before = np.searchsorted(breaks, words.start)
+        unit = before + words.text  # differs from line to line, also where one text ends
+        new = np.ones(len(unit), bool)
+        new[1:] = unit[1:] != unit[:-1]
+        self.first = np.flatnonzero(new)
+        self.last = np.append(self.first[1:], len(unit))[: len(self.first)]  # one past the last word
+        self.text = words.text[self.first]
+        text_starts = ends - ends[0] if len(ends) else ends
+        self.number = before[self.first] - np.searchsorted(breaks, text_starts)[self.text]
+
+    def slices(self, chosen: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Runs of lines of ``SLICE_WORDS`` words at most, one line at least: the lines, their words' hashes and lines of the slice."""
+        chosen = np.arange(len(self.first)) if chosen is None else chosen
+        at = 0
+        while at < len(chosen):
+            upto = max(at + 1, int(np.searchsorted(self.last[chosen], self.first[chosen[at]] + SLICE_WORDS, side="right")))
+            mine = chosen[at:upto]
+            at = upto
+            low, high = int(self.first[mine[0]]), int(self.last[mine[-1]])
+            hashes = _mix(word_hashes(self.words, low, high))
+            lengths = self.last[mine] - self.first[mine]
+            if lengths.sum() < high - low:
+                hashes = hashes[np.repeat(self.first[mine] - low - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())]
+            yield mine, hashes, np.repeat(np.arange(len(mine)), lengths)
+
+    def string(self, lines: np.ndarray) -> pa.Array:
+        """The lines' texts, from the first word to the blank behind the last."""
+        start, end = self.words.start[self.first[lines]], self.words.end[self.last[lines] - 1] + 1
+        data = self.words.data.tobytes()
+        return pa.array([data[a:b] for a, b in zip(start.tolist(), end.tolist())], pa.binary()).cast(pa.string())
+
+
+def _distinct(hashes: np.ndarray, owner: np.ndarray, codes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Lines, hashes and codes of the distinct words of each line, the rarest first."""
+    code = np.zeros(len(hashes), U) if codes is None else codes[(hashes & U((1 << CELL_BITS) - 1)).astype(np.int64)].astype(U)
+    token = (owner.astype(U) << U(44)) | (code << U(36)) | (hashes >> U(28))
+    order = np.argsort(token)
+    sorted_token, word = token[order], hashes[order]
+    if ((sorted_token[1:] == sorted_token[:-1]) & (word[1:] != word[:-1])).any():  # words of one token in one line
+        order = np.lexsort((hashes, token))
+        sorted_token, word = token[order], hashes[order]
+    new = np.ones(len(word), bool)
+    new[1:] = (sorted_token[1:] != sorted_token[:-1]) | (word[1:] != word[:-1])
+    order = order[new]
+    return owner[order], hashes[order], code[order]
+
+
+def _summed(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and signatures of sets that start at ``first``."""
+    key = np.add.reduceat(_mix(hashes + U(0x9E3779B97F4A7C15)), first)
+    return key, np.bitwise_xor.reduceat(U(1) << (hashes & U(63)), first)
+
+
+def _code(count: np.ndarray) -> np.ndarray:
+    """Counts in a byte: as they are below 128, by steps of an eighth of a doubling above."""
+    large = 128 + np.floor(8 * (np.log2(np.maximum(count, 128)) - 7))
+    return np.where(count < 128, count, np.minimum(large, 255)).astype(np.uint8)
+
+
+def _blocked(cells: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+    """Distinct sorted cells as rows of a block each: the cells' low digits, and 16-bit counts."""
+    blocks, starts = np.unique(cells >> BLOCK_BITS, return_index=True)
+    low = np.split((cells & ((1 << BLOCK_BITS) - 1)).astype(np.uint16), starts[1:])
+    most = np.split(np.minimum(counts, 0xFFFF).astype(np.uint16), starts[1:])
+    return pa.RecordBatch.from_arrays(
+        [pa.array(blocks, pa.int32()), pa.array([a.tobytes() for a in low], pa.binary()), pa.array([a.tobytes() for a in most], pa.binary())],
+        ["block", "cells", "counts"],
+    )
+
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(COUNTERS, np.int64)
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row a block: the sums of its cells' counts, coded in bytes; rows come sorted by block."""
+    held, total = None, np.zeros(1 << BLOCK_BITS, np.int64)
+
+    def told() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([held], pa.int32()), pa.array([_code(total).tobytes()], pa.binary())], ["block", "codes"])
+
+    for batch in batches:
+        for block, cells, counts in zip(*(c.to_pylist() for c in batch.columns)):
+            if block != held:
+                if held is not None:
+                    yield told()
+                held, total = block, np.zeros(1 << BLOCK_BITS, np.int64)
+            total[np.frombuffer(cells, np.uint16)] += np.frombuffer(counts, np.uint16)
+    if held is not None:
+        yield told()
+
+
+def _gathered(rows: DataFrame, bits: int) -> np.ndarray:
+    """Codes of all cells, from ``(block, cells, counts)``."""
+    sums = rows.repartition("block").sortWithinPartitions("block").mapInArrow(_added, "block int, codes binary")
+    codes = np.zeros(1 << bits, np.uint8)
+    for row in sums.toLocalIterator():
+        at = row["block"] << BLOCK_BITS
+        codes[at : at + (1 << BLOCK_BITS)] = np.frombuffer(row["codes"], np.uint8)
+    return codes
+
+
+def _bits(df: DataFrame, cells_of: Callable[[pa.RecordBatch], np.ndarray]) -> np.ndarray:
+    """A packed filter of ``2 ** FILTER_BITS`` bits, set for the cells of all rows."""
+
+    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
         for batch in batches:
-            hashes = batch.column(0).flatten().to_numpy(zero_copy_only=False).view(U)
-            for at in range(0, len(hashes), SLICE_WORDS):
-                total += np.bincount((hashes[at : at + SLICE_WORDS] & U(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
-        seen = np.nonzero(total)[0]
-        yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int32()), pa.array(total[seen], pa.int64())], ["bucket", "n"])
+            at = cells_of(batch)
+            np.bitwise_or.at(held, at >> 3, (1 << (at & 7)).astype(np.uint8))
+        full = np.flatnonzero(np.unpackbits(held, bitorder="little"))
+        if len(full):
+            yield _blocked(full, np.ones(len(full), np.int64))
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _added(batches):
+            seen = np.frombuffer(batch.column("codes")[0].as_py(), np.uint8) > 0
+            yield pa.RecordBatch.from_arrays([batch.column("block"), pa.array([np.packbits(seen, bitorder="little").tobytes()], pa.binary())], ["block", "bits"])
+
+    rows = df.mapInArrow(cells, "block int, cells binary, counts binary").repartition("block").sortWithinPartitions("block")
+    bits = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
+    width = 1 << (BLOCK_BITS - 3)
+    for row in rows.mapInArrow(packed, "block int, bits binary").toLocalIterator():
+        bits[row["block"] * width : (row["block"] + 1) * width] = np.frombuffer(row["bits"], np.uint8)
+    return bits
+
+
+def _is_set(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
 
-    hashed = docs.select(F.transform(words(F.col(text)), lambda w: F.xxhash64(w)).alias("w"))
-    counts = np.zeros(COUNTERS, np.int64)
-    for row in hashed.mapInArrow(count, "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
-        counts[row["bucket"]] = row["n"]
-    return counts
+
+def _cell(*parts: np.ndarray) -> np.ndarray:
+    mixed = np.zeros(len(parts[0]), U)
+    for part in parts:
+        mixed = _mix(mixed + part.astype(np.int64).view(U) + U(0x9E3779B97F4A7C15))
+    return (mixed & U((1 << FILTER_BITS) - 1)).astype(np.int64)
+
+
+def counted(texts: DataFrame, id_type: str) -> tuple[DataFrame, np.ndarray]:
+    """``(id, n_lines)`` of every row with a line, and how often each cell's words occur, coded.
+
+    A task gives back its counts in pieces of a million words, so nothing grows with it.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        size, kind = 0, None
+        for batch in batches:
+            kind = batch.schema.field("id").type
+            lines = Lines(batch.column("text"))
+            for _, hashes, _ in lines.slices():
+                held.append((hashes & U((1 << CELL_BITS) - 1)).astype(np.int32))
+                size += len(hashes)
+                if size >= 4 * SLICE_WORDS:
+                    yield told(np.concatenate(held), kind)
+                    held, size = [], 0
+            n = np.bincount(lines.text, minlength=batch.num_rows)
+            full = pa.array(np.flatnonzero(n))
+            none = pa.nulls(len(full), pa.binary())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("id").take(full), pa.array(n[n > 0], pa.int64()), pa.nulls(len(full), pa.int32()), none, none],
+                ["id", "n_lines", "block", "cells", "counts"],
+            )
+        if held:
+            yield told(np.concatenate(held), kind)
+
+    def told(cells: np.ndarray, kind: pa.DataType) -> pa.RecordBatch:
+        blocked = _blocked(*np.unique(cells, return_counts=True))
+        n = blocked.num_rows
+        return pa.RecordBatch.from_arrays([pa.nulls(n, kind), pa.nulls(n, pa.int64()), *blocked.columns], ["id", "n_lines", "block", "cells", "counts"])
+
+    both = stage(texts.mapInArrow(count, f"id {id_type}, n_lines bigint, block int, cells binary, counts binary"), "counted")
+    codes = _gathered(both.where(F.col("block").isNotNull()).select("block", "cells", "counts"), CELL_BITS)
+    return both.where(F.col("n_lines").isNotNull()).select("id", "n_lines"), codes
 
 
 def _prefix(sizes: np.ndarray, similarity: float) -> np.ndarray:
@@ -83,39 +251,35 @@ def _lists(values: np.ndarray, lengths: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(lengths)), pa.int32()), pa.array(values))
 
 
-def _line_rows(docs: pa.Array, lines: pa.Array, counts: np.ndarray, similarity: float) -> Iterator[pa.RecordBatch]:
-    """Rows of all lines with words: place, size, key, signature and prefix words."""
-    of_doc = np.repeat(np.arange(len(lines)), np.diff(lines.offsets.to_numpy()))
-    number = np.arange(len(of_doc)) - np.repeat(lines.offsets.to_numpy()[:-1] - lines.offsets.to_numpy()[0], np.diff(lines.offsets.to_numpy()))
-    inner = lines.flatten()
-    ends = inner.offsets.to_numpy()
-    hashes = inner.values.to_numpy(zero_copy_only=False).view(U)
-    full = np.nonzero(np.diff(ends) > 0)[0]
-    at = 0
-    while at < len(full):
-        upto = max(at + 1, int(np.searchsorted(ends[full + 1], ends[full[at]] + SLICE_WORDS, side="right")))
-        mine = full[at:upto]
-        at = upto
-        sizes = (ends[mine + 1] - ends[mine]).astype(np.int64)
+def _line_rows(ids: pa.Array, texts: pa.Array, codes: np.ndarray, similarity: float) -> Iterator[pa.RecordBatch]:
+    """Rows of all lines with words, one for equal ones of a slice: place, size, key, signature, prefix words and the common ones among these.
+
+    A prefix word is 32 bits of its hash, 0 if it occurs once in the table.
+    """
+    often = _code(np.array([LIST_ROWS]))[0]
+    lines = Lines(texts)
+    for mine, hashes, owner in lines.slices():
+        owner, word, code = _distinct(hashes, owner, codes)
+        sizes = np.bincount(owner, minlength=len(mine))
         first = np.cumsum(sizes) - sizes
-        word = hashes[np.repeat(ends[mine] - first, sizes) + np.arange(sizes.sum())]
-        line = np.repeat(np.arange(len(mine)), sizes)
-        mixed = _mix(word)
-        key = np.add.reduceat(_mix(mixed + U(0x9E3779B97F4A7C15)), first)
-        signature = np.bitwise_xor.reduceat(U(1) << (mixed & U(63)), first)
-        order = np.lexsort((word, counts[(word & U(COUNTERS - 1)).astype(np.int64)], line))
+        key, signature = _summed(word, first)
         lengths = _prefix(sizes, similarity)
-        chosen = order[np.repeat(first, lengths) + np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)]
+        chosen = np.repeat(first - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())
+        short = np.maximum((word[chosen] >> U(28)) & U(0xFFFFFFFF), U(1)).astype(np.uint32).view(np.int32)
+        short = np.where(code[chosen] > 1, short, 0).astype(np.int32)
+        common = code[chosen] >= often
+        of = np.repeat(np.arange(len(mine)), lengths)
         yield pa.RecordBatch.from_arrays(
             [
-                docs.take(pa.array(of_doc[mine])),
-                pa.array(number[mine], pa.int32()),
+                ids.take(pa.array(lines.text[mine])),
+                pa.array(lines.number[mine], pa.int32()),
                 pa.array(sizes, pa.int32()),
                 pa.array(key.view(np.int64)),
                 pa.array(signature.view(np.int64)),
-                _lists((word[chosen] & U(0xFFFFFFFF)).astype(np.uint32).view(np.int32), lengths),
+                _lists(short, lengths),
+                _lists(short[common], np.bincount(of[common], minlength=len(mine))),
             ],
-            ["id", "line", "size", "key", "signature", "prefix"],
+            ["id", "line", "size", "key", "signature", "prefix", "often"],
         )
 
 
@@ -153,7 +317,7 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]
     for batch in batches:
         if not batch.num_rows:
             continue
-        now = {c: batch.column(c).to_numpy() for c in batch.schema.names}
+        now = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in batch.schema.names}
         held = now if held is None else {c: np.append(held[c], now[c]) for c in now}
         last = np.ones(len(held["word"]), bool)
         for c in GROUP:
@@ -166,39 +330,72 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]
         yield held
 
 
-def _candidates(similarity: float):
-    """Rows ``(bucket, key, signature, size)`` of the lines that have a candidate under their word; candidates share a bucket."""
+def _passing(rows: dict[str, np.ndarray], similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Candidate pairs ``(later, earlier)`` within the groups, by their distance there; at one distance and side no row is twice the later one."""
+    n = len(rows["word"])
+    new = np.ones(n, bool)
+    new[1:] = np.any([rows[c][1:] != rows[c][:-1] for c in GROUP], axis=0)
+    start = np.nonzero(new)[0]
+    lengths = np.diff(np.append(start, n))
+    end = np.repeat(start + lengths, lengths)
+    number, sign, before = rows["n"], rows["signature"].view(U), rows["before"]
+    size, place = rows["shape"] >> 32, rows["shape"] & 0xFFFFFFFF
+    live, step = np.arange(n), 1
+    while True:
+        live = live[live + step < end[live]]
+        if not len(live):
+            return
+        a, b = live, live + step
+        ok = _possible(size[a], place[a], sign[a], size[b], place[b], sign[b], similarity)
+        # Lines whose words before this one are equal, too, meet under that word.
+        ok &= (before[a] != before[b]) | (before[a] == 0)
+        for front in (True, False):
+            chosen = ok & ((number[a] > number[b]) == front) & (number[a] != number[b])
+            if chosen.any():
+                yield (a[chosen], b[chosen]) if front else (b[chosen], a[chosen])
+        step += 1
+
+
+def _likeliest(similarity: float):
+    """Rows ``(n, x, likeness, many)``: of each line under a word its likeliest earlier candidate, and whether there are others."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _pieces(batches):
             n = len(rows["word"])
-            new = np.ones(n, bool)
-            new[1:] = np.any([rows[c][1:] != rows[c][:-1] for c in GROUP], axis=0)
-            start = np.nonzero(new)[0]
-            lengths = np.diff(np.append(start, n))
-            end = np.repeat(start + lengths, lengths)
-            key, sign = rows["key"].view(U), rows["signature"].view(U)
-            size, place = rows["size"].astype(np.int64), rows["place"].astype(np.int64)
-            before = rows["before"]
-            root, met = np.arange(n), np.zeros(n, bool)
-            live, step = np.arange(n), 1
-            while True:  # compares rows at every distance within their groups
-                live = live[live + step < end[live]]
-                if not len(live):
-                    break
-                a, b = live, live + step
-                ok = _possible(size[a], place[a], sign[a], size[b], place[b], sign[b], similarity)
-                # Lines whose words before this one are equal, too, meet under that word.
-                ok &= (before[a] != before[b]) | (place[a] == 0) | (place[b] == 0)
-                a, b = a[ok], b[ok]
-                met[a] = met[b] = True
-                root = _joined(root, a, b)
-                step += 1
+            best, other, seen = np.full(n, -1.0), np.zeros(n, np.int64), np.zeros(n, np.int64)
+            sign, size, number = rows["signature"].view(U), rows["shape"] >> 32, rows["n"]
+            for later, earlier in _passing(rows, similarity):
+                both, apart = size[later] + size[earlier], np.bitwise_count(sign[later] ^ sign[earlier])
+                like = (both - apart) / (both + apart)
+                seen[later] += 1
+                better = (like > best[later]) | ((like == best[later]) & (number[earlier] < other[later]))
+                best[later[better]], other[later[better]] = like[better], number[earlier[better]]
+            met = seen > 0
             if met.any():
-                mixed = _mix(key[root] ^ _mix(rows["word"].astype(np.int64).view(U) ^ _mix(sign[root] + rows["low"].astype(U) + (rows["high"].astype(U) << U(20)))))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(mixed[met].view(np.int64)), *(pa.array(rows[c][met]) for c in ("key", "signature", "size"))],
-                    ["bucket", "key", "signature", "size"],
+                    [pa.array(number[met]), pa.array(other[met]), pa.array(best[met]), pa.array(seen[met] > 1)], ["n", "x", "likeness", "many"]
+                )
+
+    return find
+
+
+def _linked_to_open(similarity: float):
+    """Rows ``(bucket, n, size)``: lines with a candidate pair whose later line is open; such lines share a bucket."""
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _pieces(batches):
+            n = len(rows["word"])
+            root, met, number = np.arange(n), np.zeros(n, bool), rows["n"]
+            for later, earlier in _passing(rows, similarity):
+                asked = rows["open"][later].astype(bool)
+                later, earlier = later[asked], earlier[asked]
+                met[later] = met[earlier] = True
+                root = _joined(root, later, earlier)
+            if met.any():
+                bucket = _mix(number[root].view(U) ^ _mix(rows["word"].astype(np.int64).view(U) ^ _mix(rows["part"].view(U) + U(1))))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(bucket[met].view(np.int64)), pa.array(number[met]), pa.array((rows["shape"][met] >> 32).astype(np.int32))],
+                    ["bucket", "n", "size"],
                 )
 
     return find
@@ -219,155 +416,256 @@ def _joined(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return root
 
 
-def _matched(similarity: float):
-    """Keys of the lines of a group of blocks that have an earlier match in it."""
+def _word_sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, sizes and hashes of the texts' sets of words."""
+    words = Words(texts)
+    if not len(words.start):
+        return np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64), np.zeros(0, U)
+    parts, sizes = [], np.zeros(len(texts), np.int64)
+    at = 0
+    while at < len(texts):  # slices of whole texts, one at least
+        upto = max(at + 1, int(np.searchsorted(words.first[1:], words.first[at] + SLICE_WORDS, side="right")))
+        low, high = int(words.first[at]), int(words.first[upto])
+        if high > low:
+            owner, hashes, _ = _distinct(_mix(word_hashes(words, low, high)), words.text[low:high] - at)
+            sizes[at:upto] = np.bincount(owner, minlength=upto - at)
+            parts.append(hashes)
+        at = upto
+    return np.cumsum(sizes) - sizes, sizes, np.concatenate(parts)
+
+
+def _verified(similarity: float):
+    """Numbers of the lines that are similar to the candidate that heads their group."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in _groups(batches, ("bucket", "low", "high")):
-            low, high = group["low"][0].as_py(), group["high"][0].as_py()
-            block, age = group["block"].to_numpy(), _ages(group)
-            sign = group["signature"].to_numpy().view(U)
-            sets = _sets(group["words"])
-            own = _own_rows(group, sets)
-            left, right = own[block[own] == low], own[block[own] == high]
-            if not len(left) or not len(right):
-                continue
-            size = np.array([len(s) for s in sets])
-            zero = np.zeros(1, np.int64)
-            maybe = _possible(size[left][:, None], zero, sign[left][:, None], size[right][None, :], zero, sign[right][None, :], similarity)
-            if low == high:
-                np.fill_diagonal(maybe, False)
-            if not maybe.any():
+        held_group, held = None, np.zeros(0, U)
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            maybe &= _linked(sets, left, right, similarity)
-            later_left = (maybe & (age[left][:, None] > age[right][None, :])).any(axis=1)
-            later_right = (maybe & (age[left][:, None] < age[right][None, :])).any(axis=0)
-            gone = np.unique(np.append(left[later_left], right[later_right]))
-            if len(gone):
-                yield group.select(["key", "signature"]).take(pa.array(gone)).combine_chunks().to_batches()[0]
+            start, size, words = _word_sets(batch.column("text"))
+            # The head of the last batch's last group comes first.
+            start, size, words = np.append(0, start + len(held)), np.append(len(held), size), np.append(held, words)
+            groups = np.stack([batch.column(c).to_numpy() for c in ("x", "salt")], axis=1)
+            groups = np.concatenate([[held_group if held_group is not None else (-1, -1)], groups])
+            is_head = np.append(True, batch.column("head").to_numpy(zero_copy_only=False).astype(bool))
+            head = np.maximum.accumulate(np.where(is_head, np.arange(len(is_head)), 0))
+            rows = np.flatnonzero(~is_head & (groups[head] == groups).all(axis=1))
+            similar = _pairwise(start, size, words, rows, head[rows], similarity)
+            if similar.any():
+                numbers = np.append(-1, batch.column("n").to_numpy())
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(numbers[rows[similar]]))], ["n"])
+            last = head[-1]
+            held_group, held = tuple(groups[last].tolist()), words[start[last] : start[last] + size[last]].copy()
 
     return run
 
 
-def _ages(group: pa.Table) -> np.ndarray:
-    """Ranks of the lines by document id and line number."""
-    ids, lines = group["id"].to_pylist(), group["line"].to_pylist()
-    order = sorted(range(len(ids)), key=lambda i: (ids[i] is not None, ids[i], lines[i]) if ids[i] is not None else (False, 0, lines[i]))
-    ages = np.empty(len(ids), np.int64)
-    ages[order] = np.arange(len(ids))
-    return ages
-
-
-def _flat(lists: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
-    """Ends and values of an Arrow column of lists of hashes."""
-    if isinstance(lists, pa.ChunkedArray):
-        lists = lists.combine_chunks()
-    ends = lists.offsets.to_numpy()
-    return ends, lists.values.to_numpy(zero_copy_only=False).view(U)
+def _pairwise(start: np.ndarray, size: np.ndarray, words: np.ndarray, left: np.ndarray, right: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether the sets ``left[i]`` and ``right[i]`` are similar."""
+    similar = np.zeros(len(left), bool)
+    total = np.cumsum(size[left] + size[right])
+    at = 0
+    while at < len(left):
+        upto = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + SLICE_WORDS, side="right")))
+        sets = np.concatenate([left[at:upto], right[at:upto]])
+        pair = np.tile(np.arange(upto - at), 2)
+        lengths = size[sets]
+        word = words[np.repeat(start[sets] - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())]
+        pair = np.repeat(pair, lengths)
+        tagged = word ^ _mix(_mix(pair.astype(U) + U(1)) + U(0x9E3779B97F4A7C15))
+        order = np.argsort(tagged)
+        again = tagged[order][1:] == tagged[order][:-1]
+        both = np.bincount(pair[order][1:][again], minlength=upto - at)
+        similar[at:upto] = both >= similarity * (size[left[at:upto]] + size[right[at:upto]] - both) - 1e-6
+        at = upto
+    return similar
 
 
-def _sets(column: pa.ChunkedArray) -> list[np.ndarray]:
-    ends, flat = _flat(column)
-    return [flat[a:b] for a, b in zip(ends[:-1], ends[1:])]
+def _matched(similarity: float):
+    """Numbers of the lines of a group of blocks that have an earlier match in it."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _groups(batches, ("bucket", "low", "high")):
+            low, high = group["low"][0].as_py(), group["high"][0].as_py()
+            number, own = np.unique(group["n"].to_numpy(), return_index=True)  # several rows of an id may hold the line
+            block = group["block"].to_numpy()[own]
+            start, size, words = _word_sets(group["text"].combine_chunks().take(pa.array(own)))
+            sets = [words[a : a + n] for a, n in zip(start, size)]
+            left, right = np.flatnonzero(block == low), np.flatnonzero(block == high)
+            if not len(left) or not len(right):
+                continue
+            linked = _linked(sets, left, right, similarity)
+            later_left = (linked & (left[:, None] > right[None, :])).any(axis=1)
+            later_right = (linked & (left[:, None] < right[None, :])).any(axis=0)
+            gone = np.unique(np.append(left[later_left], right[later_right]))
+            if len(gone):
+                yield pa.RecordBatch.from_arrays([pa.array(number[gone])], ["n"])
 
-def _own_rows(group: pa.Table, sets: list[np.ndarray]) -> np.ndarray:
-    """Rows whose words are those of their key, once each: a row of the same id may hold another line, or the same."""
-    keys, signs = group["key"].to_numpy().view(U), group["signature"].to_numpy()
-    found: dict[tuple[int, int], int] = {}
-    for i, words_here in enumerate(sets):
-        if len(words_here) and int(_mix(_mix(words_here) + U(0x9E3779B97F4A7C15)).sum(dtype=U)) == int(keys[i]):
-            found.setdefault((int(keys[i]), int(signs[i])), i)
-    return np.array(sorted(found.values()), np.int64)
+    return run
 
 
 def kept_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """``(id, n_lines, kept)``: lines with words of every document that has one, and the numbers (from 0) of those that stay."""
-    texts = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
-    counts = counted(texts, "text")
+    # Lines end with a blank for ``Words``; the hash of the id finds a line again, whatever the id's type.
+    texts = docs.select(F.col(key).alias("id"), F.xxhash64(F.col(key)).alias("of"), F.concat(whole(F.col(text)), F.lit(" ")).alias("text"))
     id_type = texts.schema["id"].dataType.simpleString()
-
-    def to_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield from _line_rows(batch.column(0), batch.column(1), counts, similarity)
-
-    lined = texts.select("id", line_words(F.col("text")).alias("lines"))
-    rows = lined.mapInArrow(to_lines, f"id {id_type}, line int, size int, key bigint, signature bigint, prefix array<int>")
-    line = ["key", "signature"]
-    # Distinct lines with their first places; equal lines are combined before they are shuffled.
-    classes = rows.groupBy(*line).agg(F.min(F.struct("id", "line", "size")).alias("f"), F.any_value("prefix").alias("prefix"))
-    classes = stage(classes, "lines")
-    sweep(docs.sparkSession)
-    near = stage(_near(classes, counts, similarity), "near")
-    sweep(docs.sparkSession)
-    grouped = _grouped(texts, classes, near)
-    matched = stage(grouped.mapInArrow(_matched(similarity), "key bigint, signature bigint"), "matched")
-    sweep(docs.sparkSession)
-    firsts = classes.select(*line, "f").join(matched.distinct(), line, "left_anti")
-    kept = firsts.groupBy(F.col("f.id").alias("of")).agg(F.sort_array(F.collect_list("f.line")).alias("kept"))
-    full = F.size(F.filter(F.split(whole(F.col("text")), "\n"), lambda x: F.rlike(x, F.lit(WORD))))
-    totals = texts.select("id", full.cast("bigint").alias("n")).where(F.col("n") > 0).groupBy("id").agg(F.max("n").alias("n_lines"))
-    return totals.join(stage(kept, "kept"), F.col("id").eqNullSafe(F.col("of")), "left").select(
+    with shuffles_dropped(docs.sparkSession):
+        totals, codes = counted(texts.select("id", "text"), id_type)
+        lines = _numbered(texts.select("id", "text"), id_type, codes, similarity)
+        del codes
+        named = _listed(lines).mapInArrow(_likeliest(similarity), "n bigint, x bigint, likeness double, many boolean")
+        named = named.groupBy("n").agg(
+            F.max_by("x", "likeness").alias("x"), (F.max("many") | (F.min("x") != F.max("x"))).alias("many")
+        )
+        named = stage(named, "named")
+        gone = stage(_to_heads(texts, lines, named).mapInArrow(_verified(similarity), "n bigint"), "similar")
+        still, n_open = stage_counted(named.where("many").select("n").join(gone.distinct(), "n", "left_anti"), "open")
+        if n_open:
+            more = stage(_to_blocks(texts, lines, still, similarity).mapInArrow(_matched(similarity), "n bigint"), "matched")
+            gone = gone.union(more)
+        firsts = lines.select("n", "id", "line").join(gone.distinct(), "n", "left_anti")
+        kept = stage(firsts.groupBy(F.col("id").alias("kept_id")).agg(F.sort_array(F.collect_list("line")).alias("kept")), "kept")
+        unstage(named, still)
+    totals = totals.groupBy("id").agg(F.max("n_lines").alias("n_lines"))
+    return totals.join(kept, F.col("id").eqNullSafe(F.col("kept_id")), "left").select(
         "id", "n_lines", F.coalesce("kept", F.array().cast("array<int>")).alias("kept")
     )
 
 
-def _grouped(texts: DataFrame, classes: DataFrame, near: DataFrame) -> DataFrame:
-    """Candidates with their words, a group of rows for every pair of blocks of a bucket."""
-    line = ["key", "signature"]
-    # Buckets that share lines are drawn together, so that few lines travel more than once.
-    least = near.groupBy(*line).agg(F.min("bucket").alias("least"))
-    label = near.join(least, line).groupBy("bucket").agg(F.min("least").alias("label"))
-    sweep(texts.sparkSession)
-    merged = stage(near.join(label, "bucket").select(F.col("label").alias("bucket"), *line, "size").distinct(), "merged")
-    blocks = merged.groupBy("bucket").agg(
-        F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS), F.ceil(F.sum("size") / BLOCK_WORDS)).cast("int").alias("blocks")
-    )
-    asked = merged.join(blocks, "bucket").groupBy(*line).agg(F.collect_list(F.struct("bucket", "blocks")).alias("buckets"))
-    places = asked.join(classes.select(*line, "f"), line).groupBy(F.col("f.id").alias("of")).agg(
-        F.collect_list(F.struct(F.col("f.line").alias("line"), *line, "buckets")).alias("at")
-    )
-    places = stage(places, "places")
-    unstage(merged)
-    sweep(texts.sparkSession)
-
-    def found(lines: Column) -> Column:
-        none = F.array().cast("array<bigint>")
-        return F.transform("at", lambda a: F.struct(a.alias("a"), F.coalesce(F.get(lines, a["line"]), none).alias("words")))
-
-    held = texts.join(places, F.col("id").eqNullSafe(F.col("of"))).select("id", F.explode(let(line_words(F.col("text")), found)).alias("x"))
-    dealt = held.select("id", "x.a.line", "x.a.key", "x.a.signature", "x.words", F.explode("x.a.buckets").alias("b"))
-    dealt = dealt.withColumn("block", F.pmod(F.xxhash64(*line), F.col("b.blocks")).cast("int"))
-    pairs = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("b.blocks") - 1))).select(
-        "b.bucket", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", *line, "id", "line", "words"
+def _numbered(texts: DataFrame, id_type: str, codes: np.ndarray, similarity: float) -> DataFrame:
+    """The distinct lines with their first places, numbered by these."""
+
+    def to_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield from _line_rows(batch.column("id"), batch.column("text"), codes, similarity)
+
+    rows = texts.mapInArrow(to_lines, f"id {id_type}, line int, size int, key bigint, signature bigint, prefix array<int>, often array<int>")
+    # Equal lines are combined before they are shuffled.
+    firsts = rows.groupBy("key", "signature").agg(
+        F.min(F.struct("id", "line", "size")).alias("f"), F.any_value("prefix").alias("prefix"), F.any_value("often").alias("often")
     )
-    return pairs.repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high")
+    firsts = firsts.select("f.id", "f.line", "f.size", "key", "signature", "prefix", "often")
+    return row_numbers(firsts, "id", "line", "key", "signature")
 
 
-def _near(classes: DataFrame, counts: np.ndarray, similarity: float) -> DataFrame:
-    """Candidates of all distinct lines under their prefix words."""
-    prefix = F.transform("prefix", lambda w, i: F.struct(w.alias("word"), F.coalesce(F.get("prefix", i - 1), F.lit(0)).alias("before")))
-    listed = classes.select("key", "signature", "f.size", F.posexplode(prefix).alias("place", "w"))
-    listed = listed.select("key", "signature", "size", "place", "w.word", "w.before")
-    # Only words of these buckets (at most COUNTERS) can have long lists.
-    often = [(int(b),) for b in np.nonzero(counts > LIST_ROWS)[0]]
-    often = classes.sparkSession.createDataFrame(often, "often int")
+def _listed(lines: DataFrame, only: np.ndarray | None = None) -> DataFrame:
+    """All lines under their prefix words (those of the filter ``only``), sorted by groups of these."""
+    asked = "open" in lines.columns
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prefix = batch.column("prefix")
+            ends = prefix.offsets.to_numpy().astype(np.int64)
+            lengths = np.diff(ends)
+            words = prefix.values.to_numpy()[ends[0] : ends[-1]]
+            row = np.repeat(np.arange(batch.num_rows), lengths)
+            place = np.arange(len(words)) - np.repeat(ends[:-1] - ends[0], lengths)
+            before = np.where(place > 0, np.append(0, words[:-1])[: len(words)], 0).astype(np.int32)
+            held = words != 0
+            if only is not None:
+                held &= _is_set(only, _word_cells(words))
+            row, place = row[held], place[held]
+            shape = (batch.column("size").to_numpy().astype(np.int64)[row] << 32) | place
+            columns = [words[held], before[held], batch.column("n").to_numpy()[row], batch.column("signature").to_numpy()[row], shape]
+            names = ["word", "before", "n", "signature", "shape"]
+            if asked:
+                columns.append(batch.column("open").to_numpy(zero_copy_only=False)[row])
+                names.append("open")
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
+
+    columns = "word int, before int, n bigint, signature bigint, shape bigint" + (", open boolean" if asked else "")
+    listed = lines.select("n", "size", "signature", "prefix", *(["open"] if asked else [])).mapInArrow(spread, columns)
+    # Only the words marked as common can have long lists.
     long_lists = (
-        listed.join(F.broadcast(often), F.col("word").bitwiseAND(COUNTERS - 1) == F.col("often"), "left_semi")
+        lines.select(F.explode("often").alias("word"))
         .groupBy("word")
         .agg(F.ceil(F.count(F.lit(1)) / LIST_ROWS).cast("int").alias("blocks"))
         .where(F.col("blocks") > 1)
     )
+    blocks = F.coalesce("blocks", F.lit(1))
     dealt = (
         listed.join(stage(long_lists, "long-lists"), "word", "left")
-        .withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-        .withColumn("block", F.pmod(F.xxhash64("key", "signature"), F.col("blocks")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("word", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "key", "signature", "size", "place", "before")
+        .withColumn("block", F.pmod(F.xxhash64("n"), blocks))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        .withColumn("part", F.shiftleft(F.least("block", "other"), 32) + F.greatest("block", "other"))
+        .select(*[c.split(" ")[0] for c in columns.split(", ")], "part")
+    )
+    return dealt.repartition(*GROUP).sortWithinPartitions(*GROUP)
+
+
+def _word_cells(words: np.ndarray) -> np.ndarray:
+    return words.astype(np.int64) & ((1 << FILTER_BITS) - 1)
+
+
+def _fetched(texts: DataFrame, asked: DataFrame) -> DataFrame:
+    """``(key, signature, text)`` of the lines that ``asked`` names by ``(of, line, key)``, and of few others."""
+
+    def places(batch: pa.RecordBatch) -> np.ndarray:
+        of, line, key = (batch.column(c).to_numpy() for c in ("of", "line", "key"))
+        return np.append(_cell(of, line), _cell(of, line, key))
+
+    bits = _bits(asked.select("of", "line", "key"), places)
+
+    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lines = Lines(batch.column("text"))
+            of = batch.column("of").to_numpy()[lines.text]
+            chosen = np.flatnonzero(_is_set(bits, _cell(of, lines.number))) if len(of) else np.zeros(0, np.int64)
+            for mine, hashes, owner in lines.slices(chosen):
+                owner, word, _ = _distinct(hashes, owner)
+                sizes = np.bincount(owner, minlength=len(mine))
+                key, signature = _summed(word, np.cumsum(sizes) - sizes)
+                key, signature = key.view(np.int64), signature.view(np.int64)
+                wanted = np.flatnonzero(_is_set(bits, _cell(of[mine], lines.number[mine], key)))
+                wanted = wanted[np.unique(key[wanted], return_index=True)[1]]  # rows with one id repeat lines
+                if len(wanted):
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(key[wanted]), pa.array(signature[wanted]), lines.string(mine[wanted])], ["key", "signature", "text"]
+                    )
+
+    return texts.select("of", "text").mapInArrow(fetch, "key bigint, signature bigint, text string")
+
+
+def _with_words(texts: DataFrame, lines: DataFrame, asked: DataFrame, label: str) -> DataFrame:
+    """``asked`` with the text of line ``n``."""
+    line = lines.select("n", F.xxhash64("id").alias("of"), "line", "key", "signature")
+    placed = stage(asked.join(line, "n"), label)
+    return placed.join(_fetched(texts, placed), ["key", "signature"]).select(*asked.columns, "text")
+
+
+def _to_heads(texts: DataFrame, lines: DataFrame, named: DataFrame) -> DataFrame:
+    """Lines with their words behind those of the candidate they name; many lines go to several copies of it."""
+    salts = named.groupBy("x").agg(F.ceil(F.count(F.lit(1)) / HUB_ROWS).cast("int").alias("salts"))
+    lines_of = named.join(salts, "x").select("x", F.pmod(F.xxhash64("n"), F.col("salts")).cast("int").alias("salt"), F.lit(False).alias("head"), "n")
+    heads = salts.select("x", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(True).alias("head"), F.col("x").alias("n"))
+    held = _with_words(texts, lines, lines_of.union(heads), "named-places")
+    return held.repartition("x", "salt").sortWithinPartitions("x", "salt", F.desc("head"))
+
+
+def _to_blocks(texts: DataFrame, lines: DataFrame, still: DataFrame, similarity: float) -> DataFrame:
+    """Open lines and their candidates with their words, a group of rows for every pair of blocks of a bucket."""
+
+    def cells(batch: pa.RecordBatch) -> np.ndarray:
+        words = batch.column("prefix").flatten().to_numpy()
+        return _word_cells(words[words != 0])
+
+    only = _bits(lines.select("n", "prefix").join(still, "n", "left_semi").select("prefix"), cells)
+    flagged = lines.join(still.select("n", F.lit(True).alias("open")), "n", "left").withColumn("open", F.coalesce("open", F.lit(False)))
+    near = stage(_listed(flagged, only).mapInArrow(_linked_to_open(similarity), "bucket bigint, n bigint, size int"), "near")
+    # Buckets that share lines are drawn together, so that few lines travel more than once.
+    least = near.groupBy("n").agg(F.min("bucket").alias("least"))
+    label = near.join(least, "n").groupBy("bucket").agg(F.min("least").alias("label"))
+    merged = stage(near.join(label, "bucket").select(F.col("label").alias("bucket"), "n", "size").distinct(), "merged")
+    unstage(near)
+    blocks = merged.groupBy("bucket").agg(
+        F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS), F.ceil(F.sum("size") / BLOCK_WORDS)).cast("int").alias("blocks")
     )
-    return dealt.repartition(*GROUP).sortWithinPartitions(*GROUP).mapInArrow(
-        _candidates(similarity), "bucket bigint, key bigint, signature bigint, size int"
+    dealt = merged.join(blocks, "bucket").withColumn("block", F.pmod(F.xxhash64("n"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        "bucket", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "n"
     )
+    held = _with_words(texts, lines, dealt, "open-places")
+    return held.repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high")
 
 
 def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:

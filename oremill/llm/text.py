@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import functools
 import gc
 import time
@@ -58,17 +59,24 @@ def sliced(texts: pa.Array) -> Iterator[list[str | None]]:
     yield held
 
 
-def stage_clean(df: DataFrame, label: str = "state") -> DataFrame:
-    """``stage``, after which Spark drops the shuffle files of the write."""
-    name, spark = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", df.sparkSession
+@contextlib.contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Inside, Spark drops the shuffle files of every job that has ended."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     before = spark.conf.get(name)
     spark.conf.set(name, "true")
     try:
-        return stage(df, label)
+        yield
     finally:
         spark.conf.set(name, before)
 
 
+def stage_clean(df: DataFrame, label: str = "state") -> DataFrame:
+    """``stage``, after which Spark drops the shuffle files of the write."""
+    with shuffles_dropped(df.sparkSession):
+        return stage(df, label)
+
+
 def sweep(spark: SparkSession) -> None:
     """Have finished shuffles' files removed now, not when the driver next collects its garbage.
 
