@@ -126,8 +126,10 @@ def _summed(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 def _code(count: np.ndarray) -> np.ndarray:
     """Counts in a byte: as they are below 128, by steps of an eighth of a doubling above."""
-    large = 128 + np.floor(8 * (np.log2(np.maximum(count, 128)) - 7))
-    return np.where(count < 128, count, np.minimum(large, 255)).astype(np.uint8)
+    coded = np.minimum(count, 128).astype(np.uint8)
+    large = count > 128
+    coded[large] = np.minimum(128 + np.floor(8 * (np.log2(count[large]) - 7)), 255)
+    return coded
 
 
 def _blocked(cells: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
@@ -163,7 +165,7 @@ def _gathered(rows: DataFrame, bits: int) -> np.ndarray:
     """Codes of all cells, from ``(block, cells, counts)``."""
     sums = rows.repartition("block").sortWithinPartitions("block").mapInArrow(_added, "block int, codes binary")
     codes = np.zeros(1 << bits, np.uint8)
-    for row in sums.toLocalIterator():
+    for row in sums.collect():
         at = row["block"] << BLOCK_BITS
         codes[at : at + (1 << BLOCK_BITS)] = np.frombuffer(row["codes"], np.uint8)
     return codes
@@ -171,25 +173,33 @@ def _gathered(rows: DataFrame, bits: int) -> np.ndarray:
 
 def _bits(df: DataFrame, cells_of: Callable[[pa.RecordBatch], np.ndarray]) -> np.ndarray:
     """A packed filter of ``2 ** FILTER_BITS`` bits, set for the cells of all rows."""
+    width = 1 << (BLOCK_BITS - 3)
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
+        held = [np.zeros(0, np.int64)]
         for batch in batches:
-            at = cells_of(batch)
-            np.bitwise_or.at(held, at >> 3, (1 << (at & 7)).astype(np.uint8))
-        full = np.flatnonzero(np.unpackbits(held, bitorder="little"))
-        if len(full):
-            yield _blocked(full, np.ones(len(full), np.int64))
+            held.append(cells_of(batch))
+            if sum(map(len, held)) >= SLICE_WORDS:
+                yield told(held)
+                held = held[:1]
+        if len(held) > 1:
+            yield told(held)
 
-    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _added(batches):
-            seen = np.frombuffer(batch.column("codes")[0].as_py(), np.uint8) > 0
-            yield pa.RecordBatch.from_arrays([batch.column("block"), pa.array([np.packbits(seen, bitorder="little").tobytes()], pa.binary())], ["block", "bits"])
+    def told(held: list[np.ndarray]) -> pa.RecordBatch:
+        full = np.unique(np.concatenate(held))
+        return _blocked(full, np.ones(len(full), np.int64)).select(["block", "cells"])
 
-    rows = df.mapInArrow(cells, "block int, cells binary, counts binary").repartition("block").sortWithinPartitions("block")
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _groups(batches, ("block",)):
+            seen = np.zeros(1 << BLOCK_BITS, bool)
+            for cells in group["cells"].to_pylist():
+                seen[np.frombuffer(cells, np.uint16)] = True
+            bits = np.packbits(seen, bitorder="little").tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array(group["block"][:1].to_pylist(), pa.int32()), pa.array([bits], pa.binary())], ["block", "bits"])
+
+    rows = df.mapInArrow(cells, "block int, cells binary").repartition("block").sortWithinPartitions("block")
     bits = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
-    width = 1 << (BLOCK_BITS - 3)
-    for row in rows.mapInArrow(packed, "block int, bits binary").toLocalIterator():
+    for row in rows.mapInArrow(packed, "block int, bits binary").collect():
         bits[row["block"] * width : (row["block"] + 1) * width] = np.frombuffer(row["bits"], np.uint8)
     return bits
 
