@@ -11,7 +11,7 @@ the exact result; rarity keeps the groups below short.  Two similar sets share a
 their first ``|x| - ceil(t |x|) + 1``, so each line is listed under its prefix words, but
 for those that occur once in the table.  Lines listed under one word are candidates if
 their sizes allow the similarity (length filter), the words left behind their places in
-the prefixes suffice (positional filter) and their 64-bit parity signatures differ in no
+the prefixes suffice (positional filter) and their 128-bit parity signatures differ in no
 more bits than the sets may differ in words.
 
 One earlier match is enough for a line to go.  So each line is first verified against its
@@ -52,8 +52,12 @@ LIST_ROWS = 4096
 HUB_ROWS = 4096
 BLOCK_ROWS = 1024
 BLOCK_WORDS = 1 << 20
-#: Words that a task takes up at once; a line's number among them fits 20 bits.
-SLICE_WORDS = 1_000_000
+#: Words that a task takes up at once (arrays that stay in the cache); a line's number among them fits 20 bits.
+SLICE_WORDS = 1 << 17
+#: Words whose cells a task holds before it gives back their counts.
+HELD_WORDS = 1 << 21
+#: Listed rows that a task compares at once, groups whole.
+PIECE_ROWS = 1 << 17
 
 U = np.uint64
 GROUP = ("word", "part")
@@ -118,10 +122,11 @@ def _distinct(hashes: np.ndarray, owner: np.ndarray, codes: np.ndarray | None =
     return owner[order], hashes[order], code[order]
 
 
-def _summed(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Keys and signatures of sets that start at ``first``."""
+def _summed(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys, and both halves of the signatures, of sets that start at ``first``: a word flips one bit of 128."""
     key = np.add.reduceat(_mix(hashes + U(0x9E3779B97F4A7C15)), first)
-    return key, np.bitwise_xor.reduceat(U(1) << (hashes & U(63)), first)
+    bit, half = U(1) << (hashes & U(63)), (hashes >> U(6)) & U(1)
+    return key, np.bitwise_xor.reduceat(bit * (U(1) - half), first), np.bitwise_xor.reduceat(bit * half, first)
 
 
 def _code(count: np.ndarray) -> np.ndarray:
@@ -179,7 +184,7 @@ def _bits(df: DataFrame, cells_of: Callable[[pa.RecordBatch], np.ndarray]) -> np
         held = [np.zeros(0, np.int64)]
         for batch in batches:
             held.append(cells_of(batch))
-            if sum(map(len, held)) >= SLICE_WORDS:
+            if sum(map(len, held)) >= HELD_WORDS:
                 yield told(held)
                 held = held[:1]
         if len(held) > 1:
@@ -218,7 +223,7 @@ def _cell(*parts: np.ndarray) -> np.ndarray:
 def counted(texts: DataFrame, id_type: str) -> tuple[DataFrame, np.ndarray]:
     """``(id, n_lines)`` of every row with a line, and how often each cell's words occur, coded.
 
-    A task gives back its counts in pieces of a million words, so nothing grows with it.
+    A task gives back its counts in pieces of ``HELD_WORDS``, so nothing grows with it.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,7 +235,7 @@ def counted(texts: DataFrame, id_type: str) -> tuple[DataFrame, np.ndarray]:
             for _, hashes, _ in lines.slices():
                 held.append((hashes & U((1 << CELL_BITS) - 1)).astype(np.int32))
                 size += len(hashes)
-                if size >= 4 * SLICE_WORDS:
+                if size >= HELD_WORDS:
                     yield told(np.concatenate(held), kind)
                     held, size = [], 0
             n = np.bincount(lines.text, minlength=batch.num_rows)
@@ -272,7 +277,7 @@ def _line_rows(ids: pa.Array, texts: pa.Array, codes: np.ndarray, similarity: fl
         owner, word, code = _distinct(hashes, owner, codes)
         sizes = np.bincount(owner, minlength=len(mine))
         first = np.cumsum(sizes) - sizes
-        key, signature = _summed(word, first)
+        key, signature, second = _summed(word, first)
         lengths = _prefix(sizes, similarity)
         chosen = np.repeat(first - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())
         short = np.maximum((word[chosen] >> U(28)) & U(0xFFFFFFFF), U(1)).astype(np.uint32).view(np.int32)
@@ -286,10 +291,11 @@ def _line_rows(ids: pa.Array, texts: pa.Array, codes: np.ndarray, similarity: fl
                 pa.array(sizes, pa.int32()),
                 pa.array(key.view(np.int64)),
                 pa.array(signature.view(np.int64)),
+                pa.array(second.view(np.int64)),
                 _lists(short, lengths),
                 _lists(short[common], np.bincount(of[common], minlength=len(mine))),
             ],
-            ["id", "line", "size", "key", "signature", "prefix", "often"],
+            ["id", "line", "size", "key", "signature", "second", "prefix", "often"],
         )
 
 
@@ -313,56 +319,69 @@ def _groups(batches: Iterator[pa.RecordBatch], by: tuple[str, ...]) -> Iterator[
         yield pa.Table.from_batches(held).combine_chunks()
 
 
-def _possible(size_a, place_a, sign_a, size_b, place_b, sign_b, similarity: float) -> np.ndarray:
-    """Length, positional and signature filters for broadcast arrays."""
+def _possible(size_a, place_a, size_b, place_b, apart, similarity: float) -> np.ndarray:
+    """Length, positional and signature filters for sets whose signatures are ``apart`` bits apart."""
     least = np.ceil(similarity / (1 + similarity) * (size_a + size_b) - 1e-9)  # words that must be shared
     fits = (np.minimum(size_a, size_b) >= similarity * np.maximum(size_a, size_b) - 1e-9)
     fits &= np.minimum(size_a - place_a, size_b - place_b) >= least - np.minimum(place_a, place_b)
-    return fits & (np.bitwise_count(sign_a ^ sign_b) <= size_a + size_b - 2 * least)
+    return fits & (apart <= size_a + size_b - 2 * least)
 
 
 def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
-    """Columns of the sorted rows, cut where a group ends."""
-    held: dict[str, np.ndarray] | None = None
+    """Columns of the sorted rows, ``PIECE_ROWS`` or more at a time, cut where a group ends."""
+    held: list[dict[str, np.ndarray]] = []
+    size = 0
     for batch in batches:
         if not batch.num_rows:
             continue
-        now = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in batch.schema.names}
-        held = now if held is None else {c: np.append(held[c], now[c]) for c in now}
-        last = np.ones(len(held["word"]), bool)
+        held.append({c: batch.column(c).to_numpy(zero_copy_only=False) for c in batch.schema.names})
+        size += batch.num_rows
+        if size < PIECE_ROWS:
+            continue
+        now = {c: np.concatenate([h[c] for h in held]) for c in held[0]}
+        last = np.ones(size, bool)
         for c in GROUP:
-            last &= held[c] == held[c][-1]
-        cut = len(last) - int(last.sum())
+            last &= now[c] == now[c][-1]
+        cut = size - int(last.sum())
         if cut:
-            yield {c: v[:cut] for c, v in held.items()}
-            held = {c: v[cut:] for c, v in held.items()}
-    if held is not None:
-        yield held
+            yield {c: v[:cut] for c, v in now.items()}
+        held = [{c: v[cut:] for c, v in now.items()}]
+        size -= cut
+    if held:
+        yield {c: np.concatenate([h[c] for h in held]) for c in held[0]}
+
+
+def _apart(rows: dict[str, np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Bits that differ between the signatures of rows; the sets differ in as many words at least."""
+    return sum(np.bitwise_count((rows[c][a] ^ rows[c][b]).view(U)).astype(np.int64) for c in ("signature", "second"))
 
 
 def _passing(rows: dict[str, np.ndarray], similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Candidate pairs ``(later, earlier)`` within the groups, by their distance there; at one distance and side no row is twice the later one."""
+    """Candidate pairs ``(later, earlier)`` within the groups, by their distance there: at one distance no row is twice the later one.
+
+    The rows of a group are sorted by the lines' numbers, the later ones last.
+    """
     n = len(rows["word"])
     new = np.ones(n, bool)
     new[1:] = np.any([rows[c][1:] != rows[c][:-1] for c in GROUP], axis=0)
     start = np.nonzero(new)[0]
     lengths = np.diff(np.append(start, n))
     end = np.repeat(start + lengths, lengths)
-    number, sign, before = rows["n"], rows["signature"].view(U), rows["before"]
+    number, before = rows["n"], rows["before"]
     size, place = rows["shape"] >> 32, rows["shape"] & 0xFFFFFFFF
     live, step = np.arange(n), 1
     while True:
         live = live[live + step < end[live]]
         if not len(live):
             return
-        a, b = live, live + step
-        ok = _possible(size[a], place[a], sign[a], size[b], place[b], sign[b], similarity)
         # Lines whose words before this one are equal, too, meet under that word.
-        ok &= (before[a] != before[b]) | (before[a] == 0)
-        for front in (True, False):
-            chosen = ok & ((number[a] > number[b]) == front) & (number[a] != number[b])
-            if chosen.any():
-                yield (a[chosen], b[chosen]) if front else (b[chosen], a[chosen])
+        fits = np.minimum(size[live], size[live + step]) >= similarity * np.maximum(size[live], size[live + step]) - 1e-9
+        fits &= (before[live] != before[live + step]) | (before[live] == 0)
+        a = live[fits]
+        b = a + step
+        ok = _possible(size[a], place[a], size[b], place[b], _apart(rows, a, b), similarity) & (number[a] != number[b])
+        if ok.any():
+            yield b[ok], a[ok]
         step += 1
 
 
@@ -373,9 +392,9 @@ def _likeliest(similarity: float):
         for rows in _pieces(batches):
             n = len(rows["word"])
             best, other, seen = np.full(n, -1.0), np.zeros(n, np.int64), np.zeros(n, np.int64)
-            sign, size, number = rows["signature"].view(U), rows["shape"] >> 32, rows["n"]
+            size, number = rows["shape"] >> 32, rows["n"]
             for later, earlier in _passing(rows, similarity):
-                both, apart = size[later] + size[earlier], np.bitwise_count(sign[later] ^ sign[earlier])
+                both, apart = size[later] + size[earlier], _apart(rows, later, earlier)
                 like = (both - apart) / (both + apart)
                 seen[later] += 1
                 better = (like > best[later]) | ((like == best[later]) & (number[earlier] < other[later]))
@@ -523,7 +542,7 @@ def kept_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", similar
         totals, codes = counted(texts.select("id", "text"), id_type)
         lines = _numbered(texts.select("id", "text"), id_type, codes, similarity)
         del codes
-        named = _listed(lines).mapInArrow(_likeliest(similarity), "n bigint, x bigint, likeness double, many boolean")
+        named = _listed(lines, similarity).mapInArrow(_likeliest(similarity), "n bigint, x bigint, likeness double, many boolean")
         named = named.groupBy("n").agg(
             F.max_by("x", "likeness").alias("x"), (F.max("many") | (F.min("x") != F.max("x"))).alias("many")
         )
@@ -549,17 +568,17 @@ def _numbered(texts: DataFrame, id_type: str, codes: np.ndarray, similarity: flo
         for batch in batches:
             yield from _line_rows(batch.column("id"), batch.column("text"), codes, similarity)
 
-    rows = texts.mapInArrow(to_lines, f"id {id_type}, line int, size int, key bigint, signature bigint, prefix array<int>, often array<int>")
+    rows = texts.mapInArrow(to_lines, f"id {id_type}, line int, size int, key bigint, signature bigint, second bigint, prefix array<int>, often array<int>")
     # Equal lines are combined before they are shuffled.
     firsts = rows.groupBy("key", "signature").agg(
-        F.min(F.struct("id", "line", "size")).alias("f"), F.any_value("prefix").alias("prefix"), F.any_value("often").alias("often")
+        F.min(F.struct("id", "line", "size")).alias("f"), *[F.any_value(c).alias(c) for c in ("second", "prefix", "often")]
     )
-    firsts = firsts.select("f.id", "f.line", "f.size", "key", "signature", "prefix", "often")
+    firsts = firsts.select("f.id", "f.line", "f.size", "key", "signature", "second", "prefix", "often")
     return row_numbers(firsts, "id", "line", "key", "signature")
 
 
-def _listed(lines: DataFrame, only: np.ndarray | None = None) -> DataFrame:
-    """All lines under their prefix words (those of the filter ``only``), sorted by groups of these."""
+def _listed(lines: DataFrame, similarity: float, only: np.ndarray | None = None) -> DataFrame:
+    """All lines under their prefix words (where the filter ``only`` holds word and size class), sorted by groups of these."""
     asked = "open" in lines.columns
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -573,18 +592,18 @@ def _listed(lines: DataFrame, only: np.ndarray | None = None) -> DataFrame:
             before = np.where(place > 0, np.append(0, words[:-1])[: len(words)], 0).astype(np.int32)
             held = words != 0
             if only is not None:
-                held &= _is_set(only, _word_cells(words))
+                held &= _is_set(only, _cell(words, _size_class(batch.column("size").to_numpy(), similarity)[row]))
             row, place = row[held], place[held]
             shape = (batch.column("size").to_numpy().astype(np.int64)[row] << 32) | place
-            columns = [words[held], before[held], batch.column("n").to_numpy()[row], batch.column("signature").to_numpy()[row], shape]
-            names = ["word", "before", "n", "signature", "shape"]
+            columns = [words[held], before[held], *(batch.column(c).to_numpy()[row] for c in ("n", "signature", "second")), shape]
+            names = ["word", "before", "n", "signature", "second", "shape"]
             if asked:
                 columns.append(batch.column("open").to_numpy(zero_copy_only=False)[row])
                 names.append("open")
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
 
-    columns = "word int, before int, n bigint, signature bigint, shape bigint" + (", open boolean" if asked else "")
-    listed = lines.select("n", "size", "signature", "prefix", *(["open"] if asked else [])).mapInArrow(spread, columns)
+    columns = "word int, before int, n bigint, signature bigint, second bigint, shape bigint" + (", open boolean" if asked else "")
+    listed = lines.select("n", "size", "signature", "second", "prefix", *(["open"] if asked else [])).mapInArrow(spread, columns)
     # Only the words marked as common can have long lists.
     long_lists = (
         lines.select(F.explode("often").alias("word"))
@@ -600,11 +619,12 @@ def _listed(lines: DataFrame, only: np.ndarray | None = None) -> DataFrame:
         .withColumn("part", F.shiftleft(F.least("block", "other"), 32) + F.greatest("block", "other"))
         .select(*[c.split(" ")[0] for c in columns.split(", ")], "part")
     )
-    return dealt.repartition(*GROUP).sortWithinPartitions(*GROUP)
+    return dealt.repartition(*GROUP).sortWithinPartitions(*GROUP, "n")
 
 
-def _word_cells(words: np.ndarray) -> np.ndarray:
-    return words.astype(np.int64) & ((1 << FILTER_BITS) - 1)
+def _size_class(sizes: np.ndarray, similarity: float) -> np.ndarray:
+    """Lines that may be similar are of one class or of neighbouring ones."""
+    return np.floor(np.log(sizes) / -np.log(min(similarity, 0.99)) + 1e-6).astype(np.int64)
 
 
 def _fetched(texts: DataFrame, asked: DataFrame) -> DataFrame:
@@ -624,7 +644,7 @@ def _fetched(texts: DataFrame, asked: DataFrame) -> DataFrame:
             for mine, hashes, owner in lines.slices(chosen):
                 owner, word, _ = _distinct(hashes, owner)
                 sizes = np.bincount(owner, minlength=len(mine))
-                key, signature = _summed(word, np.cumsum(sizes) - sizes)
+                key, signature, _ = _summed(word, np.cumsum(sizes) - sizes)
                 key, signature = key.view(np.int64), signature.view(np.int64)
                 wanted = np.flatnonzero(_is_set(bits, _cell(of[mine], lines.number[mine], key)))
                 wanted = wanted[np.unique(key[wanted], return_index=True)[1]]  # rows with one id repeat lines
@@ -656,12 +676,15 @@ def _to_blocks(texts: DataFrame, lines: DataFrame, still: DataFrame, similarity:
     """Open lines and their candidates with their words, a group of rows for every pair of blocks of a bucket."""
 
     def cells(batch: pa.RecordBatch) -> np.ndarray:
-        words = batch.column("prefix").flatten().to_numpy()
-        return _word_cells(words[words != 0])
+        prefix = batch.column("prefix")
+        words = prefix.flatten().to_numpy()
+        own = np.repeat(_size_class(batch.column("size").to_numpy(), similarity), np.diff(prefix.offsets.to_numpy()))
+        words, own = words[words != 0], own[words != 0]
+        return np.concatenate([_cell(words, own + near) for near in (-1, 0, 1)])
 
-    only = _bits(lines.select("n", "prefix").join(still, "n", "left_semi").select("prefix"), cells)
+    only = _bits(lines.select("n", "size", "prefix").join(still, "n", "left_semi").select("size", "prefix"), cells)
     flagged = lines.join(still.select("n", F.lit(True).alias("open")), "n", "left").withColumn("open", F.coalesce("open", F.lit(False)))
-    near = stage(_listed(flagged, only).mapInArrow(_linked_to_open(similarity), "bucket bigint, n bigint, size int"), "near")
+    near = stage(_listed(flagged, similarity, only).mapInArrow(_linked_to_open(similarity), "bucket bigint, n bigint, size int"), "near")
     # Buckets that share lines are drawn together, so that few lines travel more than once.
     least = near.groupBy("n").agg(F.min("bucket").alias("least"))
     label = near.join(least, "n").groupBy("bucket").agg(F.min("least").alias("label"))

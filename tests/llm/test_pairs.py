@@ -278,3 +278,28 @@ def test_join_with_a_third_of_the_ids_null_stays_linear(spark):
     rows = [(None if i % 3 == 0 else i // 5, t) for i, t in enumerate(texts)]  # null ids, and ids that several rows share
     found = ngram_join.joined(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4))
     assert Counter(tuple(r) for r in found.collect()) == Counter(_classes(rows))
+
+
+def test_line_dedup_tries_further_candidates(spark, monkeypatch):
+    """Long lines that nearly match many others, and match one of them: the likeliest candidate alone does not decide."""
+    monkeypatch.setattr(line_dedup, "BLOCK_ROWS", 4)
+    monkeypatch.setattr(line_dedup, "HUB_ROWS", 2)
+    monkeypatch.setattr(line_dedup, "PIECE_ROWS", 8)
+    asked = []
+    whole_way = line_dedup._to_blocks
+    monkeypatch.setattr(line_dedup, "_to_blocks", lambda *a: asked.append(1) or whole_way(*a))
+    rng = random.Random(7)
+    base = [f"w{i}" for i in range(400)]
+    lines = []
+    for _ in range(30):  # 400 words of which 15 to 30 are new: similar at about 0.74 to 0.86
+        words = list(base)
+        for at in rng.sample(range(400), rng.randrange(15, 31)):
+            words[at] = f"v{rng.randrange(10**6)}"
+        lines.append(" ".join(words))
+    rows = [(None if i % 5 == 0 else i // 2, line) for i, line in enumerate(lines)]
+    rows = [(k, "\n".join(t for j, t in rows if j == k)) for k in dict.fromkeys(k for k, _ in rows)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    expected = _kept_lines(rows)
+    assert 0 < sum(len(v) for v in expected.values()) < 30
+    assert {r["id"]: r["kept"] for r in line_dedup.kept_lines(docs).collect()} == expected
+    assert asked
