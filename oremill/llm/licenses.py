@@ -2,8 +2,9 @@
 
 A text becomes a line of words (ASCII letters lower-cased, digits and everything
 beyond ASCII kept, all else a separator).  Three base phrases are found wherever
-their words stand consecutively.  Beside them run a few hundred signature rules, the
-product of hand-written license names and hand-written contexts.  A rule is tried
+their words stand consecutively.  Beside them run a few hundred signature rules: the
+product of hand-written license names and hand-written contexts, and sentences from
+license bodies and notices.  A rule is tried
 only where all its keywords are among the text's words; it searches the whole line.
 Every match of a rule contains its keywords (one of each ``a|b``), so none is lost.
 
@@ -120,6 +121,35 @@ SINGLE = (
     ("permission", "isc", 45, 0.9, r"permission to use copy modify and or distribute this software for any purpose"),
     ("redistribution", "bsd", 45, 0.9, r"redistribution and use in source and binary forms with or without modification"),
     ("unencumbered", "unlicense", 45, 0.95, r"free and unencumbered software released into the public domain"),
+    # Sentences from the bodies and notices of licenses.
+    ("anyone", "unlicense", 45, 0.9, r"anyone is free to copy modify publish use compile sell or distribute this software"),
+    ("noninfringement", "mit", 44, 0.8, r"without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement"),
+    ("portions", "mit", 45, 0.9, r"the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
+    ("organization", "bsl-1.0", 46, 0.95, r"permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license"),
+    ("retain", "bsd", 45, 0.9, r"redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"),
+    ("reproduce", "bsd", 45, 0.9, r"redistributions in binary form must reproduce the above copyright notice"),
+    ("endorse", "bsd-3-clause", 45, 0.95, r"neither the names? of (?:[^ ]+ ){1,12}nor the names of (?:its|their) contributors may be used to endorse or promote products derived from this software"),
+    ("advertising", "bsd-4-clause", 45, 0.95, r"all advertising materials mentioning features or use of this software must display the following acknowledge?ment"),
+    ("compliance", "apache-2.0", 45, 0.9, r"you may not use this file except in compliance with the license"),
+    ("unless", "apache-2.0", 45, 0.9, r"unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis"),
+    ("program", "gpl", 45, 0.97, r"this program is free software you can redistribute it and or modify it under the terms of the gnu general public license"),
+    ("hope", "gpl", 44, 0.8, r"distributed in the hope that it will be useful but without any warranty"),
+    ("verbatim", "gpl", 44, 0.8, r"everyone is permitted to copy and distribute verbatim copies of this license document but changing it is not allowed"),
+    ("library", "lgpl", 46, 0.97, r"this library is free software you can redistribute it and or modify it under the terms of the gnu (?:lesser|library) general public license"),
+    ("remotely", "agpl-3.0", 45, 0.9, r"if your software can interact with users remotely through a computer network"),
+    ("document", "gfdl", 46, 0.97, r"permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license"),
+    ("form", "mpl", 46, 0.97, r"this source code form is subject to the terms of the mozilla public license v(?:ersion)? 2 0"),
+    ("contents", "mpl", 46, 0.97, r"the contents of this file are subject to the mozilla public license version 1 [01]"),
+    ("accompanying", "epl", 46, 0.97, r"this program and the accompanying materials are made available under the terms of the eclipse public license"),
+    ("altered", "zlib", 45, 0.95, r"altered source versions must be plainly marked as such and must not be misrepresented as being the original software"),
+    ("origin", "zlib", 45, 0.9, r"the origin of this software must not be misrepresented"),
+    ("font", "ofl-1.1", 46, 0.97, r"this font software is licensed under the sil open font license(?: version 1 1)?"),
+    ("openssl", "openssl", 45, 0.9, r"this product includes software developed by the openssl project"),
+    ("indicate", "cc-by", 45, 0.8, r"you must give appropriate credit provide a link to the license and indicate if changes were made"),
+    ("contributions", "cc-by-sa", 45, 0.85, r"if you remix transform or build upon the material you must distribute your contributions under the same license as the original"),
+    ("modified", "cc-by-nd", 45, 0.85, r"if you remix transform or build upon the material you may not distribute the modified material"),
+    ("waived", "cc0-1.0", 45, 0.85, r"waived all copyright and related or neighboring rights"),
+    ("derivative", "proprietary", 40, 0.5, r"no part of this (?:work|document|software|publication) may be reproduced(?: [^ ]+){1,12} derivative works"),
 )
 
 #: Names that are ordinary words count as a license only within a context.
@@ -181,11 +211,26 @@ def _spans(line: bytes, pattern: re.Pattern[bytes]) -> Iterator[tuple[int, int]]
 
 
 def unsuppressed(found: list[Detection]) -> list[Detection]:
-    """Detections that lie within none of higher rank."""
+    """Detections that lie within none of higher rank.
+
+    The farthest end of the taken ones, by their starts, is kept in a tree of prefix
+    maxima, so that a text with ``n`` detections takes ``n log n`` steps.
+    """
+    place = {first: i for i, first in enumerate(sorted({d.first for d in found}), 1)}
+    farthest = [-1] * (len(place) + 1)
     taken: list[Detection] = []
     for d in sorted(set(found), key=lambda d: (-d.priority, d.first - d.last, d.first, d.label)):
-        if not any(t.first <= d.first and d.last <= t.last for t in taken):
-            taken.append(d)
+        at, end = place[d.first], -1
+        while at:
+            end = max(end, farthest[at])
+            at &= at - 1
+        if end >= d.last:
+            continue
+        taken.append(d)
+        at = place[d.first]
+        while at < len(farthest):
+            farthest[at] = max(farthest[at], d.last)
+            at += at & -at
     return taken
 
 

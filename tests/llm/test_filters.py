@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -146,7 +147,9 @@ def _drawn(rng, parsed):
         elif op == "BRANCH":
             out += _drawn(rng, rng.choice(value[1]))
         elif op == "MAX_REPEAT":
-            out += "".join(_drawn(rng, value[2]) for _ in range(rng.randint(value[0], value[1])))
+            out += "".join(_drawn(rng, value[2]) for _ in range(rng.randint(value[0], min(value[1], value[0] + 12))))
+        elif op == "NOT_LITERAL":
+            out += rng.choice("abx")
         else:
             assert op == "ASSERT", op
     return out
@@ -166,11 +169,22 @@ def test_license_gate_loses_no_match():
 
 def test_license_suppression_against_all_pairs():
     rng = random.Random(3)
-    found = [licenses.Detection(rng.choice("ab"), f, f + rng.randint(0, 6), rng.randint(0, 3), 0.5) for f in (rng.randint(0, 20) for _ in range(60))]
-    kept = licenses.unsuppressed(found)
-    rank = {d: i for i, d in enumerate(sorted(set(found), key=lambda d: (-d.priority, d.first - d.last, d.first, d.label)))}
     within = lambda d, t: t.first <= d.first and d.last <= t.last
-    assert set(kept) == {d for d in rank if not any(rank[t] < rank[d] and within(d, t) for t in rank)}
+    for most in (0, 1, 6, 20, 60, 200):
+        found = [licenses.Detection(rng.choice("ab"), f, f + rng.randint(0, 6), rng.randint(0, 3), 0.5) for f in (rng.randint(0, most) for _ in range(most))]
+        kept = licenses.unsuppressed(found)
+        rank = {d: i for i, d in enumerate(sorted(set(found), key=lambda d: (-d.priority, d.first - d.last, d.first, d.label)))}
+        assert set(kept) == {d for d in rank if not any(rank[t] < rank[d] and within(d, t) for t in rank)}
+
+
+def test_license_bodies_and_many_mentions():
+    labels = lambda t: {d.label for d in licenses.scan_text(t)[2]}
+    assert labels("Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software") == {"bsd-3-clause"}
+    assert labels("Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.") == {"zlib"}
+    assert labels("Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS,") == {"apache-2.0"}
+    start = time.monotonic()
+    n, _, found = licenses.scan_text("gpl text " * 200_000)
+    assert n == 400_000 and [d.first for d in found] == list(range(0, 400_000, 2)) and time.monotonic() - start < 30
 
 
 def _measures(text):
