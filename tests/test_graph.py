@@ -15,6 +15,7 @@ from oremill.operators.communities import (
     symmetric,
 )
 from oremill.operators.divisive import girvan_newman
+from oremill.operators.numbering import running_sums
 from oremill.operators.paths import edge_betweenness, shortest_paths, top_edges
 
 
@@ -208,6 +209,28 @@ def test_girvan_newman_full_run(spark, local_edges):
     assert sorted(sorted(g) for g in found.values()) == sorted(best[1])
 
 
+def test_girvan_newman_many_alike_components(spark):
+    shapes = ([(0, 1)], [(0, 1), (1, 2), (0, 2)], [(0, 1), (1, 2), (2, 3)], [(0, 1), (1, 2), (2, 3), (3, 0)], random_graph(6, n=7, m=9))
+    edges = [(f"c{k}{i:02d}{a}", f"c{k}{i:02d}{b}") for k, shape in enumerate(shapes) for i in range(5) for a, b in shape]
+    history, communities = girvan_newman(edge_frame(spark, edges))
+    left, expected, best = list(edges), [], None
+    names = {v for e in edges for v in e}
+    while left:
+        values = brute_betweenness(left)
+        top = round(max(values.values()), 9)
+        left = [e for e in left if round(values[e], 9) != top]
+        groups = brute_components(left, names)[1]
+        q = brute_modularity(edges, groups)
+        expected.append((len(expected) + 1, len(groups)))
+        if best is None or q > best[0] + 1e-12:
+            best = (q, groups)
+    assert [(r.cut, r.communities) for r in history.orderBy("cut").collect()] == expected
+    found = defaultdict(list)
+    for r in communities.collect():
+        found[r.label].append(r.id)
+    assert sorted(sorted(g) for g in found.values()) == sorted(best[1])
+
+
 def test_girvan_newman_without_edges(spark):
     history, communities = girvan_newman(edge_frame(spark, [("a", "a")]))
     assert history.count() == 0 and communities.count() == 0
@@ -222,3 +245,13 @@ def test_top_edges_ignore_last_digits(spark):
 def test_top_edges_tie_large_values(spark):
     df = spark.createDataFrame([("a", "b", 1e12), ("c", "d", 1e12 * (1 + 1e-13)), ("e", "f", 9e11)], "src string, dst string, betweenness double")
     assert {r.src for r in top_edges(df).collect()} == {"a", "c"}
+
+
+def test_running_sums(spark):
+    rng = random.Random(4)
+    rows = [(i, rng.randint(-5, 5) if i % 7 else None) for i in range(500)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "k int, x long").repartition(7)
+    got = {r.k: r.x for r in running_sums(df, ["x"], "k").collect()}
+    assert got == {k: sum(x or 0 for j, x in rows if j <= k) for k, _ in rows}
+    assert running_sums(df.limit(0), ["x"], "k").collect() == []
