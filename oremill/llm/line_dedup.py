@@ -27,6 +27,7 @@ such document, the first of all.  Null texts have no lines.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -60,7 +61,8 @@ HELD_WORDS = 1 << 21
 PIECE_ROWS = 1 << 17
 
 U = np.uint64
-GROUP = ("word", "part")
+#: Prefix rows are listed in so many rounds, each for its share of the words, which bounds the space they take.
+ROUNDS = 2
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -328,7 +330,12 @@ def _possible(size_a, place_a, size_b, place_b, apart, similarity: float) -> np.
 
 
 def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
-    """Columns of the sorted rows, ``PIECE_ROWS`` or more at a time, cut where a group ends."""
+    """Columns of rows sorted by group, ``PIECE_ROWS`` or more at a time, cut where a group ends; in a group by the lines' numbers."""
+
+    def in_order(rows: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        order = np.lexsort((rows["n"], rows["group"]))
+        return {c: v[order] for c, v in rows.items()}
+
     held: list[dict[str, np.ndarray]] = []
     size = 0
     for batch in batches:
@@ -339,16 +346,13 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]
         if size < PIECE_ROWS:
             continue
         now = {c: np.concatenate([h[c] for h in held]) for c in held[0]}
-        last = np.ones(size, bool)
-        for c in GROUP:
-            last &= now[c] == now[c][-1]
-        cut = size - int(last.sum())
+        cut = size - int((now["group"] == now["group"][-1]).sum())
         if cut:
-            yield {c: v[:cut] for c, v in now.items()}
+            yield in_order({c: v[:cut] for c, v in now.items()})
         held = [{c: v[cut:] for c, v in now.items()}]
         size -= cut
     if held:
-        yield {c: np.concatenate([h[c] for h in held]) for c in held[0]}
+        yield in_order({c: np.concatenate([h[c] for h in held]) for c in held[0]})
 
 
 def _apart(rows: dict[str, np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -361,9 +365,9 @@ def _passing(rows: dict[str, np.ndarray], similarity: float) -> Iterator[tuple[n
 
     The rows of a group are sorted by the lines' numbers, the later ones last.
     """
-    n = len(rows["word"])
+    n = len(rows["group"])
     new = np.ones(n, bool)
-    new[1:] = np.any([rows[c][1:] != rows[c][:-1] for c in GROUP], axis=0)
+    new[1:] = rows["group"][1:] != rows["group"][:-1]
     start = np.nonzero(new)[0]
     lengths = np.diff(np.append(start, n))
     end = np.repeat(start + lengths, lengths)
@@ -390,7 +394,7 @@ def _likeliest(similarity: float):
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _pieces(batches):
-            n = len(rows["word"])
+            n = len(rows["group"])
             best, other, seen = np.full(n, -1.0), np.zeros(n, np.int64), np.zeros(n, np.int64)
             size, number = rows["shape"] >> 32, rows["n"]
             for later, earlier in _passing(rows, similarity):
@@ -413,7 +417,7 @@ def _linked_to_open(similarity: float):
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _pieces(batches):
-            n = len(rows["word"])
+            n = len(rows["group"])
             root, met, number = np.arange(n), np.zeros(n, bool), rows["n"]
             for later, earlier in _passing(rows, similarity):
                 asked = rows["open"][later].astype(bool)
@@ -421,7 +425,7 @@ def _linked_to_open(similarity: float):
                 met[later] = met[earlier] = True
                 root = _joined(root, later, earlier)
             if met.any():
-                bucket = _mix(number[root].view(U) ^ _mix(rows["word"].astype(np.int64).view(U) ^ _mix(rows["part"].view(U) + U(1))))
+                bucket = _mix(number[root].view(U) ^ _mix(rows["group"].view(U) + U(1)))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(bucket[met].view(np.int64)), pa.array(number[met]), pa.array((rows["shape"][met] >> 32).astype(np.int32))],
                     ["bucket", "n", "size"],
@@ -542,15 +546,20 @@ def kept_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", similar
         totals, codes = counted(texts.select("id", "text"), id_type)
         lines = _numbered(texts.select("id", "text"), id_type, codes, similarity)
         del codes
-        named = _listed(lines, similarity).mapInArrow(_likeliest(similarity), "n bigint, x bigint, likeness double, many boolean")
-        named = named.groupBy("n").agg(
+        long_lists = _long_lists(lines)
+        rounds = [
+            stage(_listed(lines, long_lists, similarity, share).mapInArrow(_likeliest(similarity), "n bigint, x bigint, likeness double, many boolean"), "likeliest")
+            for share in range(ROUNDS)
+        ]
+        named = functools.reduce(DataFrame.union, rounds).groupBy("n").agg(
             F.max_by("x", "likeness").alias("x"), (F.max("many") | (F.min("x") != F.max("x"))).alias("many")
         )
         named = stage(named, "named")
+        unstage(*rounds)
         gone = stage(_to_heads(texts, lines, named).mapInArrow(_verified(similarity), "n bigint"), "similar")
         still, n_open = stage_counted(named.where("many").select("n").join(gone.distinct(), "n", "left_anti"), "open")
         if n_open:
-            more = stage(_to_blocks(texts, lines, still, similarity).mapInArrow(_matched(similarity), "n bigint"), "matched")
+            more = stage(_to_blocks(texts, lines, long_lists, still, similarity).mapInArrow(_matched(similarity), "n bigint"), "matched")
             gone = gone.union(more)
         firsts = lines.select("n", "id", "line").join(gone.distinct(), "n", "left_anti")
         kept = stage(firsts.groupBy(F.col("id").alias("kept_id")).agg(F.sort_array(F.collect_list("line")).alias("kept")), "kept")
@@ -577,8 +586,19 @@ def _numbered(texts: DataFrame, id_type: str, codes: np.ndarray, similarity: flo
     return row_numbers(firsts, "id", "line", "key", "signature")
 
 
-def _listed(lines: DataFrame, similarity: float, only: np.ndarray | None = None) -> DataFrame:
-    """All lines under their prefix words (where the filter ``only`` holds word and size class), sorted by groups of these."""
+def _long_lists(lines: DataFrame) -> DataFrame:
+    """``(word, blocks)`` of the words with more than one block of lines; only those marked as common can have them."""
+    counts = lines.select(F.explode("often").alias("word")).groupBy("word").agg(F.ceil(F.count(F.lit(1)) / LIST_ROWS).cast("int").alias("blocks"))
+    return stage(counts.where(F.col("blocks") > 1), "long-lists")
+
+
+def _listed(lines: DataFrame, long_lists: DataFrame, similarity: float, share: int | None = None, only: np.ndarray | None = None) -> DataFrame:
+    """Lines under their prefix words, sorted by groups of these.
+
+    ``share`` names the words of one round, and ``only`` is a filter that holds word and size
+    class.  A group is a word, or a hash of a word with a long list and two of its blocks:
+    where hashes meet, there are more candidates, never fewer.
+    """
     asked = "open" in lines.columns
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -591,6 +611,8 @@ def _listed(lines: DataFrame, similarity: float, only: np.ndarray | None = None)
             place = np.arange(len(words)) - np.repeat(ends[:-1] - ends[0], lengths)
             before = np.where(place > 0, np.append(0, words[:-1])[: len(words)], 0).astype(np.int32)
             held = words != 0
+            if share is not None:
+                held &= words % ROUNDS == share
             if only is not None:
                 held &= _is_set(only, _cell(words, _size_class(batch.column("size").to_numpy(), similarity)[row]))
             row, place = row[held], place[held]
@@ -604,22 +626,16 @@ def _listed(lines: DataFrame, similarity: float, only: np.ndarray | None = None)
 
     columns = "word int, before int, n bigint, signature bigint, second bigint, shape bigint" + (", open boolean" if asked else "")
     listed = lines.select("n", "size", "signature", "second", "prefix", *(["open"] if asked else [])).mapInArrow(spread, columns)
-    # Only the words marked as common can have long lists.
-    long_lists = (
-        lines.select(F.explode("often").alias("word"))
-        .groupBy("word")
-        .agg(F.ceil(F.count(F.lit(1)) / LIST_ROWS).cast("int").alias("blocks"))
-        .where(F.col("blocks") > 1)
-    )
     blocks = F.coalesce("blocks", F.lit(1))
+    part = F.xxhash64("word", F.least("block", "other"), F.greatest("block", "other"))
     dealt = (
-        listed.join(stage(long_lists, "long-lists"), "word", "left")
+        listed.join(long_lists, "word", "left")
         .withColumn("block", F.pmod(F.xxhash64("n"), blocks))
         .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        .withColumn("part", F.shiftleft(F.least("block", "other"), 32) + F.greatest("block", "other"))
-        .select(*[c.split(" ")[0] for c in columns.split(", ")], "part")
+        .withColumn("group", F.when(F.col("blocks").isNull(), F.col("word").cast("bigint")).otherwise(part))
+        .select("group", *[c.split(" ")[0] for c in columns.split(", ")[1:]])
     )
-    return dealt.repartition(*GROUP).sortWithinPartitions(*GROUP, "n")
+    return dealt.repartition("group").sortWithinPartitions("group")
 
 
 def _size_class(sizes: np.ndarray, similarity: float) -> np.ndarray:
@@ -632,12 +648,15 @@ def _fetched(texts: DataFrame, asked: DataFrame) -> DataFrame:
 
     def places(batch: pa.RecordBatch) -> np.ndarray:
         of, line, key = (batch.column(c).to_numpy() for c in ("of", "line", "key"))
-        return np.append(_cell(of, line), _cell(of, line, key))
+        return np.concatenate([_cell(of), _cell(of, line), _cell(of, line, key)])
 
     bits = _bits(asked.select("of", "line", "key"), places)
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            batch = batch.filter(pa.array(_is_set(bits, _cell(batch.column("of").to_numpy()))))
+            if not batch.num_rows:
+                continue
             lines = Lines(batch.column("text"))
             of = batch.column("of").to_numpy()[lines.text]
             chosen = np.flatnonzero(_is_set(bits, _cell(of, lines.number))) if len(of) else np.zeros(0, np.int64)
@@ -672,7 +691,7 @@ def _to_heads(texts: DataFrame, lines: DataFrame, named: DataFrame) -> DataFrame
     return held.repartition("x", "salt").sortWithinPartitions("x", "salt", F.desc("head"))
 
 
-def _to_blocks(texts: DataFrame, lines: DataFrame, still: DataFrame, similarity: float) -> DataFrame:
+def _to_blocks(texts: DataFrame, lines: DataFrame, long_lists: DataFrame, still: DataFrame, similarity: float) -> DataFrame:
     """Open lines and their candidates with their words, a group of rows for every pair of blocks of a bucket."""
 
     def cells(batch: pa.RecordBatch) -> np.ndarray:
@@ -684,7 +703,7 @@ def _to_blocks(texts: DataFrame, lines: DataFrame, still: DataFrame, similarity:
 
     only = _bits(lines.select("n", "size", "prefix").join(still, "n", "left_semi").select("size", "prefix"), cells)
     flagged = lines.join(still.select("n", F.lit(True).alias("open")), "n", "left").withColumn("open", F.coalesce("open", F.lit(False)))
-    near = stage(_listed(flagged, similarity, only).mapInArrow(_linked_to_open(similarity), "bucket bigint, n bigint, size int"), "near")
+    near = stage(_listed(flagged, long_lists, similarity, only=only).mapInArrow(_linked_to_open(similarity), "bucket bigint, n bigint, size int"), "near")
     # Buckets that share lines are drawn together, so that few lines travel more than once.
     least = near.groupBy("n").agg(F.min("bucket").alias("least"))
     label = near.join(least, "n").groupBy("bucket").agg(F.min("least").alias("label"))
