@@ -1,5 +1,6 @@
 import random
 from collections import Counter
+from datetime import date
 from itertools import combinations
 
 import pytest
@@ -14,6 +15,7 @@ from oremill.operators.itemsets import (
     son_candidates,
     son_itemsets,
 )
+from oremill.queries import _retail_text
 from oremill.sources import readers
 
 def brute(baskets, support, most=99):
@@ -159,3 +161,31 @@ def test_broken_retail_lines_are_listed_with_reasons(spark, tmp_path):
     reasons = ["product", "columns", "columns", "key", "key", "product"]
     assert sorted(r for r, _ in rejects) == sorted(reasons)
     assert {text for reason, text in rejects if reason == "columns"} == {lines[3], lines[4]}
+
+
+@pytest.mark.parametrize("broken", [False, True])
+def test_retail_files_follow_the_partitions(spark, tmp_path, broken):
+    orders = [(k, date(2020, 1, 1 + k % 28), k % 7 if k % 11 else None) for k in range(300)]
+    lines = [(k, 1000 + k if k % 13 else None, n) for k in range(300) for n in (1, 2)]
+    spark.createDataFrame(orders, "o_orderkey long, o_orderdate date, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_linenumber int").write.parquet(f"{tmp_path}/lineitem.parquet")
+    settings = {"adaptive.enabled": "false", "shuffle.partitions": "9", "autoBroadcastJoinThreshold": "-1"}
+    before = {name: spark.conf.get(f"spark.sql.{name}") for name in settings}
+    try:
+        for name, value in settings.items():
+            spark.conf.set(f"spark.sql.{name}", value)
+        path = _retail_text(spark, str(tmp_path), broken)
+        written = spark.read.text(path).select("_metadata.file_path", "value").collect()
+    finally:
+        for name, value in before.items():
+            spark.conf.set(f"spark.sql.{name}", value)
+    files = {r.file_path for r in written}
+    header = "date,customer,c2,c3,c4,product"
+    assert len(files) == 9 and sum(r.value == header for r in written) == 9
+    assert len(written) - 9 == sum(part is not None for _, part, _ in lines) + (sum(k % 83 == 0 and part is None for k, part, _ in lines) if broken else 0)
+    if not broken:
+        got = {(r.key, r.item) for r in readers.read_retail_csv(spark, path).collect()}
+        by_key = {k: (d, c) for k, d, c in orders}
+        assert got >= {
+            (f"{by_key[k][0]:%m/%d/%Y}-{by_key[k][1]}", str(part)) for k, part, _ in lines if part is not None and by_key[k][1] is not None
+        }
