@@ -16,7 +16,7 @@ from oremill.operators.communities import (
 )
 from oremill.operators.divisive import girvan_newman
 from oremill.operators.numbering import running_sums
-from oremill.operators.paths import edge_betweenness, shortest_paths, top_edges
+from oremill.operators.paths import _Graph, _levels, edge_betweenness, shortest_paths, top_edges
 
 
 def edge_frame(spark, edges):
@@ -155,6 +155,19 @@ def test_betweenness_in_root_batches(spark):
     assert values == pytest.approx(brute_betweenness(edges))
 
 
+def test_dense_graph_takes_a_row_for_each_pair_of_blocks(spark):
+    n = 300  # two blocks; all edges but one, so that one pair is two steps apart
+    ids = spark.range(n).select(F.col("id").alias("src"))
+    edges = ids.join(ids.select(F.col("src").alias("dst")), F.expr("src < dst AND NOT (src = 3 AND dst = 290)"))
+    graph = _Graph(symmetric(edges))
+    assert graph.edges.count() == 4
+    assert [level.count() for level in _levels(graph, graph.start(None))] == [2, 4, 2]
+    ends = F.count_if(F.expr("src IN (3, 290) OR dst IN (3, 290)"))
+    values = {(round(r.b, 9), r.n, r.ends) for r in edge_betweenness(edges).groupBy(F.round("betweenness", 9).alias("b")).agg(F.count("*").alias("n"), ends.alias("ends")).collect()}
+    touching = 2 * (n - 2)
+    assert values == {(1.0, n * (n - 1) // 2 - 1 - touching, 0), (round(1 + 1 / (n - 2), 9), touching, touching)}
+
+
 def test_components_of_chain_and_isolated(spark):
     chain = [(f"c{i:02d}", f"c{i + 1:02d}") for i in range(14)]
     edges = chain + random_graph(4, n=12, m=7)
