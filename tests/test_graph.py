@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from oremill.operators.communities import (
+    _pair_counts,
     adjacency,
     community_listing,
     connected_components,
@@ -126,6 +127,46 @@ def test_cooccurrence_counts_every_pair(spark, threshold, popular):
     assert got == expected
 
 
+def test_pairs_of_large_baskets_are_counted_in_several_places(spark):
+    rng = random.Random(3)
+    baskets = {f"k{k:02d}": {f"i{int(14 * rng.random() ** 2):02d}" for _ in range(2 + k)} for k in range(12)}
+    rows = spark.createDataFrame([(k, i) for k, b in baskets.items() for i in b], "key string, item string")
+    expected = {(a, b): len(baskets[a] & baskets[b]) for a in baskets for b in baskets if a < b and baskets[a] & baskets[b]}
+    for hub in (3, 1_000):
+        assert {(r.src, r.dst): r.shared for r in _pair_counts(rows, hub).collect()} == expected
+
+
+def _most_rows(spark, df, metric: str) -> int:
+    """The largest value of a row count among the steps of the plan."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        df.collect()
+        todo, most = [df._jdf.queryExecution().executedPlan()], 0
+        while todo:
+            node = todo.pop()
+            rows = node.metrics().get(metric)
+            most = max(most, rows.get().value()) if rows.isDefined() else most
+            todo += [node.children().apply(i) for i in range(node.children().size())]
+        return most
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_pairs_are_counted_without_a_row_a_pair(spark):
+    rows = spark.range(40).crossJoin(spark.range(6).toDF("item")).selectExpr("id as key", "item").localCheckpoint()
+    counts = _pair_counts(rows)
+    assert 0 < _most_rows(spark, counts, "shuffleRecordsWritten") <= 40 * 6
+    assert counts.count() == 40 * 39 // 2 and counts.where("shared <> 6").count() == 0
+
+
+def test_first_round_of_labels_groups_vertices_alone(spark):
+    edges = [(a, b) for a in range(40) for b in range(a)]
+    labels = label_propagation(spark.createDataFrame(edges, "src int, dst int"), 1)
+    # A vote a neighbour would be 40 * 39 groups.
+    assert 0 < _most_rows(spark, labels, "numOutputRows") <= 2 * 40
+    assert {r.id: r.label for r in labels.collect()} == {v: 0 if v else 1 for v in range(40)}
+
+
 def test_cooccurrence_rejects_zero(spark):
     with pytest.raises(ValueError):
         cooccurrence_graph(spark.createDataFrame([("a", "b")], "key string, item string"), 0)
