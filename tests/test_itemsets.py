@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from oremill.operators.baskets import basket_rows, basket_sets, item_support, longer_than, scaled_support
 from oremill.operators.itemsets import (
+    MASK_BITS,
+    _tails,
     count_itemsets,
     frequent_itemsets,
     local_thresholds,
@@ -189,3 +191,21 @@ def test_retail_files_follow_the_partitions(spark, tmp_path, broken):
         assert got >= {
             (f"{by_key[k][0]:%m/%d/%Y}-{by_key[k][1]}", str(part)) for k, part, _ in lines if part is not None and by_key[k][1] is not None
         }
+
+
+@pytest.mark.parametrize("n_codes", [MASK_BITS, MASK_BITS + 1])
+def test_equal_baskets_are_merged_whether_codes_fit_in_a_long_or_not(spark, n_codes):
+    rows = [(p, k, c) for p in (0, 1) for k, codes in enumerate([(0, 5, 61), (61, 5, 0), (3,), (60, 61)]) for c in codes]
+    tails = _tails(spark.createDataFrame(rows, "part int, key int, code bigint"), n_codes)
+    expected = {(p, codes, n) for p in (0, 1) for codes, n in (((0, 5, 61), 2), ((60, 61), 1))}
+    assert {(r.part, tuple(r.tail), r.weight) for r in tails.collect()} == expected
+    if n_codes <= MASK_BITS:  # lists are neither built nor sorted for each basket
+        assert "collect_list" not in tails._jdf.queryExecution().toString()
+
+
+@pytest.mark.parametrize("vocabulary", [MASK_BITS, MASK_BITS + 8])
+def test_itemsets_of_many_items(spark, vocabulary):
+    rng = random.Random(vocabulary)
+    baskets = {k: {f"i{v:02d}" for v in rng.sample(range(vocabulary), 5)} for k in range(200)}
+    got = {tuple(r.itemset): r.support for r in frequent_itemsets(as_rows(spark, baskets), 3).collect()}
+    assert got == brute(baskets, 3)
