@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from oremill.llm.ngram_join import _linked
 from oremill.llm.repeats import Words, word_hashes
-from oremill.llm.text import WORD, shuffles_dropped, whole
+from oremill.llm.text import WORD, batches_of, shuffles_dropped, whole
 from oremill.operators.numbering import row_numbers
 from oremill.plans.staging import stage, stage_counted, unstage
 
@@ -53,6 +53,8 @@ LIST_ROWS = 4096
 HUB_ROWS = 4096
 BLOCK_ROWS = 1024
 BLOCK_WORDS = 1 << 20
+#: Text that a task takes up at once; the places of its words take ten times that.
+BATCH_BYTES = "2m"
 #: Words that a task takes up at once (arrays that stay in the cache); a line's number among them fits 20 bits.
 SLICE_WORDS = 1 << 17
 #: Words whose cells a task holds before it gives back their counts.
@@ -542,7 +544,7 @@ def kept_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", similar
     # Lines end with a blank for ``Words``; the hash of the id finds a line again, whatever the id's type.
     texts = docs.select(F.col(key).alias("id"), F.xxhash64(F.col(key)).alias("of"), F.concat(whole(F.col(text)), F.lit(" ")).alias("text"))
     id_type = texts.schema["id"].dataType.simpleString()
-    with shuffles_dropped(docs.sparkSession):
+    with shuffles_dropped(docs.sparkSession), batches_of(docs.sparkSession, BATCH_BYTES):
         totals, codes = counted(texts.select("id", "text"), id_type)
         lines = _numbered(texts.select("id", "text"), id_type, codes, similarity)
         del codes

@@ -135,7 +135,7 @@ def _linked(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, similar
     order = np.argsort(column, kind="stable")
     owner, column = owner[order], column[order]
     both = np.zeros((len(left), len(right)), np.float32)
-    width = 4096
+    width = 1024  # 8 MB for two blocks of 1,024 sets, and as much for their halves
     total = int(column[-1]) + 1 if len(column) else 0
     for at in range(0, total, width):
         lo, hi = np.searchsorted(column, (at, at + width))

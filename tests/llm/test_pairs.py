@@ -303,3 +303,13 @@ def test_line_dedup_tries_further_candidates(spark, monkeypatch):
     assert 0 < sum(len(v) for v in expected.values()) < 30
     assert {r["id"]: r["kept"] for r in line_dedup.kept_lines(docs).collect()} == expected
     assert asked
+
+
+def test_line_dedup_hands_small_batches_to_python(spark, monkeypatch):
+    name, seen, counted = "spark.sql.execution.arrow.maxBytesPerBatch", [], line_dedup.counted
+    monkeypatch.setattr(line_dedup, "counted", lambda *args: seen.append(spark.conf.get(name)) or counted(*args))
+    before = spark.conf.get(name)
+    docs = spark.createDataFrame([(1, "a b c\nd e f"), (2, "a b c\ng h i")], "doc_id long, text string")
+    kept = {r.id: r.kept for r in line_dedup.kept_lines(docs).collect()}
+    assert kept == {1: [0, 1], 2: [1]}
+    assert seen == ["2m"] and spark.conf.get(name) == before
