@@ -159,6 +159,15 @@ def test_pairs_are_counted_without_a_row_a_pair(spark):
     assert counts.count() == 40 * 39 // 2 and counts.where("shared <> 6").count() == 0
 
 
+def test_edges_without_hubs_are_not_moved(spark):
+    edges = symmetric(spark.createDataFrame([(a, b) for a in range(9) for b in range(a)], "src int, dst int")).localCheckpoint()
+    for hub, moved in ((8, False), (3, True)):
+        adjacent = adjacency(edges, hub)
+        assert ("Join" in adjacent._jdf.queryExecution().optimizedPlan().toString()) == moved
+        expected = {(a, b, -(-8 // hub)) for a in range(9) for b in range(9) if a != b}
+        assert {(r.src, r.dst, r.dst_salts) for r in adjacent.collect()} == expected
+
+
 def test_first_round_of_labels_groups_vertices_alone(spark):
     edges = [(a, b) for a in range(40) for b in range(a)]
     labels = label_propagation(spark.createDataFrame(edges, "src int, dst int"), 1)
