@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from oremill.llm.text import WORD, whole, words
+from oremill.llm.text import WORD, tidy, whole, words
 from oremill.operators.communities import connected_components
 from oremill.plans.staging import stage
 
@@ -93,6 +93,7 @@ def sketched(text: Column, n: int, bands: int, rows: int, with_set: bool = False
     fields = "key:binary,grams:int,bands:array<bigint>" + ",set:binary" * with_set
 
     @F.arrow_udf(f"struct<{fields}>")
+    @tidy
     def sketch(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         permutations = _permutations(bands * rows)
         for batch in batches:
@@ -278,7 +279,7 @@ def _classified(
         "set",
     )
     grouped = pairs.repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high")
-    found = stage(grouped.mapInArrow(_verify(similarity), "key binary, root binary, links bigint"), "links")
+    found = stage(grouped.mapInArrow(tidy(_verify(similarity)), "key binary, root binary, links bigint"), "links")
     links = found.groupBy("key").agg(F.sum("links").alias("links"))
     edges = found.where(F.col("key") != F.col("root")).select(F.col("key").alias("src"), F.col("root").alias("dst"))
     parts = stage(connected_components(edges).withColumnRenamed("id", "key"), "parts")

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from oremill.llm.text import WORD, sliced, whole
+from oremill.llm.text import WORD, sliced, tidy, whole
 
 BUCKETS = 1 << 18
 TRAIN_ROWS = 5_000
@@ -121,6 +121,7 @@ def vote_pattern(text: Column) -> Column:
     """The votes of all labellers as a string of ``+``, ``-`` and ``.``; empty for a text without words."""
 
     @F.arrow_udf("string")
+    @tidy
     def pattern(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
             found = (measured(t.as_py())[0] for t in batch)
@@ -218,6 +219,7 @@ def scored(text: Column, weights: np.ndarray | None) -> Column:
     own = len(Measures._fields)
 
     @F.arrow_udf("double")
+    @tidy
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
             out = []

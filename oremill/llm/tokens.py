@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from oremill.llm.text import sliced
+from oremill.llm.text import sliced, tidy
 
 MARKER = "▁"
 CHUNK = re.compile(f"[ {MARKER}]*[^ {MARKER}]+|[ {MARKER}]+")
@@ -120,6 +120,7 @@ def round_trip(docs: DataFrame, model: str, text: str = "text", ids: str = "ids"
     """``docs`` with the ids of the texts and what they decode to, by one Python worker a task."""
 
     @F.arrow_udf("struct<ids:array<int>,decoded:string>")
+    @tidy
     def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         table = ChunkTable(model)
         for batch in batches:

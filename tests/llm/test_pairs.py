@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from oremill.llm import line_dedup, mixing, neighbours, ngram_join, tokens
+from oremill.llm.text import own_bytes, tidy
 
 MODEL = str(public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -313,3 +314,23 @@ def test_line_dedup_hands_small_batches_to_python(spark, monkeypatch):
     kept = {r.id: r.kept for r in line_dedup.kept_lines(docs).collect()}
     assert kept == {1: [0, 1], 2: [1]}
     assert seen == ["2m"] and spark.conf.get(name) == before
+
+
+def test_workers_give_freed_memory_back():
+    def held(batches):
+        for n in batches:
+            pieces = [np.ones(8_000) for _ in range(n)]  # 64 KB each, too small for maps of their own
+            tail.append(pieces[-1])  # holds the heap up behind what is freed
+            yield own_bytes()
+
+    tail = []
+    before = own_bytes()
+    (most,) = tidy(held)(iter([6_000]))
+    assert most > before + 300_000_000 and own_bytes() < before + 150_000_000
+
+
+def test_pipeline_hands_small_batches_to_python(spark):
+    docs = spark.createDataFrame([(1, "web", "a b c")], "doc_id bigint, source string, text string")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+    corpus_pipeline.STAGES[3][1](spark, docs, "")
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "2m"
