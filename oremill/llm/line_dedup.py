@@ -27,7 +27,6 @@ such document, the first of all.  Null texts have no lines.
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -37,7 +36,7 @@ from pyspark.sql import functions as F
 
 from oremill.llm.ngram_join import _linked
 from oremill.llm.repeats import Words, word_hashes
-from oremill.llm.text import WORD, batches_of, shuffles_dropped, whole
+from oremill.llm.text import WORD, batches_of, shuffles_dropped, tidy, whole
 from oremill.operators.numbering import row_numbers
 from oremill.plans.staging import stage, stage_counted, unstage
 
@@ -56,15 +55,13 @@ BLOCK_WORDS = 1 << 20
 #: Text that a task takes up at once; the places of its words take ten times that.
 BATCH_BYTES = "2m"
 #: Words that a task takes up at once (arrays that stay in the cache); a line's number among them fits 20 bits.
-SLICE_WORDS = 1 << 17
+SLICE_WORDS = 1 << 15
 #: Words whose cells a task holds before it gives back their counts.
 HELD_WORDS = 1 << 21
 #: Listed rows that a task compares at once, groups whole.
 PIECE_ROWS = 1 << 17
 
 U = np.uint64
-#: Prefix rows are listed in so many rounds, each for its share of the words, which bounds the space they take.
-ROUNDS = 2
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -172,7 +169,7 @@ def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _gathered(rows: DataFrame, bits: int) -> np.ndarray:
     """Codes of all cells, from ``(block, cells, counts)``."""
-    sums = rows.repartition("block").sortWithinPartitions("block").mapInArrow(_added, "block int, codes binary")
+    sums = rows.repartition("block").sortWithinPartitions("block").mapInArrow(tidy(_added), "block int, codes binary")
     codes = np.zeros(1 << bits, np.uint8)
     for row in sums.collect():
         at = row["block"] << BLOCK_BITS
@@ -206,9 +203,9 @@ def _bits(df: DataFrame, cells_of: Callable[[pa.RecordBatch], np.ndarray]) -> np
             bits = np.packbits(seen, bitorder="little").tobytes()
             yield pa.RecordBatch.from_arrays([pa.array(group["block"][:1].to_pylist(), pa.int32()), pa.array([bits], pa.binary())], ["block", "bits"])
 
-    rows = df.mapInArrow(cells, "block int, cells binary").repartition("block").sortWithinPartitions("block")
+    rows = df.mapInArrow(tidy(cells), "block int, cells binary").repartition("block").sortWithinPartitions("block")
     bits = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
-    for row in rows.mapInArrow(packed, "block int, bits binary").collect():
+    for row in rows.mapInArrow(tidy(packed), "block int, bits binary").collect():
         bits[row["block"] * width : (row["block"] + 1) * width] = np.frombuffer(row["bits"], np.uint8)
     return bits
 
@@ -257,7 +254,7 @@ def counted(texts: DataFrame, id_type: str) -> tuple[DataFrame, np.ndarray]:
         n = blocked.num_rows
         return pa.RecordBatch.from_arrays([pa.nulls(n, kind), pa.nulls(n, pa.int64()), *blocked.columns], ["id", "n_lines", "block", "cells", "counts"])
 
-    both = stage(texts.mapInArrow(count, f"id {id_type}, n_lines bigint, block int, cells binary, counts binary"), "counted")
+    both = stage(texts.mapInArrow(tidy(count), f"id {id_type}, n_lines bigint, block int, cells binary, counts binary"), "counted")
     codes = _gathered(both.where(F.col("block").isNotNull()).select("block", "cells", "counts"), CELL_BITS)
     return both.where(F.col("n_lines").isNotNull()).select("id", "n_lines"), codes
 
@@ -362,8 +359,8 @@ def _apart(rows: dict[str, np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndar
     return sum(np.bitwise_count((rows[c][a] ^ rows[c][b]).view(U)).astype(np.int64) for c in ("signature", "second"))
 
 
-def _passing(rows: dict[str, np.ndarray], similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Candidate pairs ``(later, earlier)`` within the groups, by their distance there: at one distance no row is twice the later one.
+def _passing(rows: dict[str, np.ndarray], similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Candidate pairs within the groups, by their distance there, as ``(later, earlier, apart)``: at one distance no row is twice the later one.
 
     The rows of a group are sorted by the lines' numbers, the later ones last.
     """
@@ -385,9 +382,10 @@ def _passing(rows: dict[str, np.ndarray], similarity: float) -> Iterator[tuple[n
         fits &= (before[live] != before[live + step]) | (before[live] == 0)
         a = live[fits]
         b = a + step
-        ok = _possible(size[a], place[a], size[b], place[b], _apart(rows, a, b), similarity) & (number[a] != number[b])
+        apart = _apart(rows, a, b)
+        ok = _possible(size[a], place[a], size[b], place[b], apart, similarity) & (number[a] != number[b])
         if ok.any():
-            yield b[ok], a[ok]
+            yield b[ok], a[ok], apart[ok]
         step += 1
 
 
@@ -399,8 +397,8 @@ def _likeliest(similarity: float):
             n = len(rows["group"])
             best, other, seen = np.full(n, -1.0), np.zeros(n, np.int64), np.zeros(n, np.int64)
             size, number = rows["shape"] >> 32, rows["n"]
-            for later, earlier in _passing(rows, similarity):
-                both, apart = size[later] + size[earlier], _apart(rows, later, earlier)
+            for later, earlier, apart in _passing(rows, similarity):
+                both = size[later] + size[earlier]
                 like = (both - apart) / (both + apart)
                 seen[later] += 1
                 better = (like > best[later]) | ((like == best[later]) & (number[earlier] < other[later]))
@@ -421,7 +419,7 @@ def _linked_to_open(similarity: float):
         for rows in _pieces(batches):
             n = len(rows["group"])
             root, met, number = np.arange(n), np.zeros(n, bool), rows["n"]
-            for later, earlier in _passing(rows, similarity):
+            for later, earlier, _ in _passing(rows, similarity):
                 asked = rows["open"][later].astype(bool)
                 later, earlier = later[asked], earlier[asked]
                 met[later] = met[earlier] = True
@@ -549,19 +547,15 @@ def kept_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", similar
         lines = _numbered(texts.select("id", "text"), id_type, codes, similarity)
         del codes
         long_lists = _long_lists(lines)
-        rounds = [
-            stage(_listed(lines, long_lists, similarity, share).mapInArrow(_likeliest(similarity), "n bigint, x bigint, likeness double, many boolean"), "likeliest")
-            for share in range(ROUNDS)
-        ]
-        named = functools.reduce(DataFrame.union, rounds).groupBy("n").agg(
-            F.max_by("x", "likeness").alias("x"), (F.max("many") | (F.min("x") != F.max("x"))).alias("many")
-        )
+        found = _listed(lines, long_lists, similarity).mapInArrow(tidy(_likeliest(similarity)), "n bigint, x bigint, likeness double, many boolean")
+        found = stage(found, "likeliest")
+        named = found.groupBy("n").agg(F.max_by("x", "likeness").alias("x"), (F.max("many") | (F.min("x") != F.max("x"))).alias("many"))
         named = stage(named, "named")
-        unstage(*rounds)
-        gone = stage(_to_heads(texts, lines, named).mapInArrow(_verified(similarity), "n bigint"), "similar")
+        unstage(found)
+        gone = stage(_to_heads(texts, lines, named).mapInArrow(tidy(_verified(similarity)), "n bigint"), "similar")
         still, n_open = stage_counted(named.where("many").select("n").join(gone.distinct(), "n", "left_anti"), "open")
         if n_open:
-            more = stage(_to_blocks(texts, lines, long_lists, still, similarity).mapInArrow(_matched(similarity), "n bigint"), "matched")
+            more = stage(_to_blocks(texts, lines, long_lists, still, similarity).mapInArrow(tidy(_matched(similarity)), "n bigint"), "matched")
             gone = gone.union(more)
         firsts = lines.select("n", "id", "line").join(gone.distinct(), "n", "left_anti")
         kept = stage(firsts.groupBy(F.col("id").alias("kept_id")).agg(F.sort_array(F.collect_list("line")).alias("kept")), "kept")
@@ -579,7 +573,7 @@ def _numbered(texts: DataFrame, id_type: str, codes: np.ndarray, similarity: flo
         for batch in batches:
             yield from _line_rows(batch.column("id"), batch.column("text"), codes, similarity)
 
-    rows = texts.mapInArrow(to_lines, f"id {id_type}, line int, size int, key bigint, signature bigint, second bigint, prefix array<int>, often array<int>")
+    rows = texts.mapInArrow(tidy(to_lines), f"id {id_type}, line int, size int, key bigint, signature bigint, second bigint, prefix array<int>, often array<int>")
     # Equal lines are combined before they are shuffled.
     firsts = rows.groupBy("key", "signature").agg(
         F.min(F.struct("id", "line", "size")).alias("f"), *[F.any_value(c).alias(c) for c in ("second", "prefix", "often")]
@@ -588,18 +582,19 @@ def _numbered(texts: DataFrame, id_type: str, codes: np.ndarray, similarity: flo
     return row_numbers(firsts, "id", "line", "key", "signature")
 
 
-def _long_lists(lines: DataFrame) -> DataFrame:
-    """``(word, blocks)`` of the words with more than one block of lines; only those marked as common can have them."""
+def _long_lists(lines: DataFrame) -> DataFrame | None:
+    """``(word, blocks)`` of the words with more than one block of lines, None without such; only those marked as common can have them."""
     counts = lines.select(F.explode("often").alias("word")).groupBy("word").agg(F.ceil(F.count(F.lit(1)) / LIST_ROWS).cast("int").alias("blocks"))
-    return stage(counts.where(F.col("blocks") > 1), "long-lists")
+    found, n = stage_counted(counts.where(F.col("blocks") > 1), "long-lists")
+    return found if n else None
 
 
-def _listed(lines: DataFrame, long_lists: DataFrame, similarity: float, share: int | None = None, only: np.ndarray | None = None) -> DataFrame:
+def _listed(lines: DataFrame, long_lists: DataFrame | None, similarity: float, only: np.ndarray | None = None) -> DataFrame:
     """Lines under their prefix words, sorted by groups of these.
 
-    ``share`` names the words of one round, and ``only`` is a filter that holds word and size
-    class.  A group is a word, or a hash of a word with a long list and two of its blocks:
-    where hashes meet, there are more candidates, never fewer.
+    ``only`` is a filter that holds word and size class.  A group is a word, or a hash of a
+    word with a long list and two of its blocks: where hashes meet, there are more
+    candidates, never fewer.
     """
     asked = "open" in lines.columns
 
@@ -613,8 +608,6 @@ def _listed(lines: DataFrame, long_lists: DataFrame, similarity: float, share: i
             place = np.arange(len(words)) - np.repeat(ends[:-1] - ends[0], lengths)
             before = np.where(place > 0, np.append(0, words[:-1])[: len(words)], 0).astype(np.int32)
             held = words != 0
-            if share is not None:
-                held &= words % ROUNDS == share
             if only is not None:
                 held &= _is_set(only, _cell(words, _size_class(batch.column("size").to_numpy(), similarity)[row]))
             row, place = row[held], place[held]
@@ -627,7 +620,10 @@ def _listed(lines: DataFrame, long_lists: DataFrame, similarity: float, share: i
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
 
     columns = "word int, before int, n bigint, signature bigint, second bigint, shape bigint" + (", open boolean" if asked else "")
-    listed = lines.select("n", "size", "signature", "second", "prefix", *(["open"] if asked else [])).mapInArrow(spread, columns)
+    listed = lines.select("n", "size", "signature", "second", "prefix", *(["open"] if asked else [])).mapInArrow(tidy(spread), columns)
+    names = [c.split(" ")[0] for c in columns.split(", ")[1:]]
+    if long_lists is None:
+        return listed.select(F.col("word").cast("bigint").alias("group"), *names).repartition("group").sortWithinPartitions("group")
     blocks = F.coalesce("blocks", F.lit(1))
     part = F.xxhash64("word", F.least("block", "other"), F.greatest("block", "other"))
     dealt = (
@@ -635,7 +631,7 @@ def _listed(lines: DataFrame, long_lists: DataFrame, similarity: float, share: i
         .withColumn("block", F.pmod(F.xxhash64("n"), blocks))
         .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
         .withColumn("group", F.when(F.col("blocks").isNull(), F.col("word").cast("bigint")).otherwise(part))
-        .select("group", *[c.split(" ")[0] for c in columns.split(", ")[1:]])
+        .select("group", *names)
     )
     return dealt.repartition("group").sortWithinPartitions("group")
 
@@ -674,7 +670,7 @@ def _fetched(texts: DataFrame, asked: DataFrame) -> DataFrame:
                         [pa.array(key[wanted]), pa.array(signature[wanted]), lines.string(mine[wanted])], ["key", "signature", "text"]
                     )
 
-    return texts.select("of", "text").mapInArrow(fetch, "key bigint, signature bigint, text string")
+    return texts.select("of", "text").mapInArrow(tidy(fetch), "key bigint, signature bigint, text string")
 
 
 def _with_words(texts: DataFrame, lines: DataFrame, asked: DataFrame, label: str) -> DataFrame:
@@ -693,7 +689,7 @@ def _to_heads(texts: DataFrame, lines: DataFrame, named: DataFrame) -> DataFrame
     return held.repartition("x", "salt").sortWithinPartitions("x", "salt", F.desc("head"))
 
 
-def _to_blocks(texts: DataFrame, lines: DataFrame, long_lists: DataFrame, still: DataFrame, similarity: float) -> DataFrame:
+def _to_blocks(texts: DataFrame, lines: DataFrame, long_lists: DataFrame | None, still: DataFrame, similarity: float) -> DataFrame:
     """Open lines and their candidates with their words, a group of rows for every pair of blocks of a bucket."""
 
     def cells(batch: pa.RecordBatch) -> np.ndarray:
@@ -705,7 +701,7 @@ def _to_blocks(texts: DataFrame, lines: DataFrame, long_lists: DataFrame, still:
 
     only = _bits(lines.select("n", "size", "prefix").join(still, "n", "left_semi").select("size", "prefix"), cells)
     flagged = lines.join(still.select("n", F.lit(True).alias("open")), "n", "left").withColumn("open", F.coalesce("open", F.lit(False)))
-    near = stage(_listed(flagged, long_lists, similarity, only=only).mapInArrow(_linked_to_open(similarity), "bucket bigint, n bigint, size int"), "near")
+    near = stage(_listed(flagged, long_lists, similarity, only=only).mapInArrow(tidy(_linked_to_open(similarity)), "bucket bigint, n bigint, size int"), "near")
     # Buckets that share lines are drawn together, so that few lines travel more than once.
     least = near.groupBy("n").agg(F.min("bucket").alias("least"))
     label = near.join(least, "n").groupBy("bucket").agg(F.min("least").alias("label"))

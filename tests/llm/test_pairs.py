@@ -316,6 +316,18 @@ def test_line_dedup_hands_small_batches_to_python(spark, monkeypatch):
     assert seen == ["2m"] and spark.conf.get(name) == before
 
 
+def test_line_dedup_deals_lists_only_where_one_is_long(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"one two three four five word{i % 3} six seven eight nine") for i in range(40)], "doc_id bigint, text string")
+    seen, listed = [], line_dedup._listed
+    monkeypatch.setattr(line_dedup, "_listed", lambda *args, **more: seen.append(listed(*args, **more)) or seen[-1])
+    kept = [r.id for r in line_dedup.kept_lines(docs).collect() if r.kept]
+    plan = seen[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert kept == [0] and len(seen) == 1 and "blocks" not in plan and "Generate" not in plan
+    monkeypatch.setattr(line_dedup, "LIST_ROWS", 1)
+    assert [r.id for r in line_dedup.kept_lines(docs).collect() if r.kept] == [0]
+    assert "blocks" in seen[1]._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_workers_give_freed_memory_back():
     def held(batches):
         for n in batches:
