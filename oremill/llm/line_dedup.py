@@ -13,6 +13,7 @@ for those that occur once in the table.  Lines listed under one word are candida
 their sizes allow the similarity (length filter), the words left behind their places in
 the prefixes suffice (positional filter) and their 128-bit parity signatures differ in no
 more bits than the sets may differ in words.
+The listed rows travel as bytes, packed by buckets of words, in two rounds.
 
 One earlier match is enough for a line to go.  So each line is first verified against its
 likeliest earlier candidate alone: the candidate's words go to the lines that name it, in
@@ -27,6 +28,7 @@ such document, the first of all.  Null texts have no lines.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -58,8 +60,14 @@ BATCH_BYTES = "2m"
 SLICE_WORDS = 1 << 15
 #: Words whose cells a task holds before it gives back their counts.
 HELD_WORDS = 1 << 21
-#: Listed rows that a task compares at once, groups whole.
+#: Listed rows that a task compares at once, buckets whole.
 PIECE_ROWS = 1 << 17
+#: Listed rows of a bucket, about, and of a task before it packs them by buckets.
+BUCKET_ROWS = 1 << 18
+#: Buckets are listed and compared in so many rounds, which bounds the space they take.
+ROUNDS = 2
+#: Columns of listed rows and their types in a bucket's bytes; of the lines' numbers the low half.
+LISTED = {"group": np.uint32, "before": np.int32, "n": np.uint32, "signature": np.int64, "second": np.int64, "size": np.int32, "place": np.int32}
 
 U = np.uint64
 
@@ -214,11 +222,15 @@ def _is_set(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
     return (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
 
 
-def _cell(*parts: np.ndarray) -> np.ndarray:
+def _mixed(*parts: np.ndarray) -> np.ndarray:
     mixed = np.zeros(len(parts[0]), U)
     for part in parts:
         mixed = _mix(mixed + part.astype(np.int64).view(U) + U(0x9E3779B97F4A7C15))
-    return (mixed & U((1 << FILTER_BITS) - 1)).astype(np.int64)
+    return mixed
+
+
+def _cell(*parts: np.ndarray) -> np.ndarray:
+    return (_mixed(*parts) & U((1 << FILTER_BITS) - 1)).astype(np.int64)
 
 
 def counted(texts: DataFrame, id_type: str) -> tuple[DataFrame, np.ndarray]:
@@ -328,27 +340,63 @@ def _possible(size_a, place_a, size_b, place_b, apart, similarity: float) -> np.
     return fits & (apart <= size_a + size_b - 2 * least)
 
 
+def _packed(rows: dict[str, np.ndarray], buckets: int) -> Iterator[pa.RecordBatch]:
+    """Listed rows by the buckets of their groups: a row ``(bucket, base, ...)`` holds each column of a bucket's rows as bytes."""
+    bucket = (_mixed(rows["group"]) % U(buckets)).astype(np.min_scalar_type(buckets))
+    bases = rows["n"] >> 32
+    for base in np.unique(bases):
+        mine = np.flatnonzero(bases == base)
+        order = mine[np.argsort(bucket[mine], kind="stable")]
+        of = bucket[order]
+        starts = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
+        ends = np.append(starts, len(order))
+        columns = [pa.array(of[starts], pa.int32()), pa.array(np.full(len(starts), base << 32), pa.int64())]
+        for name, values in rows.items():
+            values = (values & 0xFFFFFFFF if name == "n" else values)[order].astype(LISTED.get(name, np.bool_))
+            offsets = (ends * values.itemsize).astype(np.int32)
+            columns.append(pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(values)]))
+        yield pa.RecordBatch.from_arrays(columns, ["bucket", "base", *rows])
+
+
+def _unpacked(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
+    """Columns of the rows that ``_packed`` put into buckets."""
+    rows = {}
+    for name in batch.schema.names[2:]:
+        column, kind = batch.column(name), np.dtype(LISTED.get(name, np.bool_))
+        offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+        count = int(offsets[-1] - offsets[0]) // kind.itemsize
+        rows[name] = np.frombuffer(column.buffers()[2], kind, count, int(offsets[0]))
+        if name == "n":
+            lengths = np.diff(offsets) // kind.itemsize
+            rows["n"] = rows["n"] + np.repeat(batch.column("base").to_numpy(), lengths)
+            rows["bucket"] = np.repeat(batch.column("bucket").to_numpy(), lengths)
+    return rows
+
+
 def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
-    """Columns of rows sorted by group, ``PIECE_ROWS`` or more at a time, cut where a group ends; in a group by the lines' numbers."""
+    """Columns of listed rows from packed rows sorted by bucket, ``PIECE_ROWS`` or more at a time, cut where a bucket ends; by groups, and there by the lines' numbers."""
 
     def in_order(rows: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-        order = np.lexsort((rows["n"], rows["group"]))
-        return {c: v[order] for c, v in rows.items()}
+        least = int(rows["n"].min())
+        if int(rows["n"].max()) - least < 1 << 32:  # one key sorts several times faster than two
+            order = np.argsort((rows["group"].astype(U) << U(32)) | (rows["n"] - least).astype(U))
+        else:
+            order = np.lexsort((rows["n"], rows["group"]))
+        return {c: v[order] for c, v in rows.items() if c != "bucket"}
 
     held: list[dict[str, np.ndarray]] = []
     size = 0
     for batch in batches:
         if not batch.num_rows:
             continue
-        held.append({c: batch.column(c).to_numpy(zero_copy_only=False) for c in batch.schema.names})
-        size += batch.num_rows
-        if size < PIECE_ROWS:
+        held.append(_unpacked(batch))
+        size += len(held[-1]["n"])
+        if size < PIECE_ROWS or held[0]["bucket"][0] == held[-1]["bucket"][-1]:
             continue
         now = {c: np.concatenate([h[c] for h in held]) for c in held[0]}
-        cut = size - int((now["group"] == now["group"][-1]).sum())
-        if cut:
-            yield in_order({c: v[:cut] for c, v in now.items()})
-        held = [{c: v[cut:] for c, v in now.items()}]
+        cut = int(np.searchsorted(now["bucket"], now["bucket"][-1]))
+        yield in_order({c: v[:cut] for c, v in now.items()})
+        held = [{c: v[cut:].copy() for c, v in now.items()}]
         size -= cut
     if held:
         yield in_order({c: np.concatenate([h[c] for h in held]) for c in held[0]})
@@ -371,7 +419,7 @@ def _passing(rows: dict[str, np.ndarray], similarity: float) -> Iterator[tuple[n
     lengths = np.diff(np.append(start, n))
     end = np.repeat(start + lengths, lengths)
     number, before = rows["n"], rows["before"]
-    size, place = rows["shape"] >> 32, rows["shape"] & 0xFFFFFFFF
+    size, place = rows["size"], rows["place"]
     live, step = np.arange(n), 1
     while True:
         live = live[live + step < end[live]]
@@ -396,7 +444,7 @@ def _likeliest(similarity: float):
         for rows in _pieces(batches):
             n = len(rows["group"])
             best, other, seen = np.full(n, -1.0), np.zeros(n, np.int64), np.zeros(n, np.int64)
-            size, number = rows["shape"] >> 32, rows["n"]
+            size, number = rows["size"], rows["n"]
             for later, earlier, apart in _passing(rows, similarity):
                 both = size[later] + size[earlier]
                 like = (both - apart) / (both + apart)
@@ -425,9 +473,9 @@ def _linked_to_open(similarity: float):
                 met[later] = met[earlier] = True
                 root = _joined(root, later, earlier)
             if met.any():
-                bucket = _mix(number[root].view(U) ^ _mix(rows["group"].view(U) + U(1)))
+                bucket = _mix(number[root].view(U) ^ _mix(rows["group"].astype(U) + U(1)))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(bucket[met].view(np.int64)), pa.array(number[met]), pa.array((rows["shape"][met] >> 32).astype(np.int32))],
+                    [pa.array(bucket[met].view(np.int64)), pa.array(number[met]), pa.array(rows["size"][met])],
                     ["bucket", "n", "size"],
                 )
 
@@ -547,11 +595,11 @@ def kept_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", similar
         lines = _numbered(texts.select("id", "text"), id_type, codes, similarity)
         del codes
         long_lists = _long_lists(lines)
-        found = _listed(lines, long_lists, similarity).mapInArrow(tidy(_likeliest(similarity)), "n bigint, x bigint, likeness double, many boolean")
-        found = stage(found, "likeliest")
-        named = found.groupBy("n").agg(F.max_by("x", "likeness").alias("x"), (F.max("many") | (F.min("x") != F.max("x"))).alias("many"))
+        listed, met = _listed(lines, long_lists, similarity), "n bigint, x bigint, likeness double, many boolean"
+        rounds = [stage(_share(listed, turn).mapInArrow(tidy(_likeliest(similarity)), met), "likeliest") for turn in range(ROUNDS)]
+        named = functools.reduce(DataFrame.union, rounds).groupBy("n").agg(F.max_by("x", "likeness").alias("x"), (F.max("many") | (F.min("x") != F.max("x"))).alias("many"))
         named = stage(named, "named")
-        unstage(found)
+        unstage(*rounds)
         gone = stage(_to_heads(texts, lines, named).mapInArrow(tidy(_verified(similarity)), "n bigint"), "similar")
         still, n_open = stage_counted(named.where("many").select("n").join(gone.distinct(), "n", "left_anti"), "open")
         if n_open:
@@ -582,58 +630,92 @@ def _numbered(texts: DataFrame, id_type: str, codes: np.ndarray, similarity: flo
     return row_numbers(firsts, "id", "line", "key", "signature")
 
 
-def _long_lists(lines: DataFrame) -> DataFrame | None:
-    """``(word, blocks)`` of the words with more than one block of lines, None without such; only those marked as common can have them."""
-    counts = lines.select(F.explode("often").alias("word")).groupBy("word").agg(F.ceil(F.count(F.lit(1)) / LIST_ROWS).cast("int").alias("blocks"))
-    found, n = stage_counted(counts.where(F.col("blocks") > 1), "long-lists")
-    return found if n else None
-
+def _long_lists(lines: DataFrame) -> tuple[np.ndarray, np.ndarray] | None:
+    """The words with more than one block of lines, sorted, and their blocks, None without such; only those marked as common can have them.
 
-def _listed(lines: DataFrame, long_lists: DataFrame | None, similarity: float, only: np.ndarray | None = None) -> DataFrame:
-    """Lines under their prefix words, sorted by groups of these.
+    There is one at most for ``LIST_ROWS`` listed rows.
+    """
+    counts = lines.select(F.explode("often").alias("word")).groupBy("word").agg(F.ceil(F.count(F.lit(1)) / LIST_ROWS).cast("int").alias("blocks"))
+    found = sorted((row["word"], row["blocks"]) for row in counts.where(F.col("blocks") > 1).collect())
+    return (np.array([w for w, _ in found], np.int32), np.array([b for _, b in found], np.int64)) if found else None
+
+
+def _dealt(rows: dict[str, np.ndarray], long_lists: tuple[np.ndarray, np.ndarray]) -> Iterator[dict[str, np.ndarray]]:
+    """Rows under a word with a long list once for each pair of blocks that has theirs; ``BUCKET_ROWS`` at a time, or those of one row."""
+    words, blocks_of = long_lists
+    word = rows["group"].view(np.int32)
+    at = np.minimum(np.searchsorted(words, word), len(words) - 1)
+    blocks = np.where(words[at] == word, blocks_of[at], 1)
+    block = (_mixed(rows["n"]) % blocks.astype(U)).astype(np.int64)
+    total, done = np.cumsum(blocks), 0
+    while done < len(total):
+        before = int(total[done - 1]) if done else 0
+        upto = max(done + 1, int(np.searchsorted(total, before + BUCKET_ROWS, side="right")))
+        times = blocks[done:upto]
+        row = done + np.repeat(np.arange(upto - done), times)
+        other = np.arange(len(row)) - np.repeat(total[done:upto] - times - before, times)
+        piece = {c: v[row] for c, v in rows.items()}
+        pair = _mixed(word[row], np.minimum(block[row], other), np.maximum(block[row], other)).astype(np.uint32)
+        piece["group"] = np.where(blocks[row] > 1, pair, piece["group"])
+        yield piece
+        done = upto
+
+
+def _listed(lines: DataFrame, long_lists: tuple[np.ndarray, np.ndarray] | None, similarity: float, only: np.ndarray | None = None) -> DataFrame:
+    """Lines under their prefix words, packed by buckets of groups of these and sorted by bucket.
 
     ``only`` is a filter that holds word and size class.  A group is a word, or a hash of a
     word with a long list and two of its blocks: where hashes meet, there are more
     candidates, never fewer.
     """
     asked = "open" in lines.columns
+    most = F.col("size") - F.ceil(F.lit(similarity) * F.col("size") - 1e-9) + 1  # words of a prefix
+    count = lines.agg(F.sum(most)).first()[0] or 0
+    if long_lists is not None:
+        count += LIST_ROWS * int((long_lists[1] ** 2).sum())
+    buckets = max(int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-int(count) // BUCKET_ROWS))
+
+    def under_words(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
+        prefix = batch.column("prefix")
+        ends = prefix.offsets.to_numpy().astype(np.int64)
+        lengths = np.diff(ends)
+        words = prefix.values.to_numpy()[ends[0] : ends[-1]]
+        row = np.repeat(np.arange(batch.num_rows), lengths)
+        place = np.arange(len(words)) - np.repeat(ends[:-1] - ends[0], lengths)
+        before = np.where(place > 0, np.append(0, words[:-1])[: len(words)], 0).astype(np.int32)
+        held = words != 0
+        if only is not None:
+            held &= _is_set(only, _cell(words, _size_class(batch.column("size").to_numpy(), similarity)[row]))
+        row = row[held]
+        own = [batch.column(c).to_numpy()[row] for c in ("n", "signature", "second", "size")]
+        rows = dict(zip(LISTED, [words[held].view(np.uint32), before[held], *own, place[held]]))
+        if asked:
+            rows["open"] = batch.column("open").to_numpy(zero_copy_only=False)[row]
+        return rows
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict[str, np.ndarray]] = []
+        size = 0
         for batch in batches:
-            prefix = batch.column("prefix")
-            ends = prefix.offsets.to_numpy().astype(np.int64)
-            lengths = np.diff(ends)
-            words = prefix.values.to_numpy()[ends[0] : ends[-1]]
-            row = np.repeat(np.arange(batch.num_rows), lengths)
-            place = np.arange(len(words)) - np.repeat(ends[:-1] - ends[0], lengths)
-            before = np.where(place > 0, np.append(0, words[:-1])[: len(words)], 0).astype(np.int32)
-            held = words != 0
-            if only is not None:
-                held &= _is_set(only, _cell(words, _size_class(batch.column("size").to_numpy(), similarity)[row]))
-            row, place = row[held], place[held]
-            shape = (batch.column("size").to_numpy().astype(np.int64)[row] << 32) | place
-            columns = [words[held], before[held], *(batch.column(c).to_numpy()[row] for c in ("n", "signature", "second")), shape]
-            names = ["word", "before", "n", "signature", "second", "shape"]
-            if asked:
-                columns.append(batch.column("open").to_numpy(zero_copy_only=False)[row])
-                names.append("open")
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
-
-    columns = "word int, before int, n bigint, signature bigint, second bigint, shape bigint" + (", open boolean" if asked else "")
+            rows = under_words(batch)
+            for piece in _dealt(rows, long_lists) if long_lists is not None else [rows]:
+                held.append(piece)
+                size += len(piece["n"])
+                if size >= BUCKET_ROWS:
+                    yield from _packed({c: np.concatenate([h[c] for h in held]) for c in piece}, buckets)
+                    held, size = [], 0
+        if size:
+            yield from _packed({c: np.concatenate([h[c] for h in held]) for c in held[0]}, buckets)
+
+    names = [*LISTED, *(["open"] if asked else [])]
+    columns = ", ".join(["bucket int", "base bigint", *(f"{c} binary" for c in names)])
     listed = lines.select("n", "size", "signature", "second", "prefix", *(["open"] if asked else [])).mapInArrow(tidy(spread), columns)
-    names = [c.split(" ")[0] for c in columns.split(", ")[1:]]
-    if long_lists is None:
-        return listed.select(F.col("word").cast("bigint").alias("group"), *names).repartition("group").sortWithinPartitions("group")
-    blocks = F.coalesce("blocks", F.lit(1))
-    part = F.xxhash64("word", F.least("block", "other"), F.greatest("block", "other"))
-    dealt = (
-        listed.join(long_lists, "word", "left")
-        .withColumn("block", F.pmod(F.xxhash64("n"), blocks))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        .withColumn("group", F.when(F.col("blocks").isNull(), F.col("word").cast("bigint")).otherwise(part))
-        .select("group", *names)
-    )
-    return dealt.repartition("group").sortWithinPartitions("group")
+    return listed.repartition("bucket").sortWithinPartitions("bucket")
+
+
+def _share(listed: DataFrame, turn: int) -> DataFrame:
+    """The buckets of one of ``ROUNDS`` rounds; Spark leaves the others out before it shuffles."""
+    return listed.where(F.pmod("bucket", F.lit(ROUNDS)) == turn)
 
 
 def _size_class(sizes: np.ndarray, similarity: float) -> np.ndarray:
@@ -689,7 +771,7 @@ def _to_heads(texts: DataFrame, lines: DataFrame, named: DataFrame) -> DataFrame
     return held.repartition("x", "salt").sortWithinPartitions("x", "salt", F.desc("head"))
 
 
-def _to_blocks(texts: DataFrame, lines: DataFrame, long_lists: DataFrame | None, still: DataFrame, similarity: float) -> DataFrame:
+def _to_blocks(texts: DataFrame, lines: DataFrame, long_lists: tuple[np.ndarray, np.ndarray] | None, still: DataFrame, similarity: float) -> DataFrame:
     """Open lines and their candidates with their words, a group of rows for every pair of blocks of a bucket."""
 
     def cells(batch: pa.RecordBatch) -> np.ndarray:

@@ -325,6 +325,40 @@ def test_line_dedup_deals_lists_only_where_one_is_long(spark, monkeypatch):
     assert kept == [0] and len(seen) == 1 and "blocks" not in plan and "Generate" not in plan
 
 
+def test_line_dedup_lists_in_rounds_of_packed_buckets(spark):
+    """A round shuffles its own buckets only, a few rows of bytes, and the rounds list every prefix word of every line once."""
+    rng = random.Random(3)
+    lines = [(2**33 + i if i % 2 else i, 8, i, -i, [rng.randrange(1, 60) for _ in range(4)]) for i in range(500)]
+    lines = spark.createDataFrame(lines, "n bigint, size int, signature bigint, second bigint, prefix array<int>")
+    listed = line_dedup._listed(lines.withColumn("often", F.array().cast("array<int>")), None, 0.8)
+    rounds = [line_dedup._share(listed, turn) for turn in range(line_dedup.ROUNDS)]
+    got, buckets = Counter(), []
+    for part in rounds:
+        plan = part._jdf.queryExecution().optimizedPlan().toString()
+        assert 0 <= plan.index("Repartition") < plan.index("Filter") < plan.index("MapInArrow")
+        batches = part.toArrow().to_batches()
+        buckets.append({b for batch in batches for b in batch.column("bucket").to_pylist()})
+        for rows in line_dedup._pieces(iter(batches)):
+            columns = [rows[c].tolist() for c in ("group", "n", "signature", "second", "size", "place", "before")]
+            assert list(zip(*columns[:2])) == sorted(zip(*columns[:2]))
+            got.update(zip(*columns))
+    expected = Counter(
+        (w, r.n, r.signature, r.second, r.size, at, r.prefix[at - 1] if at else 0) for r in lines.collect() for at, w in enumerate(r.prefix)
+    )
+    assert got == expected and not buckets[0] & buckets[1] and listed.count() < 100
+
+
+def test_line_dedup_deals_long_lists_to_pairs_of_blocks():
+    """Any two rows of a word meet in some group, those of a short list in the word's own; no piece grows with the list."""
+    rows = {"group": np.array([7] * 40 + [9] * 5, np.uint32), "n": np.arange(45)}
+    pieces = list(line_dedup._dealt(rows, (np.array([7], np.int32), np.array([10]))))
+    group, n = (np.concatenate([p[c] for p in pieces]) for c in ("group", "n"))
+    members = {g: set(n[group == g].tolist()) for g in set(group.tolist())}
+    assert len(n) == 40 * 10 + 5 and members[9] == set(range(40, 45))
+    assert all(any({a, b} <= m for m in members.values()) for a in range(40) for b in range(a))
+    assert max(len(m) for g, m in members.items() if g != 9) < 40
+
+
 def test_workers_give_freed_memory_back():
     def held(batches):
         for n in batches:
