@@ -62,8 +62,10 @@ SLICE_WORDS = 1 << 15
 HELD_WORDS = 1 << 21
 #: Listed rows that a task compares at once, buckets whole.
 PIECE_ROWS = 1 << 17
-#: Listed rows of a bucket, about, and of a task before it packs them by buckets.
+#: Listed rows of a bucket, about.
 BUCKET_ROWS = 1 << 18
+#: Listed rows that a task holds, about, before it packs them by buckets: batches of some 4 MB.
+PACKED_ROWS = 1 << 16
 #: Buckets are listed and compared in so many rounds, which bounds the space they take.
 ROUNDS = 2
 #: Columns of listed rows and their types in a bucket's bytes; of the lines' numbers the low half.
@@ -605,7 +607,7 @@ def kept_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", similar
         if n_open:
             more = stage(_to_blocks(texts, lines, long_lists, still, similarity).mapInArrow(tidy(_matched(similarity)), "n bigint"), "matched")
             gone = gone.union(more)
-        firsts = lines.select("n", "id", "line").join(gone.distinct(), "n", "left_anti")
+        firsts = lines.select("n", "id", "line").join(gone.distinct().withColumnRenamed("n", "gone"), F.col("n") == F.col("gone"), "left_anti")
         kept = stage(firsts.groupBy(F.col("id").alias("kept_id")).agg(F.sort_array(F.collect_list("line")).alias("kept")), "kept")
         unstage(named, still)
     totals = totals.groupBy("id").agg(F.max("n_lines").alias("n_lines"))
@@ -641,7 +643,7 @@ def _long_lists(lines: DataFrame) -> tuple[np.ndarray, np.ndarray] | None:
 
 
 def _dealt(rows: dict[str, np.ndarray], long_lists: tuple[np.ndarray, np.ndarray]) -> Iterator[dict[str, np.ndarray]]:
-    """Rows under a word with a long list once for each pair of blocks that has theirs; ``BUCKET_ROWS`` at a time, or those of one row."""
+    """Rows under a word with a long list once for each pair of blocks that has theirs; ``PACKED_ROWS`` at a time, or those of one row."""
     words, blocks_of = long_lists
     word = rows["group"].view(np.int32)
     at = np.minimum(np.searchsorted(words, word), len(words) - 1)
@@ -650,7 +652,7 @@ def _dealt(rows: dict[str, np.ndarray], long_lists: tuple[np.ndarray, np.ndarray
     total, done = np.cumsum(blocks), 0
     while done < len(total):
         before = int(total[done - 1]) if done else 0
-        upto = max(done + 1, int(np.searchsorted(total, before + BUCKET_ROWS, side="right")))
+        upto = max(done + 1, int(np.searchsorted(total, before + PACKED_ROWS, side="right")))
         times = blocks[done:upto]
         row = done + np.repeat(np.arange(upto - done), times)
         other = np.arange(len(row)) - np.repeat(total[done:upto] - times - before, times)
@@ -701,7 +703,7 @@ def _listed(lines: DataFrame, long_lists: tuple[np.ndarray, np.ndarray] | None,
             for piece in _dealt(rows, long_lists) if long_lists is not None else [rows]:
                 held.append(piece)
                 size += len(piece["n"])
-                if size >= BUCKET_ROWS:
+                if size >= PACKED_ROWS:
                     yield from _packed({c: np.concatenate([h[c] for h in held]) for c in piece}, buckets)
                     held, size = [], 0
         if size:
