@@ -1,23 +1,33 @@
 import random
+import time
 from collections import Counter, defaultdict, deque
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from oremill.operators import packing as pk
 from oremill.operators.communities import (
     _pair_counts,
     adjacency,
+    both_lists,
     community_listing,
     connected_components,
     cooccurrence_graph,
     label_propagation,
+    mirrored_lists,
     modularity,
+    neighbour_lists,
+    spanning_edges,
+    stored_edges,
     symmetric,
 )
 from oremill.operators.divisive import girvan_newman
 from oremill.operators.numbering import running_sums
 from oremill.operators.paths import _Graph, _levels, edge_betweenness, shortest_paths, top_edges
+from oremill.plans.staging import stage
 
 
 def edge_frame(spark, edges):
@@ -159,6 +169,108 @@ def test_pairs_are_counted_without_a_row_a_pair(spark):
     assert counts.count() == 40 * 39 // 2 and counts.where("shared <> 6").count() == 0
 
 
+def test_pairs_travel_packed(spark):
+    rows = spark.range(200).crossJoin(spark.range(20).toDF("item")).selectExpr("id as key", "item").localCheckpoint()
+    # A long a pair and item would be 3.2 MB.
+    assert 0 < _most_rows(spark, _pair_counts(rows), "dataSize") < 1_000_000
+
+
+@pytest.mark.parametrize("kind", ["bigint", "int", "string"])
+def test_pairs_of_any_keys(spark, kind):
+    rng = random.Random(6)
+    baskets = {k: {rng.randrange(9) for _ in range(5)} for k in (-(2**31), -3, 0, 7, 300, 2**31 - 1, *range(1000, 1010))}
+    rows = spark.createDataFrame([(k, i) for k, b in baskets.items() for i in b], "key long, item int").selectExpr(f"cast(key as {kind}) as key", "item")
+    cast = str if kind == "string" else int
+    expected = {tuple(sorted((cast(a), cast(b)))): len(baskets[a] & baskets[b]) for a, b in combinations(baskets, 2) if baskets[a] & baskets[b]}
+    for hub in (2, 1_000):
+        counts = _pair_counts(rows, hub)
+        assert counts.schema["src"].dataType.simpleString() == kind
+        assert {(r.src, r.dst): r.shared for r in counts.collect()} == expected
+
+
+def test_messages_in_many_slices(monkeypatch):
+    for name, value in (("SLICE_PAIRS", 7), ("HELD_PAIRS", 11), ("ROW_ENDS", 3)):
+        monkeypatch.setattr(pk, name, value)
+    rng = random.Random(8)
+    lists = [sorted(rng.sample(range(-(2**62), 2**62, 2**58), n)) for n in (2, 9, 3, 1, 2, 8)] + [[5, 6, 2**40]] * 9
+    expected = Counter(p for keys in lists for p in combinations(keys, 2))
+    batch = pa.record_batch({"keys": pa.array(lists, pa.list_(pa.int64())), "salts": pa.array([[1 + k % 3 for k in keys] for keys in lists], pa.list_(pa.int64()))})
+    for sent in (batch, batch.select(["keys"])):
+        parts = defaultdict(list)
+        for out in pk.messages(4)(iter([sent])):
+            for i, part in enumerate(out.column("part").to_pylist()):
+                parts[part].append(out.slice(i, 1))
+        found = [(r["src"], o, n) for p in parts.values() for out in pk.counted(2)((), iter(p)) for r in out.to_pylist() for o, n in zip(r["others"], r["shared"])]
+        assert len(found) == len(set(found)) and {(a, b): n for a, b, n in found} == {p: n for p, n in expected.items() if n > 1}
+
+
+def test_neighbours_of_a_hub_take_many_rows(monkeypatch):
+    monkeypatch.setattr(pk, "HELD_PAIRS", 10)
+    monkeypatch.setattr(pk, "ROW_ENDS", 4)
+    batch = pa.record_batch({"src": pa.array([0, 3]), "others": pa.array([list(range(1, 31)), [7, 9]])})
+    rows = [r for out in pk.both_ways(1)(iter([batch])) for made in pk.neighbours((), iter([out])) for r in made.to_pylist()]
+    assert max(len(r["others"]) for r in rows) <= 4
+    near = neighbours([(0, i) for i in range(1, 31)] + [(3, 7), (3, 9)])
+    assert sorted((r["src"], o) for r in rows for o in r["others"]) == sorted((a, b) for a in near for b in near[a])
+
+
+@pytest.mark.parametrize("kind", ["int", "string"])
+def test_neighbour_lists(spark, kind):
+    pairs = {(a, b) for a, b in combinations(range(30), 2) if (a * b) % 7 < 3}
+    edges = spark.createDataFrame(sorted(pairs), "a int, b int").selectExpr(f"cast(a as {kind}) src", f"cast(b as {kind}) dst")
+    once = edges.groupBy("src").agg(F.collect_list("dst").alias("others"))
+    cast = str if kind == "string" else int
+    expected = sorted((cast(x), cast(y)) for a, b in pairs for x, y in ((a, b), (b, a)))
+    for lists in (both_lists(once), neighbour_lists(symmetric(edges))):
+        assert lists.dtypes == [("src", kind), ("others", f"array<{kind}>")]
+        assert sorted((r.src, o) for r in lists.collect() for o in r.others) == expected
+    assert sorted((r.src, r.dst) for r in mirrored_lists(once).collect()) == expected
+
+
+def test_spanning_edges_keep_components(spark, monkeypatch):
+    edges = random_graph(7, n=40, m=30) + [(f"w{a:02d}", f"w{b:02d}") for a, b in combinations(range(30), 2)]
+    lists = edge_frame(spark, edges).groupBy("src").agg(F.collect_list("dst").alias("others")).repartition(3)
+    few = stage(spanning_edges(lists))
+    names = {v for e in edges for v in e}
+    assert few.count() < 3 * len(names) < len(edges)
+    found = {r.id: r.component for r in connected_components(few).collect()}
+    assert found == brute_components(edges, names)[0]
+    monkeypatch.setattr(pk, "HELD_PAIRS", 8)
+    batches = [pa.record_batch({"src": pa.array([a]), "others": pa.array([[b]])}) for a, b in edges]
+    kept = [(r["src"], r["dst"]) for out in pk.forest(iter(batches)) for r in out.to_pylist()]
+    assert len(kept) < len(names) and brute_components(kept, names) == brute_components(edges, names)
+
+
+def test_least_vertices_of_chains():
+    n = 500
+    order = np.random.default_rng(5).permutation(n)
+    src, dst = order[:-1], order[1:]
+    cut = np.arange(n - 1) % 100 != 99
+    label = pk._least(n, src[cut], dst[cut])
+    for a in range(0, n, 100):
+        assert set(label[order[a : a + 100]]) == {order[a : a + 100].min()}
+
+
+def test_labels_move_packed(spark):
+    edges = symmetric(spark.createDataFrame([(a, b) for a in range(60) for b in range(a)], "src int, dst int"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        labels = label_propagation(edges, 2)
+        # An edge a row would be 60 * 59 rows.
+        assert 0 < _most_rows(spark, labels, "shuffleRecordsWritten") <= 60 * 2 * 8
+        assert {r.id: r.label for r in labels.collect()} == {v: 0 for v in range(60)}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_stored_edges_are_not_written_again(spark):
+    once = stage(spark.createDataFrame([(1, [2, 3]), (2, [3])], "src int, others array<int>"))
+    edges = stored_edges(once)
+    assert stage(edges) is edges and edges.count() == 6
+    components = connected_components(spanning_edges(once))
+    assert shortest_paths(edges, both_ways=True, components=components).count() == 9
+
+
 def test_edges_without_hubs_are_not_moved(spark):
     edges = symmetric(spark.createDataFrame([(a, b) for a in range(9) for b in range(a)], "src int, dst int")).localCheckpoint()
     for hub, moved in ((8, False), (3, True)):
@@ -310,6 +422,20 @@ def test_top_edges_tie_large_values(spark):
     assert {r.src for r in top_edges(df).collect()} == {"a", "c"}
 
 
+def test_stage_drops_shuffle_files(spark):
+    def files():
+        found = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllFiles()
+        return {n for n in (found.apply(i).getName() for i in range(found.size())) if n.startswith("shuffle_")}
+
+    before = files()
+    table = stage(spark.range(1000).repartition(3, "id").groupBy(F.col("id") % 7).count())
+    for _ in range(50):  # they go in the background
+        if files() <= before:
+            break
+        time.sleep(0.1)
+    assert files() <= before and table.count() == 7
+
+
 def test_running_sums(spark):
     rng = random.Random(4)
     rows = [(i, rng.randint(-5, 5) if i % 7 else None) for i in range(500)]
