@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from oremill.operators import packing as pk
+from oremill.operators import paths
 from oremill.operators.communities import (
     _pair_counts,
     adjacency,
@@ -317,6 +318,17 @@ def test_betweenness_in_root_batches(spark):
     assert values == pytest.approx(brute_betweenness(edges))
 
 
+def test_paths_in_root_batches(spark, monkeypatch):
+    edges = random_graph(3, n=9, m=14)
+    asked = []
+    start = _Graph.start
+    monkeypatch.setattr(_Graph, "start", lambda self, roots, *batch: asked.append(batch) or start(self, roots, *batch))
+    monkeypatch.setattr(paths, "PAIRS_PER_ROUND", 30)  # of 81 pairs
+    got = {(r.root, r.node): (r.dist, r.sigma) for r in shortest_paths(edge_frame(spark, edges)).collect()}
+    assert got == brute_paths(edges)
+    assert asked == [(0, 3), (1, 3), (2, 3)]
+
+
 def test_dense_graph_takes_a_row_for_each_pair_of_blocks(spark):
     n = 300  # two blocks; all edges but one, so that one pair is two steps apart
     ids = spark.range(n).select(F.col("id").alias("src"))
